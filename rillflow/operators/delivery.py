@@ -89,17 +89,10 @@ def kept_rows(df: DataFrame, key: Column, version: str, batch: str, runs: int =
     return df.join(kept, version, "left_semi")
 
 
-def collapse(df: DataFrame, key: Column, version: str, keep: list[Column], salt_groups: int | None = None) -> DataFrame:
-    """One row per message with the columns keep of its least version, in a single shuffle by identifier.
+def collapse(df: DataFrame, key: Column, version: str, keep: list[Column]) -> DataFrame:
+    """One row per message with the columns keep of its least version, in one shuffle by identifier.
 
-    Copies collapse before the shuffle. With salt_groups the result has rf_salt, a hash class of the identifier, and
-    is partitioned by it, so that later aggregates with rf_salt in the key need no shuffle.
+    Copies collapse on the map side first, so an identifier delivered very often costs one row per task.
     """
     rows = df.select(key.alias(KEY), F.col(version).alias(VERSION), F.struct(*keep).alias("rf_row"))
-    by = [F.col(KEY)]
-    if salt_groups:
-        rows = rows.withColumn("rf_salt", F.pmod(F.xxhash64(KEY), F.lit(salt_groups)).cast("int"))
-        rows = rows.repartition(shuffle_width(df), "rf_salt")
-        by = [F.col("rf_salt"), F.col(KEY)]
-    one = rows.groupBy(*by).agg(F.min_by("rf_row", VERSION).alias("rf_row"))
-    return one.select(*(["rf_salt"] if salt_groups else []), "rf_row.*")
+    return rows.groupBy(KEY).agg(F.min_by("rf_row", VERSION).alias("rf_row")).select("rf_row.*")

@@ -1,8 +1,8 @@
 """One wide row per entity from events: counts, first and last times for each of hundreds of event types.
 
-The plan has two shuffles. Messages collapse by identifier under a hash class of it; counts per (entity, type) are then
-pre-aggregated inside each class without a shuffle, which bounds a hot entity to classes times types rows; these are
-bucketed by entity and sorted by (entity, type), and the sorted runs are streamed into wide rows, batch by batch.
+Counts per (entity, type) are pre-aggregated on the map side, so that a hot entity costs one row per type and task, then
+bucketed by entity and sorted by (entity, type); the sorted runs are streamed into wide rows, batch by batch, without
+another shuffle.
 
 Defined cases: rows without entity are left out; a null or unknown type counts in the entity's overall figures only;
 a null time counts but sets no time; a type an entity never had gives 0 and null times; an empty table gives no rows.
@@ -24,16 +24,13 @@ ROWS = 512
 NO_TIME = np.iinfo(np.int64).min
 
 
-def wide_features(events: DataFrame, types: Sequence[str], entity: str, kind: Column, at: Column, salt: str | None = None) -> DataFrame:
-    """events -> entity, n_messages, n_types, first_ms, last_ms and n_<t>, first_ms_<t>, last_ms_<t> per type.
-
-    salt names a column by which events are partitioned already: counts are pre-aggregated within it.
-    """
+def wide_features(events: DataFrame, types: Sequence[str], entity: str, kind: Column, at: Column) -> DataFrame:
+    """events -> entity, n_messages, n_types, first_ms, last_ms and n_<t>, first_ms_<t>, last_ms_<t> per type."""
     index = F.create_map(*(x for i, t in enumerate(types) for x in (F.lit(t), F.lit(i)))) if types else F.create_map()
     which = F.coalesce(index[kind] if types else F.lit(None).cast("int"), F.lit(-1)).cast("int")
-    rows = events.where(F.col(entity).isNotNull()).select(*([salt] if salt else []), F.col(entity).cast("bigint").alias("entity"), which.alias("kind"), at.alias("ms"))
-    partial = rows.groupBy(*([salt] if salt else []), "entity", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first"), F.max("ms").alias("last"))
-    bucketed = partial.select("entity", "kind", "n", "first", "last").repartition(shuffle_width(events), "entity")
+    rows = events.where(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias("entity"), which.alias("kind"), at.alias("ms"))
+    partial = rows.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first"), F.max("ms").alias("last"))
+    bucketed = partial.repartition(shuffle_width(events), "entity")
     streamed = bucketed.sortWithinPartitions("entity", "kind")
     fields = [f"{entity} bigint", "n_messages bigint", "n_types bigint", "first_ms bigint", "last_ms bigint"]
     fields += [f"`{p}_{t}` bigint" for t in types for p in ("n", "first_ms", "last_ms")]

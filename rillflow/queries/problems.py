@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions.identity import epoch_ms, snake_key
-from rillflow.operators import delivery, features, lateness, sessions
+from rillflow.operators import delivery, features, implausible, lateness, sessions
 from rillflow.queries.registry import Registry, table
 
 registry = Registry()
 
-#: Hash classes of message identifiers within which counts are pre-aggregated.
-SALT_GROUPS = 4096
 #: More activity types than this can't become columns.
 MOST_TYPES = 1000
 
@@ -27,10 +25,10 @@ def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "user_activity")
 
 
-def activity_messages(spark: SparkSession, sf_dir: str, *keep: Column, salt_groups: int | None = None) -> DataFrame:
+def activity_messages(spark: SparkSession, sf_dir: str, *keep: Column) -> DataFrame:
     rows = activity_rows(spark, sf_dir)
     key = delivery.activity_key(F.col("id"), F.col("delivery_id"))
-    return delivery.collapse(rows, key, "delivery_id", list(keep), salt_groups)
+    return delivery.collapse(rows, key, "delivery_id", list(keep))
 
 
 def activity_types(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -44,9 +42,9 @@ def activity_types(spark: SparkSession, sf_dir: str) -> list[str]:
 @registry.query("p1_user_features")
 def p1_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = activity_messages(
-        spark, sf_dir, F.col("user_id"), snake_key(F.col("activity_type")).alias("kind"), epoch_ms(F.col("timestamp")).alias("ms"), salt_groups=SALT_GROUPS
+        spark, sf_dir, F.col("user_id"), snake_key(F.col("activity_type")).alias("kind"), epoch_ms(F.col("timestamp")).alias("ms")
     )
-    return features.wide_features(messages, activity_types(spark, sf_dir), "user_id", F.col("kind"), F.col("ms"), salt="rf_salt")
+    return features.wide_features(messages, activity_types(spark, sf_dir), "user_id", F.col("kind"), F.col("ms"))
 
 
 def p1_sql(types: list[str]) -> str:
@@ -67,6 +65,16 @@ SELECT user_id, count(*) AS n_messages,
 FROM kinds GROUP BY user_id"""
 
 
+@registry.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_reasons(spark, sf_dir).select("metric_id")
+
+
+@registry.query("p2_reasons")
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible.implausible(table(spark, sf_dir, "system_metrics"), table(spark, sf_dir, "metric_types"))
+
+
 @registry.query(
     "p3_found",
     f"""
