@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from rillflow.plans.storage import materialize, shuffle_width
 
@@ -98,3 +99,39 @@ def _all(conditions: Sequence[Column]) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+HOME, BLOCK, OWN = "__home", "__block", "__own"
+#: Rows of one block of a total order.
+BLOCK_ROWS = 100_000
+
+
+def blocked(
+    df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), before: int = 0, after: int = 0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """df cut into blocks of successive rows, for window functions with a bounded reach in a total order.
+
+    Adds rn (position in the group), __block, and __own, which is false for the copies of the rows up to ``before``
+    places ahead of a block and ``after`` places behind it. A window partitioned by (group, __block) and ordered by rn
+    sees for each own row all it needs; keep the rows where __own holds afterwards.
+    """
+    if max(before, after) > block_rows:
+        raise ValueError("the reach must not exceed a block")
+    placed = with_position(df, order, "rn", group)
+    home = F.floor((F.col("rn") - 1) / block_rows).cast("bigint")
+    into = F.pmod(F.col("rn") - 1, F.lit(block_rows))
+    also = [home]
+    if after:
+        also.append(F.when((into < after) & (home > 0), home - 1))
+    if before:
+        also.append(F.when(into >= block_rows - before, home + 1))
+    spread = placed.withColumn(HOME, home).withColumn(BLOCK, F.explode(F.array_compact(F.array(*also))))
+    return spread.withColumn(OWN, F.col(BLOCK) == F.col(HOME)).drop(HOME)
+
+
+def block_window(group: Sequence[str] = ()) -> WindowSpec:
+    return Window.partitionBy(*(col(g) for g in group), BLOCK).orderBy("rn")
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.where(OWN).drop(BLOCK, OWN)
