@@ -21,13 +21,17 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PERCENTILES = """
 SELECT lower(trim(service)) AS service, metric_type, count(*) AS n_values, {columns}
 FROM system_metrics WHERE service IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL""".format(
-    columns=", ".join(f"quantile_cont(value, {p}) AS {percentiles.name_of(p)}" for p in percentiles.PERCENTILES)
+    columns=", ".join(f"round(quantile_cont(value, {p}), 6) AS {percentiles.name_of(p)}" for p in percentiles.PERCENTILES)
 )
 
 
 @registry.query("p6_percentiles", _PERCENTILES)
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.percentiles(_readings(spark, sf_dir), ["service", "metric_type"], F.col("value"))
+    return _rounded(percentiles.percentiles(_readings(spark, sf_dir), ["service", "metric_type"], F.col("value")))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in map(percentiles.name_of, percentiles.PERCENTILES)})
 
 
 @registry.query("p6_of_days", _PERCENTILES)
@@ -35,7 +39,7 @@ def p6_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the runs of separate days, as they would be kept, added up."""
     group = ["service", "metric_type"]
     daily = percentiles.value_runs(_readings(spark, sf_dir), ["day", *group], F.col("value"))
-    return percentiles.percentiles_of_runs(percentiles.merge_runs([daily.drop("day")], group), group)
+    return _rounded(percentiles.percentiles_of_runs(percentiles.merge_runs([daily.drop("day")], group), group))
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

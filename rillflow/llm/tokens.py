@@ -55,4 +55,5 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([None if t is None else len(encode(t, vocabulary)) for t in texts], dtype="Int64")
 
-    return count(text)
+    # Else a filter on the count would be pushed below it and count again.
+    return count.asNondeterministic()(text)
