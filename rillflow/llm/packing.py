@@ -4,8 +4,8 @@ Items are dealt by hash into blocks of about WINDOWS containers' worth of tokens
 method keeps a heap of partial partitions, each a vector of window sums, and merges the two of greatest spread by
 putting the largest sums of one on the smallest of the other, until one partition into near-equal windows is left. The
 number of windows starts at what the tokens need; where capacity is exceeded, the items that don't fit are taken out
-and put where they fit best, and further windows are opened for the rest, again by differencing. Of a few starting
-numbers the one with the fewest windows wins.
+and put where they fit, or exchanged for smaller ones, and the number rises by what the rest needs, which is differenced
+into further windows. Of a few starting numbers the one that ends with the fewest windows wins.
 
 Only a text longer than the capacity is split: into full pieces and a rest, which is an item like others. Defined cases:
 a null or empty text has 0 tokens and goes to a container of its block, as does each empty piece; equal sizes are taken
@@ -28,7 +28,9 @@ from rillflow.plans.storage import materialize, shuffle_width
 
 WINDOWS, MOST_ITEMS, MOST_KINDS = 192, 4096, 100
 #: Starting numbers of windows tried, as parts of the least possible number.
-STARTS = (1.0, 1.01, 1.02, 1.04, 1.08)
+STARTS = (1.0, 1.01, 1.03)
+#: Times that the loosest windows are opened again.
+REOPENED = 6
 
 
 def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -62,67 +64,117 @@ def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def _fill(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
-    """Take items out of windows that exceed the capacity, put them where they fit best; the rest is returned."""
-    out: list[int] = []
-    for w in windows:
-        over = int(sizes[w].sum()) - capacity if w else 0
-        while over > 0:
-            enough = [i for i in w if sizes[i] >= over]
-            gone = min(enough, key=lambda i: (sizes[i], i)) if enough else max(w, key=lambda i: (sizes[i], i))
-            w.remove(gone)
-            out.append(gone)
-            over -= int(sizes[gone])
-    room = sorted((capacity - int(sizes[w].sum()) if w else capacity, j) for j, w in enumerate(windows))
-    rest = []
-    for i in sorted(out, key=lambda i: (-sizes[i], i)):
-        at = _first_at_least(room, int(sizes[i]))
-        if at == len(room):
-            rest.append(i)
-            continue
-        free, j = room.pop(at)
-        windows[j].append(i)
-        left = (free - int(sizes[i]), j)
-        room.insert(_first_at_least(room, left[0]), left)
-    return windows, rest
-
-
-def _first_at_least(room: list[tuple[int, int]], size: int) -> int:
-    low, high = 0, len(room)
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (mid + 1, high) if room[mid][0] < size else (low, mid)
-    return low
+def _relieve(sizes: np.ndarray, window: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Take items out of windows that exceed the capacity, put them elsewhere, and return those left over.
+
+    An item goes where it fits best. One that fits nowhere takes, alone or with another, the place of one inside if that
+    fills a window further; that one is put elsewhere in its turn. Each exchange fills windows by at least one token, so
+    this ends.
+    """
+    for w in np.flatnonzero(room < 0):
+        inside = np.flatnonzero(window == w)
+        inside = inside[np.argsort(sizes[inside], kind="stable")]
+        while room[w] < 0:
+            enough = inside[sizes[inside] >= -room[w]]
+            gone = enough[0] if len(enough) else inside[-1]
+            inside = inside[inside != gone]
+            window[gone] = -1
+            room[w] += sizes[gone]
+    waiting = np.flatnonzero(window < 0).tolist()
+    moved = True
+    while waiting and moved:
+        waiting.sort(key=lambda i: (-sizes[i], i))
+        left: list[int] = []
+        moved = False
+        while waiting:
+            i = waiting.pop(0)
+            fits = np.flatnonzero(room >= sizes[i])
+            if len(fits):
+                w = fits[room[fits].argmin()]
+                window[i], room[w], moved = w, room[w] - sizes[i], True
+                continue
+            j, partner = _exchange(sizes, window, room, i, waiting)
+            if j < 0:
+                left.append(i)
+                continue
+            w = window[j]
+            for new in (i, partner):
+                if new >= 0:
+                    window[new], room[w] = w, room[w] - sizes[new]
+            if partner >= 0:
+                waiting.remove(partner)
+            window[j], room[w], moved = -1, room[w] + sizes[j], True
+            left.append(int(j))
+        waiting = left
+    return np.array(sorted(waiting), dtype=np.int64)
+
+
+def _exchange(sizes: np.ndarray, window: np.ndarray, room: np.ndarray, i: int, others: Sequence[int]) -> tuple[int, int]:
+    """The item inside a window that i, alone or with another waiting item, replaces with the greatest gain, and the
+    other (-1: none); -1 if nothing is gained."""
+    inside = np.flatnonzero(window >= 0)
+    held, free = sizes[inside], room[window[inside]]
+    best, found = 0, (-1, -1)
+    for partner in (-1, *{int(sizes[o]): o for o in others}.values()):
+        gain = sizes[i] + (sizes[partner] if partner >= 0 else 0) - held
+        gain = np.where(gain <= free, gain, 0)
+        j = int(gain.argmax()) if len(gain) else -1
+        if j >= 0 and gain[j] > best:
+            best, found = int(gain[j]), (int(inside[j]), partner)
+    return found
+
+
+def _again(sizes: np.ndarray, window: np.ndarray, room: np.ndarray, rest: np.ndarray, capacity: int) -> tuple[np.ndarray, bool]:
+    """Open the loosest third of the windows, difference their items with the rest into as many, and keep it if less is
+    left over. window and room are changed in place."""
+    opened = np.sort(np.argsort(-room, kind="stable")[: max(2, len(room) // 3)])
+    items = np.sort(np.concatenate([np.flatnonzero(np.isin(window, opened)), rest]))
+    new_window, new_room = window.copy(), room.copy()
+    for j, w in enumerate(difference(sizes[items], len(opened))):
+        new_window[items[w]] = opened[j]
+    new_room[opened] = capacity - np.bincount(np.searchsorted(opened, new_window[items]), weights=sizes[items], minlength=len(opened)).astype(np.int64)
+    left = _relieve(sizes, new_window, new_room)
+    if sizes[left].sum() >= sizes[rest].sum():
+        return rest, False
+    window[:], room[:] = new_window, new_room
+    return left, True
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Windows of item numbers, none above the capacity; every item (at most the capacity long) in exactly one."""
     items = np.flatnonzero(sizes > 0)
-    best: list[list[int]] | None = None
-    least = max(-(-int(sizes[items].sum()) // capacity), int((sizes[items] * 2 > capacity).sum()))
-    tried: set[int] = set()
+    own = sizes[items].astype(np.int64)
+    least = max(-(-int(own.sum()) // capacity), int((own * 2 > capacity).sum()))
+    best: np.ndarray | None = None
     for part in STARTS if len(items) else ():
         k = min(int(np.ceil(least * part)), len(items))
-        if k in tried or (best is not None and k >= len(best)):
-            continue
-        tried.add(k)
-        windows: list[list[int]] = []
-        rest = items
+        if best is not None and k >= best.max() + 1:
+            break
+        window, room, rest = np.full(len(own), -1, dtype=np.int64), np.empty(0, dtype=np.int64), np.arange(len(own))
         while len(rest):
-            more = k if not windows else max(1, -(-int(sizes[rest].sum()) // capacity))
-            own = [[int(rest[i]) for i in w] for w in difference(sizes[rest], more)]
-            filled, left = _fill(sizes, windows + own, capacity)
-            windows, rest = [w for w in filled if w], np.array(sorted(left), dtype=np.int64)
-        if best is None or len(windows) < len(best):
-            best = windows
-        if len(best) == least:
+            more = k if not len(room) else max(1, -(-int(own[rest].sum()) // capacity))
+            for j, w in enumerate(difference(own[rest], more)):
+                window[rest[w]] = len(room) + j
+            room = np.concatenate([room, np.full(more, capacity, dtype=np.int64)])
+            room[-more:] -= np.bincount(window[rest] - (len(room) - more), weights=own[rest], minlength=more).astype(np.int64)
+            rest = _relieve(own, window, room)
+            for _ in range(REOPENED if len(rest) else 0):
+                rest, better = _again(own, window, room, rest, capacity)
+                if not better or not len(rest):
+                    break
+        window = np.unique(window, return_inverse=True)[1]
+        if best is None or window.max() < best.max():
+            best = window
+        if best.max() + 1 <= least:
             break
-    best = best or []
-    empty = [int(i) for i in np.flatnonzero(sizes <= 0)]
+    out: list[list[int]] = [[] for _ in range(int(best.max()) + 1)] if best is not None else []
+    for i, w in zip(items.tolist(), best.tolist() if best is not None else (), strict=True):
+        out[w].append(i)
+    empty = np.flatnonzero(sizes <= 0).tolist()
     if empty:
-        best = best or [[]]
-        best[0] += empty
-    return best
+        out = out or [[]]
+        out[0] += empty
+    return out
 
 
 def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
