@@ -25,9 +25,10 @@ from rillflow.plans.sizing import broadcast_if_small
 SEGMENT = 50_000
 
 
-def with_watermark_before(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """events(seq, stream_name, ms, ...) plus source and high_before, the greatest ms of the stream's earlier rows."""
-    rows = events.withColumn("source", F.floor(F.col("seq") / segment).cast("bigint"))
+def with_watermark_before(events: DataFrame, segment: int = SEGMENT, carry: Sequence[str] = ()) -> DataFrame:
+    """seq, stream_name, ms, the columns named in carry, source, and high_before, the greatest ms of the stream's
+    earlier rows. Other columns of events are left out, so that no name can clash."""
+    rows = events.select("seq", "stream_name", "ms", *carry, F.floor(F.col("seq") / segment).cast("bigint").alias("source"))
     registers = rows.groupBy("stream_name", "source").agg(F.max("ms").alias("high"))
     earlier = Window.partitionBy("stream_name").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     base = registers.select("stream_name", "source", F.max("high").over(earlier).alias("base"))
@@ -37,10 +38,10 @@ def with_watermark_before(events: DataFrame, segment: int = SEGMENT) -> DataFram
     return joined.withColumn("high_before", F.greatest("local_high", "base")).drop("local_high", "base")
 
 
-def judged(events: DataFrame, config: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Dated rows of configured streams with last_end (end of their last window) and watermark."""
+def judged(events: DataFrame, config: DataFrame, segment: int = SEGMENT, carry: Sequence[str] = ()) -> DataFrame:
+    """Dated rows of configured streams with last_start (start of their last window) and watermark."""
     conf = config.select("stream_name", "window_size", "slide_interval", "watermark_delay", "allowed_lateness")
-    rows = with_watermark_before(events, segment).join(broadcast_if_small(conf), "stream_name")
+    rows = with_watermark_before(events, segment, carry).join(broadcast_if_small(conf), "stream_name")
     last_start = _floor_to(F.col("ms"), F.col("slide_interval"))
     return rows.where(F.col("ms").isNotNull()).withColumns(
         {"last_start": last_start, "watermark": F.col("high_before") - F.col("watermark_delay")}
@@ -53,9 +54,9 @@ def too_late(events: DataFrame, config: DataFrame, segment: int = SEGMENT) -> Da
     return judged(events, config, segment).where(F.col("watermark") >= limit)
 
 
-def window_admissions(events: DataFrame, config: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def window_admissions(events: DataFrame, config: DataFrame, segment: int = SEGMENT, carry: Sequence[str] = ()) -> DataFrame:
     """One row per dated row and window that holds it and still admits it: stream_name, window_start_ms, seq, ..."""
-    rows = judged(events, config, segment)
+    rows = judged(events, config, segment, carry)
     first = _floor_to(F.col("ms") - F.col("window_size"), F.col("slide_interval")) + F.col("slide_interval")
     starts = F.when(first <= F.col("last_start"), F.sequence(first, F.col("last_start"), F.col("slide_interval")))
     each = rows.withColumn("window_start_ms", F.explode(starts))

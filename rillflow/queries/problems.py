@@ -162,7 +162,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p5_found", f"{_JUDGED} SELECT seq FROM j WHERE watermark >= last_start + window_size + allowed_lateness")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lateness.too_late(_arrivals(spark, sf_dir).drop("event_id"), table(spark, sf_dir, "time_window_config")).select("seq")
+    return lateness.too_late(_arrivals(spark, sf_dir), table(spark, sf_dir, "time_window_config")).select("seq")
 
 
 @registry.query(
@@ -174,7 +174,7 @@ FROM x WHERE ms < window_start_ms + window_size AND (watermark IS NULL OR waterm
 )
 def p5_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = ["stream_name", "window_start_ms", "window_end_ms"]
-    admitted = lateness.window_admissions(_arrivals(spark, sf_dir), table(spark, sf_dir, "time_window_config"))
+    admitted = lateness.window_admissions(_arrivals(spark, sf_dir), table(spark, sf_dir, "time_window_config"), carry=["event_id"])
     admitted = admitted.withColumn("window_end_ms", F.col("window_start_ms") + F.col("window_size"))
     state = lateness.counter_state(admitted, period, identity="event_id")
     return lateness.totals(lateness.merge_states([state], period), period)
