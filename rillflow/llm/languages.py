@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.ppm import ByteModels
 from rillflow.llm.prose import sentences
+from rillflow.plans.sizing import spread_if_few
 
 #: At most so many samples are used for training, a bound on what the driver collects and sends out.
 MOST_SAMPLES = 20_000
@@ -149,7 +150,7 @@ def language_segments(documents: DataFrame, models: ByteModels) -> DataFrame:
                     rows.append((doc, m.classes[whole] if whole >= 0 else None, share, _segments(p, classes, sure, m.classes)))
                 yield pd.DataFrame(rows, columns=["doc_id", "lang", "confidence", "segments"])
 
-    return documents.select("doc_id", "text").mapInPandas(label, schema)
+    return spread_if_few(documents.select("doc_id", "text")).mapInPandas(label, schema)
 
 
 def _segments(parts: Sequence[str], classes: Sequence[int], sure: Sequence[float], names: Sequence[str]) -> list[dict]:

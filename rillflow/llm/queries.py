@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillflow.functions.identity import label_key
 from rillflow.llm import languages, mixing, packing, percentiles
 from rillflow.llm.tokens import token_count
+from rillflow.plans.sizing import spread_if_few
 from rillflow.queries.registry import Registry, table
 
 registry = Registry()
@@ -43,7 +44,8 @@ def p6_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    texts = spread_if_few(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return texts.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
 
 
 @registry.query("p7_containers")
