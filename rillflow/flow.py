@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 
+from rillflow.functions import validation
 from rillflow.operators import combine, eventtime, keyed, results, sequence, timecontrol, transform
 from rillflow.plans import metrics
 from rillflow.plans.pipeline import Pipe
@@ -60,6 +61,17 @@ class Flow:
     def eval_map(self, f: Callable[..., Any], schema: str) -> Flow:
         return self._with(transform.eval_mapped(self.df, f, schema))
 
+    def map_parallel(self, concurrency: int | None = None, **columns: Column) -> Flow:
+        kept = {c: self.df[c] for c in dict.fromkeys([*self.order, *self.key, *([self.ts] if self.ts else [])])}
+        return self._with(transform.map_parallel(self.df, kept | columns, concurrency))
+
+    par_eval_map = par_eval_map_unordered = map_parallel
+
+    def with_schema_validation(self, text: Column, schema: dict[str, Any]) -> tuple[Flow, Flow]:
+        """The valid rows, and the others with err."""
+        good, bad = validation.with_schema_validation(self.df, text, schema)
+        return self._with(good), self._with(bad)
+
     def batch_process(self, size: int, f: Callable[..., Any], schema: str) -> Flow:
         return self._with(transform.batch_processed(self.df, [self.df[o] for o in self.order], size, f, schema))
 
@@ -152,6 +164,12 @@ class Flow:
     def backpressure(self, bucket: Column, limit: int = 100, strategy: str = "block") -> Flow:
         return self._with(timecontrol.backpressure(self.df, self.order, bucket, limit, strategy))
 
+    def auto_backpressure(self, bucket: Column, config: timecontrol.BackpressureConfig | None = None) -> Flow:
+        return self._with(timecontrol.auto_backpressure(self.df, self.order, bucket, config))
+
+    def prefetch(self, n: int = 1) -> Flow:
+        return self._with(timecontrol.prefetch(self.df, n))
+
     def window_by_time(self, config: eventtime.TimeWindowConfig, **aggregates: Column) -> DataFrame:
         return eventtime.window_by_time(self.df, self._timed(), config, aggregates, self.key)
 
@@ -209,6 +227,9 @@ class Flow:
     def collect(self, most: int | None = None) -> list[Any]:
         return sequence.collected(self.df, self.order, most)
 
+    def collect_set(self, value: Column, most: int) -> set[Any]:
+        return sequence.collected_set(self.df, value, most)
+
     def for_each(self, f: Callable[[Any], None]) -> None:
         """Call f on the driver for each row in order, one partition at a time."""
         for row in self.df.orderBy(*self.order).toLocalIterator(prefetchPartitions=True):

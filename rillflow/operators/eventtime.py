@@ -61,22 +61,21 @@ def join_with_time_window(
     """All pairs of equal keys whose times differ by at most the window: structs left and right.
 
     Each left row is copied to the three windows-long buckets a partner can lie in, so the join is an equi-join on keys
-    and bucket even without keys, and a hot key is spread over time. Streams are joined by their times with watermarks.
+    and bucket even without keys, and a hot key is spread over time. Streams get watermarks, which bound their state.
     """
     a = left.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(keys)), col(ts_left).cast("timestamp").alias("__lt"), F.struct(*(col(c) for c in left.columns)).alias("left"))
     b = right.select(*(col(k).alias(f"__r{i}") for i, k in enumerate(keys)), col(ts_right).cast("timestamp").alias("__rt"), F.struct(*(col(c) for c in right.columns)).alias("right"))
     same = [F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(keys))]
+    bucket = F.floor(F.unix_micros("__lt") / config.window_us).cast("bigint")
     if left.isStreaming:
         delay, reach = _interval(config.watermark_delay_us), F.expr(f"interval {config.window_us} microseconds")
         a, b = a.withWatermark("__lt", delay), b.withWatermark("__rt", delay)
         near = [F.col("__rt") >= F.col("__lt") - reach, F.col("__rt") <= F.col("__lt") + reach]
-        joined = a.join(b, _all([*same, *near]))
     else:
-        bucket = F.floor(F.unix_micros("__lt") / config.window_us).cast("bigint")
-        a = a.withColumn("__lb", F.explode(F.sequence(bucket - 1, bucket + 1)))
-        b = b.withColumn("__rb", F.floor(F.unix_micros("__rt") / config.window_us).cast("bigint"))
-        apart = F.abs(F.unix_micros("__lt") - F.unix_micros("__rt"))
-        joined = a.join(b, _all([*same, F.col("__lb") == F.col("__rb"), apart <= config.window_us]))
+        near = [F.abs(F.unix_micros("__lt") - F.unix_micros("__rt")) <= config.window_us]
+    a = a.withColumn("__lb", F.explode(F.sequence(bucket - 1, bucket + 1)))
+    b = b.withColumn("__rb", F.floor(F.unix_micros("__rt") / config.window_us).cast("bigint"))
+    joined = a.join(b, _all([*same, F.col("__lb") == F.col("__rb"), *near]))
     if dedup_by_timestamps:
         joined = joined.dropDuplicates(["__lt", "__rt"])
     return joined.select("left", "right")

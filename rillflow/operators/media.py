@@ -147,6 +147,19 @@ def gaps(chunks: DataFrame, key: Sequence[str], number: str = "sequence_number")
     return seen.withColumn("__next", following).where("__next - n > 1").select(*(col(k) for k in key), (F.col("n") + 1).alias("first_missing"), (F.col("__next") - 1).alias("last_missing"))
 
 
+def stream_stats(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per stream: chunks, bytes, mean size, key frames, greatest number, numbers missing below it, and whether it ended.
+
+    Copies of a number count once in n_missing only; drop superfluous deliveries first to count each chunk once.
+    """
+    size = F.octet_length("data")
+    return chunks.groupBy(*(col(k) for k in key)).agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(size).alias("n_bytes"), F.avg(size).alias("mean_bytes"),
+        F.count_if(F.col("chunk_type") == "VideoIFrame").alias("n_key_frames"), F.max("sequence_number").alias("last_number"),
+        (F.max("sequence_number") + 1 - F.count_distinct("sequence_number")).alias("n_missing"), F.coalesce(F.bool_or("is_final"), F.lit(False)).alias("ended"),
+    )
+
+
 EVENT_ACTIVITY = {
     "StreamStarted": "media_stream_started", "StreamStopped": "media_stream_stopped", "QualityChanged": "media_quality_changed",
     "BufferUnderrun": "media_buffer_underrun", "ChunkDropped": "media_chunk_dropped",

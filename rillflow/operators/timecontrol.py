@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,31 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+STRATEGIES = ("block", "drop_oldest", "drop_newest", "error")
+
+
+@dataclass(frozen=True)
+class BackpressureConfig:
+    """How rows that come together are held. The water marks are taken for compatibility and have no effect."""
+
+    strategy: str = "block"
+    buffer_size: int = 100
+    low_watermark: int | None = None
+    high_watermark: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {self.strategy}")
+        if self.buffer_size < 1:
+            raise ValueError("a buffer holds at least one row")
+
+
+def auto_backpressure(df: DataFrame, order: Sequence[str], bucket: Column, config: BackpressureConfig | None = None) -> DataFrame:
+    """backpressure as configured, by default lossless."""
+    config = config or BackpressureConfig()
+    return backpressure(df, order, bucket, config.buffer_size, config.strategy)
+
+
 def throttle(df: DataFrame, order: Sequence[str], ts: str, every_us: int) -> DataFrame:
     """Add emit_us: nothing is dropped, but rows leave at least every_us apart, each no earlier than it came."""
     placed = with_position(df, [col(o) for o in order], "__place")
@@ -63,7 +89,7 @@ def backpressure(df: DataFrame, order: Sequence[str], bucket: Column, limit: int
         n = F.count(F.lit(1)).over(Window.partitionBy("__bucket"))
         checked = rows.withColumn("__n", F.when(n > limit, F.raise_error(F.lit(f"more than {limit} rows in a bucket")).cast("bigint")).otherwise(n))
         return checked.where(F.col("__n") > 0).drop("__n", "__bucket")
-    if strategy not in ("drop_oldest", "drop_newest"):
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     places = [col(o).desc() if strategy == "drop_oldest" else col(o) for o in order]
     number = F.row_number().over(Window.partitionBy("__bucket").orderBy(*places))

@@ -1,4 +1,4 @@
-"""Checked broadcasts."""
+"""Checked broadcasts and partition counts."""
 
 from __future__ import annotations
 
@@ -12,3 +12,12 @@ BROADCAST_ROWS = 50_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most max_rows rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """df dealt out anew if it has fewer partitions than there are cores, for work that costs far more than moving rows.
+
+    Large inputs have more partitions than cores and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

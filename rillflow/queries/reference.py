@@ -363,6 +363,11 @@ def backpressure_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timecontrol.prefetch(timecontrol.backpressure(events(spark, sf_dir), ORDER, _hour())).select("event_id")
 
 
+@query("auto_backpressure", "SELECT event_id FROM events")
+def auto_backpressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timecontrol.auto_backpressure(events(spark, sf_dir), ORDER, _hour()).select("event_id")
+
+
 @query("backpressure_error", "SELECT event_id FROM events")
 def backpressure_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timecontrol.backpressure(events(spark, sf_dir), ORDER, _hour(), 1_000_000, "error").select("event_id")
@@ -718,6 +723,17 @@ def media_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.by_priority(chunks, F.col("batch_id"), capacity=1_000_000, tie="delivery_id").select("delivery_id", "release_no")
 
 
+@query(
+    "media_stats",
+    f"""SELECT {_STREAM} AS stream_id, count(*) AS n_chunks, sum(octet_length(data))::BIGINT AS n_bytes, round(avg(octet_length(data)), 4) AS mean_bytes,
+count(*) FILTER (chunk_type = 'VideoIFrame') AS n_key_frames, max(sequence_number) AS last_number,
+max(sequence_number) + 1 - count(DISTINCT sequence_number) AS n_missing, bool_or(is_final) AS ended FROM media_chunks GROUP BY 1""",
+)
+def media_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir).withColumn("stream_id", F.lower(F.trim("stream_id")))
+    return media.stream_stats(chunks, ["stream_id"]).withColumn("mean_bytes", F.round("mean_bytes", 4))
+
+
 @query("media_events", "SELECT id AS stream_id, user_id, 'media_stream_started' AS activity_type, quality FROM media_streams")
 def media_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = table(spark, sf_dir, "media_streams").select(F.lit("StreamStarted").alias("kind"), F.col("id").alias("stream_id"), "user_id", F.col("created_at").alias("timestamp"), "quality")

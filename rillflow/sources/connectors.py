@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 from typing import Any
@@ -9,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.plans.metrics import with_metrics
+
 
 class ConnectorError(Exception):
     """What went wrong with a system outside."""
@@ -68,6 +71,14 @@ class StreamConnector(ABC):
         return {"name": self.name}
 
 
+class BidirectionalConnector(StreamConnector):
+    """A system whose answers to what is written can be read."""
+
+    @abstractmethod
+    def exchange(self, df: DataFrame) -> DataFrame:
+        """Write df and read what comes back."""
+
+
 class MemoryConnector(StreamConnector):
     """Rows in a driver-side list, for tests."""
 
@@ -188,8 +199,12 @@ class KafkaConnector(StreamConnector):
         return decoded(reader.load(), self.schema)
 
     def write(self, df: DataFrame) -> dict[str, Any]:
-        encoded(df).write.format("kafka").options(**self.config.write_options()).save()
-        return {"topic": self.config.topic}
+        """Write and report rows produced, bytes of their values, and rows a second."""
+        observed, seen = with_metrics(encoded(df), f"kafka-{self.config.topic}", F.octet_length("value"))
+        began = time.monotonic()
+        observed.write.format("kafka").options(**self.config.write_options()).save()
+        got = seen.get
+        return {"topic": self.config.topic, "produced": got["items"], "bytes": got["bytes"], "per_second": got["items"] / max(1e-9, time.monotonic() - began)}
 
     def metadata(self) -> dict[str, Any]:
         return {"name": self.name, "topic": self.config.topic, "servers": self.config.servers}

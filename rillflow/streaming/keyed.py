@@ -104,6 +104,36 @@ def count_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], value
     return stateful(df, key, order, step, ", ".join(f"{quoted(k)} {kinds[k]}" for k in names) + ", window_no bigint, total double")
 
 
+def reorder(df: DataFrame, key: Sequence[str], order: Sequence[str], number: str, window: int = 32) -> DataFrame:
+    """Release numbers of each key from 0 in order: key..., number, status. Numbers ahead wait for those missing, at most
+    window of them; then the gap is given up and the least waiting is released as 'Gap'. Numbers that were released or
+    given up come out at once as 'Duplicate' or 'Late'."""
+    names = list(key)
+
+    def step(state: list | None, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        due, waiting, skipped = state or (0, [], [])
+        held = set(waiting)
+        out = []
+        for n in rows[number].astype("int64").tolist():
+            if n < due or n in held:
+                out.append((n, "Late" if n in skipped else "Duplicate"))
+                skipped = [s for s in skipped if s != n]
+                continue
+            held.add(n)
+            while held and (due in held or len(held) > window):
+                least = min(held)
+                # What is given up is remembered only as far back as a window.
+                skipped = [*skipped, *range(max(due, least - window), least)][-window:]
+                out.append((least, "Ok" if least == due else "Gap"))
+                held.remove(least)
+                due = least + 1
+        first = rows.iloc[0]
+        return [due, sorted(held), skipped], pd.DataFrame([(*first[names], *o) for o in out], columns=[*names, number, "status"])
+
+    kinds = dict((f.name, f.dataType.simpleString()) for f in df.schema)
+    return stateful(df, key, order, step, ", ".join(f"{quoted(k)} {kinds[k]}" for k in names) + f", {quoted(number)} bigint, status string")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now into Parquet files, and read them."""
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
