@@ -29,7 +29,7 @@ from rillflow.plans.sizing import spread_if_few
 MOST_SAMPLES = 20_000
 #: The bounded sample of labelled documents that may be added: so many, none longer than so many characters.
 MOST_LABELLED, LONGEST_LABELLED = 6_000, 2_000
-OFTEN, AGREED, BELIEVED = 3, 0.6, 1.3
+OFTEN, AGREED, BELIEVED, PASSES = 3, 0.6, 1.3, 2
 #: Bits by which a sentence's language must stand out from its document's language.
 STANDS_OUT = 12.0
 #: Bits count as so many independent ones.
@@ -58,7 +58,8 @@ def train(samples: Sequence[tuple[str, str]], more: Sequence[tuple[str, str]] =
     """Models from (language, text), as written and without accents, in the form in which prose is scored.
 
     more holds texts with labels that may be wrong. A sentence that comes often takes the label that most of its texts
-    have; a rare one is used if the models of the samples find it shortest in its label's language.
+    have; a rare one is used if the models find it shortest in its label's language. PASSES models are made in turn, each
+    judging for the next.
     """
     texts: dict[str, list[str]] = {}
     for lang, text in samples:
@@ -74,12 +75,15 @@ def train(samples: Sequence[tuple[str, str]], more: Sequence[tuple[str, str]] =
     if not votes:
         return models
     said = sorted(votes)
-    for s, b in zip(said, models.code_lengths(said), strict=True):
-        (lang, most), often = votes[s].most_common(1)[0], votes[s].total()
-        shortest = models.classes[int(b.argmin())]
-        if lang == shortest or (often >= OFTEN and most >= AGREED * often and b[models.classes.index(lang)] <= BELIEVED * b.min()):
-            _add(texts, lang, s)
-    return ByteModels(texts)
+    for _ in range(PASSES):
+        more_texts = {lang: list(own) for lang, own in texts.items()}
+        for s, b in zip(said, models.code_lengths(said), strict=True):
+            (lang, most), often = votes[s].most_common(1)[0], votes[s].total()
+            shortest = models.classes[int(b.argmin())]
+            if lang == shortest or (often >= OFTEN and most >= AGREED * often and b[models.classes.index(lang)] <= BELIEVED * b.min()):
+                _add(more_texts, lang, s)
+        models = ByteModels(more_texts)
+    return models
 
 
 def _add(texts: dict[str, list[str]], lang: str, sentence: str) -> None:
