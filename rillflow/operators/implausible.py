@@ -36,7 +36,7 @@ from rillflow.plans.storage import shuffle_width
 BLOCK, HALO = 1024, 64
 SCALES = (1, 2, 4, 8)
 LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, LEAST_NEAR, WIDEST = 12, 6, 0.05, 5, 2, 5
-DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, ROUNDS = 4.0, 7.0, 0.2, 3.0, 0.15, 3
+DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE, ROUNDS = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01, 8
 
 FINE, SPIKE, STUCK, IMPOSSIBLE = 0, 1, 2, 3
 KINDS = {SPIKE: "spike", STUCK: "stuck", IMPOSSIBLE: "impossible"}
@@ -75,46 +75,52 @@ def stuck_runs(x: np.ndarray, whole: bool) -> list[tuple[int, int]]:
     longest = max((b - a - 1 for a, b in found), default=0)
     rest = len(steps) - longest
     usual = (int(flat.sum()) - longest) / rest if rest >= LEAST else 1.0
-    return found if usual <= MOST_REPEATS else []
+    if usual > MOST_REPEATS:
+        return []
+    return [(a, b) for a, b in found if rest * usual ** (b - a - 1) < BY_CHANCE]
 
 
-def _sides(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the NEAR values before each place (and after the last): their median and the median slope between them.
+def _sides(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the NEAR values before each place (and after the last): their median, the median of the slopes between them,
+    and the middle of their positions.
 
-    Where only LEAST_NEAR or more exist, the median is of those and the slope 0; where fewer exist, both are NaN.
+    Where only LEAST_NEAR or more exist, the median is of those and the slope 0; where fewer exist, all are NaN.
     """
     n = len(y)
-    middle, slope = np.full(n + 1, np.nan), np.full(n + 1, np.nan)
+    middle, slope, centre = (np.full(n + 1, np.nan) for _ in range(3))
     for i in range(LEAST_NEAR, min(NEAR, n + 1)):
-        middle[i], slope[i] = np.median(y[:i]), 0.0
+        middle[i], slope[i], centre[i] = np.median(y[:i]), 0.0, at[:i].mean()
     if n >= NEAR:
-        w = np.lib.stride_tricks.sliding_window_view(y, NEAR)
+        w, t = (np.lib.stride_tricks.sliding_window_view(v, NEAR) for v in (y, at))
         i, j = np.triu_indices(NEAR, 1)
         middle[NEAR:] = np.median(w, axis=1)
-        slope[NEAR:] = np.median((w[:, j] - w[:, i]) / (j - i), axis=1)
-    return middle, slope
+        slope[NEAR:] = np.median((w[:, j] - w[:, i]) / (t[:, j] - t[:, i]), axis=1)
+        centre[NEAR:] = t[:, NEAR // 2]
+    return middle, slope, centre
 
 
-def beyond(y: np.ndarray) -> np.ndarray:
+def beyond(y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """How far each value lies beyond what both sides of a group of up to WIDEST values, itself included, show.
 
-    What a side shows is the median of its NEAR values and their robust line extended; a value counts as beyond by the
-    least distance to any of them if it is above all or below all. A group counts by its least member; a value by its
-    best group. A group with next to nothing on one side can't be told from a change of level and counts nothing.
+    at holds the values' positions, rising; by default they follow each other. What a side shows is the median of its
+    NEAR values and their robust line extended; a value counts as beyond by the least distance to any of them if it is
+    above all or below all. A group counts by its least member; a value by its best group. A group with next to nothing
+    on one side can't be told from a change of level and counts nothing.
     """
     n = len(y)
+    at = np.arange(n, dtype=float) if at is None else at.astype(float)
     best = np.zeros(n)
-    left_mid, left_slope = _sides(y)
-    right_mid, right_slope = _sides(y[::-1])
-    right_mid, right_slope = right_mid[::-1], -right_slope[::-1]  # entry i: the values from i on
+    left_mid, left_slope, left_at = _sides(y, at)
+    right_mid, right_slope, right_at = (v[::-1] for v in _sides(y[::-1], -at[::-1]))  # entry i: the values from i on
+    right_slope, right_at = -right_slope, -right_at
     for w in range(1, WIDEST + 1):
         a = np.arange(LEAST_NEAR, n - w - LEAST_NEAR + 1)
         if not len(a):
             break
         worst = np.full(len(a), np.inf)
         for k in range(w):
-            out, back = (NEAR + 1) / 2 + k, (NEAR + 1) / 2 + w - 1 - k  # from the middles of the sides to the member
-            shown = (left_mid[a], left_mid[a] + left_slope[a] * out, right_mid[a + w], right_mid[a + w] - right_slope[a + w] * back)
+            t, b = at[a + k], a + w
+            shown = (left_mid[a], left_mid[a] + left_slope[a] * (t - left_at[a]), right_mid[b], right_mid[b] + right_slope[b] * (t - right_at[b]))
             high, low = np.maximum.reduce(shown), np.minimum.reduce(shown)
             worst = np.minimum(worst, np.maximum(np.maximum(y[a + k] - high, low - y[a + k]), 0))
         for k in range(w):
@@ -151,20 +157,16 @@ def scores(x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     score, stuck = np.zeros(n), np.zeros(n, dtype=bool)
     if n < LEAST:
         return score, stuck
-    runs = stuck_runs(x, whole)
-    for a, b in runs:
+    for a, b in stuck_runs(x, whole):
         stuck[a + 1 : b] = True
-    score = _spike_scores(x, whole)
-    if runs:
-        # The first reading of a stretch is judged by itself, as if the rest of the stretch weren't there.
-        free = np.flatnonzero(~stuck)
-        alone = _spike_scores(x[free], whole) if len(free) >= LEAST else np.zeros(len(free))
-        for a, _ in runs:
-            score[a] = alone[np.searchsorted(free, a)]
+    # The first reading of a stretch is judged by itself; the others aren't there, but their time passes.
+    free = np.flatnonzero(~stuck)
+    if len(free) >= LEAST:
+        score[free] = _spike_scores(x[free], free, whole)
     return score, stuck
 
 
-def _spike_scores(x: np.ndarray, whole: bool) -> np.ndarray:
+def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
     score = np.zeros(len(x))
     y = evened(x, whole)
     fine, base = _noise(y, whole)
@@ -178,9 +180,9 @@ def _spike_scores(x: np.ndarray, whole: bool) -> np.ndarray:
     for _ in range(ROUNDS):  # spikes found no longer stand beside others
         if not candidate[left].any() or len(left) < LEAST:
             break
-        far = beyond(y[left])
-        raw_far = far if whole else beyond(x[left])
-        new = []
+        far = beyond(y[left], at[left])
+        raw_far = far if whole else beyond(x[left], at[left])
+        passed = np.zeros(len(left))
         for i in np.flatnonzero(candidate[left] & (far > 0)):
             t = left[i]
             around = slice(max(0, t - 40), t + 41)
@@ -189,11 +191,16 @@ def _spike_scores(x: np.ndarray, whole: bool) -> np.ndarray:
             # A fall to next to nothing is as far as values can fall, however small that is in plain deviations.
             fallen = not whole and 0 <= x[t] < FALLEN * (x[t] + raw_far[i])
             if score[t] > SPIKE_LIMIT and raw > (FALLEN_LIMIT if fallen else SPIKE_LIMIT):
-                new.append(i)
-            else:
-                score[t] = min(score[t], SPIKE_LIMIT)
-        if not new:
+                passed[i] = score[t]
+            score[t] = min(score[t], SPIKE_LIMIT)
+        # One that stands beside a far greater one waits until that is out of the way.
+        reach = NEAR + WIDEST
+        padded = np.pad(passed, reach)
+        greatest = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).max(axis=1)
+        new = np.flatnonzero((passed > 0) & (2 * passed >= greatest))
+        if not len(new):
             break
+        score[left[new]] = passed[new]
         left = np.delete(left, new)
     return score
 
