@@ -109,32 +109,31 @@ def collected_models(samples: DataFrame, documents: DataFrame | None = None) ->
 def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list[int], list[float], int, float]]:
     """For each document's sentences: class and confidence of each, class (-1: none) and confidence of the whole."""
     flat = [normalised(s) for p in parts for s in p]
-    bits = models.code_lengths(flat) if flat else np.zeros((0, len(models.classes)))
-    size = np.array([len(s.encode()) for s in flat])
-    out, at = [], 0
-    for p in parts:
-        own, n = bits[at : at + len(p)], size[at : at + len(p)]
-        at += len(p)
-        if not len(p):
-            out.append(([], [], -1, 0.0))
-            continue
-        first = own.argmin(axis=1)
-        # The document's language: of the languages its sentences take, the one most bytes take.
-        weight = np.bincount(first, weights=n, minlength=own.shape[1])
-        whole = int(weight.argmax())
-        gain = own[:, whole] - own.min(axis=1)
-        first = np.where(gain < STANDS_OUT, whole, first)
-        confidence = [float(_shares(b)[c]) for b, c in zip(own, first, strict=True)]
-        share = float(np.dot(n, np.where(first == whole, confidence, 0.0)) / n.sum())
-        out.append(([int(c) for c in first], confidence, whole, share))
+    if not flat:
+        return [([], [], -1, 0.0) for _ in parts]
+    bits = models.code_lengths(flat)
+    size = np.array([len(s.encode()) for s in flat], dtype=np.float64)
+    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    shortest = bits.argmin(axis=1)
+    # A document's language: of the languages its sentences take, the one most bytes take.
+    weight = np.zeros((len(parts), bits.shape[1]))
+    np.add.at(weight, (doc, shortest), size)
+    whole = weight.argmax(axis=1)
+    row = np.arange(len(flat))
+    least = bits[row, shortest]
+    taken = np.where(bits[row, whole[doc]] - least < STANDS_OUT, whole[doc], shortest)
+    shares = np.exp2(-TEMPER * (bits - least[:, None]))
+    sure = shares[row, taken] / shares.sum(axis=1)
+    share = np.bincount(doc, np.where(taken == whole[doc], sure, 0.0) * size, len(parts)) / np.maximum(np.bincount(doc, size, len(parts)), 1.0)
+    out: list[tuple[list[int], list[float], int, float]] = []
+    at = 0
+    for i, p in enumerate(parts):
+        end = at + len(p)
+        out.append((taken[at:end].tolist(), sure[at:end].tolist(), int(whole[i]), float(share[i])) if len(p) else ([], [], -1, 0.0))
+        at = end
     return out
 
 
-def _shares(bits: np.ndarray) -> np.ndarray:
-    p = np.exp2(-TEMPER * (bits - bits.min()))
-    return p / p.sum()
-
-
 def language_segments(documents: DataFrame, models: ByteModels) -> DataFrame:
     """documents(doc_id, text) -> doc_id, lang, confidence, segments(lang, confidence, n_sentences, n_chars).
 

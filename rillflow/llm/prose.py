@@ -12,18 +12,21 @@ _BLOCKS = re.compile(
     r"|^(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+",
     re.S | re.M | re.I,
 )
-_INLINE = re.compile(
-    r"<code\b.*?(?:</code\s*>|$)|<tt\b.*?</tt\s*>|``[^`\n]+``|`[^`\n]*`"
-    r"|<a\b[^>]*>.*?(?:</a\s*>|$)|!?\[[^\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]*\]:\s*\S+"
-    r"|<?\b(?:https?|ftp|ssh|git|file)://[^\s<>\"]+>?|\bwww\.[^\s<>\"]+|\S+@\S+\.\w+"
-    r"|</?[A-Za-z][^<>\n]*>"
-    r"|(?<!\w)(?:\.{0,2}|~)/[\w.\-]+(?:/[\w.\-]+)*|\b\w+\([^)\n]*\)|\b\w*[a-z]_\w+\b|\b\w+(?:::|->|\.)\w+\(?\)?",
-    re.M | re.I,
-)
+#: Pieces inside lines, each with the strings without which it can't occur.
+_INLINE = [
+    (("<c", "<C", "<t", "<T", "`"), re.compile(r"<code\b.*?(?:</code\s*>|$)|<tt\b.*?</tt\s*>|``[^`\n]+``|`[^`\n]*`", re.M | re.I)),
+    (("<a", "<A", "](", "]:", "[u", "[U"), re.compile(r"<a\b[^>]*>.*?(?:</a\s*>|$)|!?\[[^\]\n]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]*\]:\s*\S+", re.M | re.I)),
+    (("://", "www.", "WWW."), re.compile(r"<?\b(?:https?|ftp|ssh|git|file)://[^\s<>\"]+>?|\bwww\.[^\s<>\"]+", re.I)),
+    (("@",), re.compile(r"\S+@\S+\.\w+")),
+    (("<",), re.compile(r"</?[A-Za-z][^<>\n]*>")),
+    (("/",), re.compile(r"(?<!\w)(?:\.{0,2}|~)/[\w.\-]+(?:/[\w.\-]+)*")),
+    (("(",), re.compile(r"\b\w+\([^)\n]*\)")),
+    (("_",), re.compile(r"\b\w*[a-z]_\w+\b", re.I)),
+    (("::", "->", "."), re.compile(r"\b\w+(?:::|->|\.)\w+\(?\)?")),
+]
 _QUOTE = re.compile(r"^[ ]{0,3}(?:>+ ?)+|^[ ]{0,3}(?:[-*+•]|\d+[.)])[ ]+|^#+[ ]+", re.M)
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|\n\s*\n|\n")
 _CODE_LINE = re.compile(r"[{};=]\s*$|^\s*(?:\$|>>>|#!|//|/\*|at \w+\.)|[=!<>]=|=>|\w+\s*=\s*\S|^\s*\w+:\s*\S*\s*$|^ERROR \d|^exit status|^\s*(?:for|if|while|def|elif|with)\b[^.?!]*:\s*$")
-_LETTER = re.compile(r"[^\W\d_]")
 LEAST_LETTERS = 5
 #: A sentence of a post is scored in parts of this many characters if it is longer.
 LONGEST = 4000
@@ -31,8 +34,13 @@ LONGEST = 4000
 
 def _worded(part: str) -> bool:
     """Whether there are words enough to tell a language: more than LEAST_LETTERS letters, or letters of scripts without blanks."""
-    letters = _LETTER.findall(part)
-    return len(letters) > LEAST_LETTERS or sum(c > "\u3000" for c in letters) >= 2
+    letters = 0
+    for c in part:
+        if c.isalpha():
+            letters += 1
+            if letters > LEAST_LETTERS:
+                return True
+    return sum(c.isalpha() and c > "\u3000" for c in part) >= 2
 
 
 def sentences(text: str | None) -> list[str]:
@@ -40,8 +48,13 @@ def sentences(text: str | None) -> list[str]:
     if not text:
         return []
     plain = text.replace("\r\n", "\n").replace("\r", "\n")
-    plain = _BLOCKS.sub("\n\n", plain)
-    plain = html.unescape(_INLINE.sub(" ", plain))
+    if any(m in plain for m in ("```", "~~~", "<", "[", "    ", "\t")):
+        plain = _BLOCKS.sub("\n\n", plain)
+    for marks, pattern in _INLINE:
+        if any(m in plain for m in marks):
+            plain = pattern.sub(" ", plain)
+    if "&" in plain:
+        plain = html.unescape(plain)
     plain = _QUOTE.sub("", plain)
     found = []
     for part in _BREAK.split(plain):
