@@ -34,6 +34,8 @@ OFTEN, AGREED, BELIEVED, PASSES = 3, 0.6, 1.3, 2
 STANDS_OUT = 12.0
 #: Bits count as so many independent ones.
 TEMPER = 0.2
+#: Documents judged at once.
+BATCH = 1024
 
 #: Codes by three-letter code and English name of languages; fixed values.
 NAMED = {
@@ -111,8 +113,11 @@ def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list
     flat = [normalised(s) for p in parts for s in p]
     if not flat:
         return [([], [], -1, 0.0) for _ in parts]
-    bits = models.code_lengths(flat)
-    size = np.array([len(s.encode()) for s in flat], dtype=np.float64)
+    # Sentences come again and again in a batch; each is scored once.
+    place: dict[str, int] = {}
+    which = np.array([place.setdefault(s, len(place)) for s in flat])
+    bits = models.code_lengths(list(place))[which]
+    size = np.array([len(s.encode()) for s in place], dtype=np.float64)[which]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     shortest = bits.argmin(axis=1)
     # A document's language: of the languages its sentences take, the one most bytes take.
@@ -145,8 +150,8 @@ def language_segments(documents: DataFrame, models: ByteModels) -> DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for docs in batches:
-            for a in range(0, len(docs), 256):
-                some = docs.iloc[a : a + 256]
+            for a in range(0, len(docs), BATCH):
+                some = docs.iloc[a : a + BATCH]
                 parts = [sentences(t) for t in some["text"]]
                 rows = []
                 for doc, p, (classes, sure, whole, share) in zip(some["doc_id"], parts, judge(parts, m), strict=True):

@@ -24,6 +24,8 @@ _INLINE = [
     (("_",), re.compile(r"\b\w*[a-z]_\w+\b", re.I)),
     (("::", "->", "."), re.compile(r"\b\w+(?:::|->|\.)\w+\(?\)?")),
 ]
+#: What the last of them needs between two words.
+_DOTTED = re.compile(r"(?<=\w)(?:::|->|\.)(?=\w)")
 _QUOTE = re.compile(r"^[ ]{0,3}(?:>+ ?)+|^[ ]{0,3}(?:[-*+•]|\d+[.)])[ ]+|^#+[ ]+", re.M)
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|\n\s*\n|\n")
 _CODE_LINE = re.compile(r"[{};=]\s*$|^\s*(?:\$|>>>|#!|//|/\*|at \w+\.)|[=!<>]=|=>|\w+\s*=\s*\S|^\s*\w+:\s*\S*\s*$|^ERROR \d|^exit status|^\s*(?:for|if|while|def|elif|with)\b[^.?!]*:\s*$")
@@ -32,6 +34,14 @@ LEAST_LETTERS = 5
 LONGEST = 4000
 
 
+_CODE_MARKS = frozenset("{}=<>$#/*!")
+
+
+def _may_be_code(part: str) -> bool:
+    """Whether the search for lines of code can find any: it needs one of these."""
+    return part[-1] in ";:" or not _CODE_MARKS.isdisjoint(part) or part.startswith(("at ", "ERROR ", "exit status"))
+
+
 def _worded(part: str) -> bool:
     """Whether there are words enough to tell a language: more than LEAST_LETTERS letters, or letters of scripts without blanks."""
     letters = 0
@@ -50,7 +60,8 @@ def sentences(text: str | None) -> list[str]:
     plain = text.replace("\r\n", "\n").replace("\r", "\n")
     if any(m in plain for m in ("```", "~~~", "<", "[", "    ", "\t")):
         plain = _BLOCKS.sub("\n\n", plain)
-    for marks, pattern in _INLINE:
+    dotted = _DOTTED.search(plain)
+    for marks, pattern in _INLINE if dotted else _INLINE[:-1]:
         if any(m in plain for m in marks):
             plain = pattern.sub(" ", plain)
     if "&" in plain:
@@ -61,7 +72,7 @@ def sentences(text: str | None) -> list[str]:
         if not part:
             continue
         part = " ".join(part.split())
-        if not _worded(part) or _CODE_LINE.search(part):
+        if not _worded(part) or (_may_be_code(part) and _CODE_LINE.search(part)):
             continue
         found += [part[i : i + LONGEST] for i in range(0, len(part), LONGEST)]
     return found
