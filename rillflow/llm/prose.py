@@ -34,12 +34,12 @@ LEAST_LETTERS = 5
 LONGEST = 4000
 
 
-_CODE_MARKS = frozenset("{}=<>$#/*!")
+_CODE_MARKS = frozenset("{}=<>$#/*!:")
 
 
 def _may_be_code(part: str) -> bool:
     """Whether the search for lines of code can find any: it needs one of these."""
-    return part[-1] in ";:" or not _CODE_MARKS.isdisjoint(part) or part.startswith(("at ", "ERROR ", "exit status"))
+    return part[-1] == ";" or not _CODE_MARKS.isdisjoint(part) or part.startswith(("at ", "ERROR ", "exit status"))
 
 
 def _worded(part: str) -> bool:
