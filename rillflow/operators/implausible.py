@@ -80,6 +80,11 @@ def stuck_runs(x: np.ndarray, whole: bool) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if rest * usual ** (b - a - 1) < BY_CHANCE]
 
 
+def _row_medians(rows: np.ndarray) -> np.ndarray:
+    ordered, k = np.sort(rows, axis=1), rows.shape[1]
+    return ordered[:, k // 2] if k % 2 else (ordered[:, k // 2 - 1] + ordered[:, k // 2]) / 2
+
+
 def _sides(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the NEAR values before each place (and after the last): their median, the median of the slopes between them,
     and the middle of their positions.
@@ -93,8 +98,8 @@ def _sides(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     if n >= NEAR:
         w, t = (np.lib.stride_tricks.sliding_window_view(v, NEAR) for v in (y, at))
         i, j = np.triu_indices(NEAR, 1)
-        middle[NEAR:] = np.median(w, axis=1)
-        slope[NEAR:] = np.median((w[:, j] - w[:, i]) / (t[:, j] - t[:, i]), axis=1)
+        middle[NEAR:] = _row_medians(w)
+        slope[NEAR:] = _row_medians((w[:, j] - w[:, i]) / (t[:, j] - t[:, i]))
         centre[NEAR:] = t[:, NEAR // 2]
     return middle, slope, centre
 
@@ -152,7 +157,7 @@ def _noise(y: np.ndarray, whole: bool) -> tuple[np.ndarray, float]:
 
 
 def scores(x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each reading of a series without impossible values: the spike score, and the stuck flag."""
+    """For each reading of a series without impossible values: its spike score (0 if it is none), and the stuck flag."""
     n = len(x)
     score, stuck = np.zeros(n), np.zeros(n, dtype=bool)
     if n < LEAST:
@@ -181,18 +186,20 @@ def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
         if not candidate[left].any() or len(left) < LEAST:
             break
         far = beyond(y[left], at[left])
-        raw_far = far if whole else beyond(x[left], at[left])
         passed = np.zeros(len(left))
-        for i in np.flatnonzero(candidate[left] & (far > 0)):
+        hopeful = np.flatnonzero(candidate[left] & (far > 0.7 * base * SPIKE_LIMIT))
+        raw_far = beyond(x[left], at[left]) if len(hopeful) and not whole else far
+        for i in hopeful:
             t = left[i]
             around = slice(max(0, t - 40), t + 41)
-            score[t] = far[i] / max(deviation(fine[around]), 0.7 * base)
+            own = far[i] / max(deviation(fine[around]), 0.7 * base)
+            if own <= SPIKE_LIMIT:
+                continue
             raw = raw_far[i] / max(deviation(raw_fine[around]), 0.7 * raw_base)
             # A fall to next to nothing is as far as values can fall, however small that is in plain deviations.
             fallen = not whole and 0 <= x[t] < FALLEN * (x[t] + raw_far[i])
-            if score[t] > SPIKE_LIMIT and raw > (FALLEN_LIMIT if fallen else SPIKE_LIMIT):
-                passed[i] = score[t]
-            score[t] = min(score[t], SPIKE_LIMIT)
+            if raw > (FALLEN_LIMIT if fallen else SPIKE_LIMIT):
+                passed[i] = own
         # One that stands beside a far greater one waits until that is out of the way.
         reach = NEAR + WIDEST
         padded = np.pad(passed, reach)
