@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.plans.ordering import col, with_position
+from rillflow.plans.ordering import SMALL_BYTES, col, with_position
 
 SRC = "src"
 
@@ -37,14 +37,14 @@ def par_join(streams: Sequence[DataFrame]) -> DataFrame:
 
 def interleave(streams: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
     """Round robin: adds turn and src, by which the result is ordered. An exhausted input loses its turns."""
-    placed = [with_position(s, [col(o) for o in order], "turn").withColumn(SRC, F.lit(i)) for i, s in enumerate(streams)]
+    placed = [with_position(s, [col(o) for o in order], "turn", small_bytes=SMALL_BYTES).withColumn(SRC, F.lit(i)) for i, s in enumerate(streams)]
     return reduce(DataFrame.unionByName, placed)
 
 
 def zipped(left: DataFrame, right: DataFrame, order_left: Sequence[str], order_right: Sequence[str]) -> DataFrame:
     """Pairs by position up to the end of the shorter: rn, left and right as structs."""
-    a = with_position(left, [col(o) for o in order_left]).select("rn", F.struct(*(col(c) for c in left.columns)).alias("left"))
-    b = with_position(right, [col(o) for o in order_right]).select("rn", F.struct(*(col(c) for c in right.columns)).alias("right"))
+    a = with_position(left, [col(o) for o in order_left], small_bytes=SMALL_BYTES).select("rn", F.struct(*(col(c) for c in left.columns)).alias("left"))
+    b = with_position(right, [col(o) for o in order_right], small_bytes=SMALL_BYTES).select("rn", F.struct(*(col(c) for c in right.columns)).alias("right"))
     return a.join(b, "rn")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.plans.ordering import BLOCK_ROWS, block_window, blocked, col, own_rows, running_sums, with_position
+from rillflow.plans.ordering import BLOCK_ROWS, SMALL_BYTES, block_window, blocked, col, own_rows, running_sums, with_position
 
 
 def _columns(order: Sequence[str]) -> list[Column]:
@@ -27,7 +27,7 @@ def drop(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """All but the first n rows."""
     if n <= 0:
         return df
-    return with_position(df, _columns(order), "__rn").where(F.col("__rn") > n).drop("__rn")
+    return with_position(df, _columns(order), "__rn", small_bytes=SMALL_BYTES).where(F.col("__rn") > n).drop("__rn")
 
 
 def first_where(df: DataFrame, order: Sequence[str], condition: Column) -> Column | None:
@@ -62,7 +62,7 @@ def chunk(df: DataFrame, order: Sequence[str], size: int, items: Sequence[str])
 
     Size 0 gives one chunk of everything.
     """
-    placed = with_position(df, _columns(order))
+    placed = with_position(df, _columns(order), small_bytes=SMALL_BYTES)
     number = F.floor((F.col("rn") - 1) / size).cast("bigint") if size > 0 else F.lit(0).cast("bigint")
     return _gathered(placed.withColumn("chunk_no", number), ["chunk_no"], items)
 
@@ -76,7 +76,7 @@ def sliding_window(df: DataFrame, order: Sequence[str], size: int, items: Sequen
     """Every size successive rows, one step on each time, only full ones: rn of the last row, and items in order."""
     if size <= 0:
         return df.sparkSession.createDataFrame([], "rn bigint").join(df.limit(0).select(F.array().alias("items")))
-    framed = blocked(df, _columns(order), before=size - 1)
+    framed = blocked(df, _columns(order), before=size - 1, small_bytes=SMALL_BYTES)
     w = block_window().rowsBetween(-(size - 1), 0)
     rows = framed.withColumn("items", F.collect_list(F.struct(*(col(i) for i in items))).over(w))
     return own_rows(rows).where(F.col("rn") >= size).select("rn", "items")
@@ -84,7 +84,7 @@ def sliding_window(df: DataFrame, order: Sequence[str], size: int, items: Sequen
 
 def sliding_aggregate(df: DataFrame, order: Sequence[str], size: int, **aggregates: Column) -> DataFrame:
     """As sliding_window, with aggregates in place of the rows."""
-    framed = blocked(df, _columns(order), before=size - 1)
+    framed = blocked(df, _columns(order), before=size - 1, small_bytes=SMALL_BYTES)
     w = block_window().rowsBetween(-(size - 1), 0)
     rows = framed.withColumns({n: a.over(w) for n, a in aggregates.items()})
     return own_rows(rows).where(F.col("rn") >= size)
@@ -92,11 +92,11 @@ def sliding_aggregate(df: DataFrame, order: Sequence[str], size: int, **aggregat
 
 def with_run(df: DataFrame, order: Sequence[str], key: Column) -> DataFrame:
     """Add rn and run, the number from 1 of the run of successive equal keys (null equals null)."""
-    framed = blocked(df.withColumn("__key", key), _columns(order), before=1)
+    framed = blocked(df.withColumn("__key", key), _columns(order), before=1, small_bytes=SMALL_BYTES)
     before = F.lag("__key").over(block_window())
     changes = (F.col("rn") == 1) | ~before.eqNullSafe(F.col("__key"))
     marked = own_rows(framed.withColumn("__new", changes.cast("bigint"))).drop("__key")
-    return running_sums(marked, [], [F.col("rn")], {"run": F.col("__new")}, label="runs").drop("__new")
+    return running_sums(marked, [], [F.col("rn")], {"run": F.col("__new")}, label="runs", small_bytes=SMALL_BYTES).drop("__new")
 
 
 def group_adjacent_by(df: DataFrame, order: Sequence[str], key: Column, items: Sequence[str]) -> DataFrame:
@@ -126,7 +126,7 @@ def distinct_until_changed(df: DataFrame, order: Sequence[str], value: Column, k
         before = F.lag("__value").over(Window.partitionBy(*(col(k) for k in key)).orderBy(*_columns(order)))
         first = F.row_number().over(Window.partitionBy(*(col(k) for k in key)).orderBy(*_columns(order))) == 1
     else:
-        seen = blocked(seen, _columns(order), before=1)
+        seen = blocked(seen, _columns(order), before=1, small_bytes=SMALL_BYTES)
         before, first = F.lag("__value").over(block_window()), F.col("rn") == 1
     marked = seen.withColumns({"__before": before, "__first": first})
     same = F.col("__before").eqNullSafe(F.col("__value"))
@@ -138,12 +138,12 @@ def distinct_until_changed(df: DataFrame, order: Sequence[str], value: Column, k
 
 def scan(df: DataFrame, order: Sequence[str], **sums: Column) -> DataFrame:
     """Running sums after each row; the start value isn't emitted. Counts are sums of 1."""
-    return running_sums(df, [], _columns(order), sums, label="scan")
+    return running_sums(df, [], _columns(order), sums, label="scan", small_bytes=SMALL_BYTES)
 
 
 def running_extremes(df: DataFrame, order: Sequence[str], value: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running minimum and maximum of value after each row, from blocks and the extremes of the blocks before them."""
-    placed = with_position(df.withColumn("__value", value), _columns(order))
+    placed = with_position(df.withColumn("__value", value), _columns(order), small_bytes=SMALL_BYTES)
     placed = placed.withColumn("__b", F.floor((F.col("rn") - 1) / block_rows))
     inside = Window.partitionBy("__b").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
@@ -163,7 +163,7 @@ def fold(df: DataFrame, **aggregates: Column) -> DataFrame:
 def ordered_fold(df: DataFrame, order: Sequence[str], item: Column, init: Column, step, block_rows: int = BLOCK_ROWS, combine=None) -> DataFrame:  # noqa: ANN001
     """A fold whose step depends on the order. With combine, blocks are folded apart and their results combined in
     order; without, the whole stream must fit into one value, and more than block_rows rows are refused."""
-    placed = with_position(df.withColumn("__item", item), _columns(order)).select("rn", "__item")
+    placed = with_position(df.withColumn("__item", item), _columns(order), small_bytes=SMALL_BYTES).select("rn", "__item")
     if combine is None:
         rows = F.transform(F.sort_array(F.collect_list(F.struct("rn", "__item"))), lambda x: x["__item"])
         checked = placed.where(F.when(F.col("rn") > block_rows, F.raise_error(F.lit("too many rows for a fold without combine"))).isNull())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.operators.sequence import running_extremes
-from rillflow.plans.ordering import block_window, blocked, col, own_rows, with_position
+from rillflow.plans.ordering import SMALL_BYTES, block_window, blocked, col, own_rows, with_position
 
 
 def micros(c: Column) -> Column:
@@ -43,7 +43,7 @@ def auto_backpressure(df: DataFrame, order: Sequence[str], bucket: Column, confi
 
 def throttle(df: DataFrame, order: Sequence[str], ts: str, every_us: int) -> DataFrame:
     """Add emit_us: nothing is dropped, but rows leave at least every_us apart, each no earlier than it came."""
-    placed = with_position(df, [col(o) for o in order], "__place")
+    placed = with_position(df, [col(o) for o in order], "__place", small_bytes=SMALL_BYTES)
     spaced = (F.col("__place") - 1) * every_us
     ahead = running_extremes(placed, order, micros(col(ts)) - spaced)
     return ahead.withColumn("emit_us", F.col("running_max") + spaced).drop("running_min", "running_max", "__place")
@@ -51,7 +51,7 @@ def throttle(df: DataFrame, order: Sequence[str], ts: str, every_us: int) -> Dat
 
 def debounce(df: DataFrame, order: Sequence[str], ts: str, quiet_us: int) -> DataFrame:
     """The rows followed by more than quiet_us of silence, and the last."""
-    framed = blocked(df, [col(o) for o in order], after=1)
+    framed = blocked(df, [col(o) for o in order], after=1, small_bytes=SMALL_BYTES)
     following = framed.withColumn("__next", F.lead(micros(col(ts))).over(block_window()))
     kept = own_rows(following).where(F.col("__next").isNull() | (F.col("__next") - micros(col(ts)) > quiet_us))
     return kept.drop("__next", "rn")
@@ -67,7 +67,7 @@ def sample(df: DataFrame, order: Sequence[str], ts: str, every_us: int, start_us
 def timeout(df: DataFrame, order: Sequence[str], ts: str, limit_us: int) -> DataFrame:
     """Add err_kind, null for the rows; before a row that came k whole limits after the one before it, k rows with
     err_kind 'Timeout' and the times at which the limit passed, their other columns null."""
-    framed = blocked(df, [col(o) for o in order], before=1)
+    framed = blocked(df, [col(o) for o in order], before=1, small_bytes=SMALL_BYTES)
     now = micros(col(ts))
     gaps = own_rows(framed.withColumn("__last", F.lag(now).over(block_window())))
     missed = F.floor((now - F.col("__last")) / limit_us)

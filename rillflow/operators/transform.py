@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.plans.ordering import col, with_position
+from rillflow.plans.ordering import SMALL_BYTES, col, with_position
 
 
 def mapped(df: DataFrame, **columns: Column) -> DataFrame:
@@ -57,7 +57,7 @@ def map_parallel(df: DataFrame, columns: Mapping[str, Column], concurrency: int
 
 def batch_processed(df: DataFrame, order: Sequence[Column], size: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Cut the ordered rows into chunks of size, map each chunk by f and flatten. f sees its rows in order, with rn."""
-    placed = with_position(df, order).withColumn("__chunk", F.floor((F.col("rn") - 1) / size))
+    placed = with_position(df, order, small_bytes=SMALL_BYTES).withColumn("__chunk", F.floor((F.col("rn") - 1) / size))
 
     def one(chunk: pd.DataFrame) -> pd.DataFrame:
         return f(chunk.sort_values("rn").drop(columns="__chunk").reset_index(drop=True))

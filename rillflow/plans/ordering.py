@@ -34,6 +34,15 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
+#: Estimated bytes up to which a whole stream is ordered in one task instead, by those who allow it.
+SMALL_BYTES = 8 << 20
+
+
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether the optimizer's estimate of df, from file sizes and widths, is within limit. Runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def range_partitioned(df: DataFrame, keys: Sequence[Column], label: str, part: str = PART) -> DataFrame:
     """df range-partitioned by keys and written, with its partition number in the column part.
 
@@ -50,12 +59,16 @@ def running_sums(
     measures: Mapping[str, Column],
     totals: bool = False,
     label: str = "running",
+    small_bytes: int = 0,
 ) -> DataFrame:
     """Add for each measure the sum over its group's rows up to and including the row, in the given unique order.
 
     With totals, <name>_total is the sum over the whole group. Nulls in group columns form a group of their own; a
-    null measure counts as 0. An empty df gives an empty result. Names in measures must be new.
+    null measure counts as 0. An empty df gives an empty result. Names in measures must be new. A df estimated within
+    small_bytes is summed by a plain window; a wrong estimate costs time, not rows.
     """
+    if small_bytes and is_small(df, small_bytes):
+        return _plain_sums(df, group, order, measures, totals)
     part = free_name(df, PART)
     weighted = df.withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
     ranged = range_partitioned(weighted, [*(col(g) for g in group), *order], label, part)
@@ -89,9 +102,22 @@ def running_sums(
     )
 
 
-def with_position(df: DataFrame, order: Sequence[Column], name: str = "rn", group: Sequence[str] = ()) -> DataFrame:
+def _plain_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column], totals: bool) -> DataFrame:
+    whole = Window.partitionBy(*(col(g) for g in group))
+    upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = {m: F.coalesce(c, F.lit(0)) for m, c in measures.items()}
+    return df.select(
+        *(col(c) for c in df.columns if c not in measures),
+        *(F.sum(c).over(upto).alias(m) for m, c in filled.items()),
+        *(F.sum(c).over(whole).alias(f"{m}_total") for m, c in filled.items() if totals),
+    )
+
+
+def with_position(
+    df: DataFrame, order: Sequence[Column], name: str = "rn", group: Sequence[str] = (), small_bytes: int = 0
+) -> DataFrame:
     """Add the 1-based position of each row in the order (inside its group), as BIGINT."""
-    return running_sums(df, group, order, {name: F.lit(1).cast("bigint")}, label="position")
+    return running_sums(df, group, order, {name: F.lit(1).cast("bigint")}, label="position", small_bytes=small_bytes)
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -107,7 +133,13 @@ BLOCK_ROWS = 100_000
 
 
 def blocked(
-    df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), before: int = 0, after: int = 0, block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    order: Sequence[Column],
+    group: Sequence[str] = (),
+    before: int = 0,
+    after: int = 0,
+    block_rows: int = BLOCK_ROWS,
+    small_bytes: int = 0,
 ) -> DataFrame:
     """df cut into blocks of successive rows, for window functions with a bounded reach in a total order.
 
@@ -117,7 +149,9 @@ def blocked(
     """
     if max(before, after) > block_rows:
         raise ValueError("the reach must not exceed a block")
-    placed = with_position(df, order, "rn", group)
+    placed = with_position(df, order, "rn", group, small_bytes)
+    if small_bytes and is_small(df, small_bytes):
+        return placed.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn(OWN, F.lit(True))
     home = F.floor((F.col("rn") - 1) / block_rows).cast("bigint")
     into = F.pmod(F.col("rn") - 1, F.lit(block_rows))
     also = [home]

@@ -17,6 +17,14 @@ from rillflow.sources import builders
 START = datetime(2025, 1, 1, tzinfo=timezone.utc)
 
 
+@pytest.fixture(autouse=True, params=["spread", "small"])
+def way(request, monkeypatch):
+    """Each operator is tested in the form for large streams and in that for small ones."""
+    if request.param == "spread":
+        for module in (combine, sequence, timecontrol, transform):
+            monkeypatch.setattr(module, "SMALL_BYTES", 0)
+
+
 def ints(spark, values):
     return builders.from_rows(spark, values, "x int")
 

@@ -53,3 +53,12 @@ def test_written_tables_go_to_the_shared_folder(spark):
     assert kept.inputFiles() and all(folder in f for f in kept.inputFiles())
     storage.delete(spark, kept.inputFiles()[0])
 
+
+
+def test_small_streams_are_told_from_large(spark):
+    small, large = spark.range(100), spark.range(10**9)
+    assert ordering.is_small(small, 10_000) and not ordering.is_small(large, 10_000)
+    by = [F.col("id")]
+    for limit in (0, 10_000):
+        sums = ordering.running_sums(small, [], by, {"s": F.col("id")}, totals=True, small_bytes=limit).collect()
+        assert all(r.s == r.id * (r.id + 1) // 2 and r.s_total == 4950 for r in sums) and len(sums) == 100
