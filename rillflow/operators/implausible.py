@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rillflow.functions.identity import label_key
 from rillflow.plans.ordering import with_position
 from rillflow.plans.sizing import broadcast_if_small
-from rillflow.plans.storage import shuffle_width
+from rillflow.plans.storage import materialize, shuffle_width
 
 BLOCK, HALO = 1024, 64
 SCALES = (1, 2, 4, 8)
@@ -248,6 +248,7 @@ def implausible(metrics: DataFrame, kinds: DataFrame, block: int = BLOCK, halo:
     judged = spread.mapInArrow(_judge_blocks, "source string, metric_type string, us bigint, value double, kind byte")
     named = F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k).cast("byte"), F.lit(v))))
     found = judged.select("source", "metric_type", "us", "value", named[F.col("kind")].alias("reason"))
+    found = broadcast_if_small(materialize(found, "implausible"))
     return rows.join(found, ["source", "metric_type", "us", "value"]).select("metric_id", "reason")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from rillflow.plans.sizing import broadcast_if_small
 from rillflow.plans.storage import materialize, shuffle_width
 
 PART = "__part"
@@ -93,7 +94,7 @@ def running_sums(
     )
     local = ranged.withColumns({f"__sum_{i}": F.sum(col(m)).over(inside) for i, m in enumerate(measures)})
     same = [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [col(part) == F.col("__p")]
-    joined = local.join(offsets, _all(same))
+    joined = local.join(broadcast_if_small(offsets), _all(same))
     names = list(measures)
     return joined.select(
         *(col(c) for c in df.columns if c not in measures),
@@ -116,8 +117,29 @@ def _plain_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], me
 def with_position(
     df: DataFrame, order: Sequence[Column], name: str = "rn", group: Sequence[str] = (), small_bytes: int = 0
 ) -> DataFrame:
-    """Add the 1-based position of each row in the order (inside its group), as BIGINT."""
-    return running_sums(df, group, order, {name: F.lit(1).cast("bigint")}, label="position", small_bytes=small_bytes)
+    """Add the 1-based position of each row in the order (inside its group), as BIGINT.
+
+    The rows are written sorted inside range partitions, each with its place there; a position is the distance from the
+    first row of the group in the partition, plus the group's rows in earlier partitions. As long as those offsets (one
+    row per group and partition that hold each other) are few, they are broadcast and the rows aren't moved again.
+    """
+    if small_bytes and is_small(df, small_bytes):
+        return _plain_sums(df, group, order, {name: F.lit(1).cast("bigint")}, totals=False)
+    place = free_name(df, "__place")
+    groups = [col(g) for g in group]
+    spread = df.repartitionByRange(shuffle_width(df), *groups, *order).sortWithinPartitions(*groups, *order)
+    placed = materialize(spread.withColumn(place, F.monotonically_increasing_id()), "position")
+    part = F.shiftright(col(place), 33)
+    share = placed.groupBy(*groups, part.alias("__p")).agg(F.min(col(place)).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = share.select(
+        *(g.alias(f"__g{i}") for i, g in enumerate(groups)),
+        "__p",
+        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+    )
+    same = [g.eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] + [part == F.col("__p")]
+    joined = placed.join(broadcast_if_small(offsets), _all(same))
+    return joined.select(*(col(c) for c in df.columns if c != name), (col(place) + F.col("__shift")).alias(name))
 
 
 def _all(conditions: Sequence[Column]) -> Column:
