@@ -139,26 +139,27 @@ def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list
     return out
 
 
-def language_segments(documents: DataFrame, models: ByteModels) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, lang, confidence, segments(lang, confidence, n_sentences, n_chars).
+def language_segments(documents: DataFrame, models: ByteModels, label: Column | None = None) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, label, lang, confidence, segments(lang, confidence, n_sentences, n_chars).
 
-    A segment is a stretch of successive sentences of one language.
+    A segment is a stretch of successive sentences of one language. label is a string that is carried along.
     """
     sent = documents.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_SAMPLES
-    schema = "doc_id bigint, lang string, confidence double, segments array<struct<lang:string,confidence:double,n_sentences:int,n_chars:int>>"
+    schema = "doc_id bigint, label string, lang string, confidence double, segments array<struct<lang:string,confidence:double,n_sentences:int,n_chars:int>>"
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for docs in batches:
             for a in range(0, len(docs), BATCH):
                 some = docs.iloc[a : a + BATCH]
                 parts = [sentences(t) for t in some["text"]]
                 rows = []
-                for doc, p, (classes, sure, whole, share) in zip(some["doc_id"], parts, judge(parts, m), strict=True):
-                    rows.append((doc, m.classes[whole] if whole >= 0 else None, share, _segments(p, classes, sure, m.classes)))
-                yield pd.DataFrame(rows, columns=["doc_id", "lang", "confidence", "segments"])
+                for doc, given, p, (classes, sure, whole, share) in zip(some["doc_id"], some["label"], parts, judge(parts, m), strict=True):
+                    rows.append((doc, given, m.classes[whole] if whole >= 0 else None, share, _segments(p, classes, sure, m.classes)))
+                yield pd.DataFrame(rows, columns=["doc_id", "label", "lang", "confidence", "segments"])
 
-    return spread_if_few(documents.select("doc_id", "text")).mapInPandas(label, schema)
+    given = F.lit(None).cast("string") if label is None else label
+    return spread_if_few(documents.select("doc_id", "text", given.alias("label"))).mapInPandas(found, schema)
 
 
 def _segments(parts: Sequence[str], classes: Sequence[int], sure: Sequence[float], names: Sequence[str]) -> list[dict]:
@@ -184,7 +185,8 @@ def label_code(label: Column, named: Mapping[str, str] = NAMED) -> Column:
 
 def mislabelled(documents: DataFrame, models: ByteModels) -> DataFrame:
     """documents(doc_id, text, lang) -> (doc_id, lang) for each language of a document whose label doesn't tell it."""
-    seen = language_segments(documents, models).select("doc_id", F.array_distinct(F.transform("segments", lambda s: s["lang"])).alias("langs"))
-    labels = documents.select("doc_id", label_code(F.col("lang")).alias("label"))
+    seen = language_segments(documents, models, label_code(F.col("lang")))
+    langs = F.array_distinct(F.transform("segments", lambda x: x["lang"]))
+    judged = seen.select("doc_id", "label", langs.alias("langs"))
     wrong = (F.size("langs") > 1) | F.col("label").isNull() | (F.col("langs")[0] != F.col("label"))
-    return seen.join(labels, "doc_id").where((F.size("langs") > 0) & wrong).select("doc_id", F.explode("langs").alias("lang"))
+    return judged.where((F.size("langs") > 0) & wrong).select("doc_id", F.explode("langs").alias("lang"))
