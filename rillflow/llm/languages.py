@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,32 +147,44 @@ def language_segments(documents: DataFrame, models: ByteModels, label: Column |
     sent = documents.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_SAMPLES
     schema = "doc_id bigint, label string, lang string, confidence double, segments array<struct<lang:string,confidence:double,n_sentences:int,n_chars:int>>"
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for docs in batches:
-            for a in range(0, len(docs), BATCH):
-                some = docs.iloc[a : a + BATCH]
-                parts = [sentences(t) for t in some["text"]]
-                rows = []
-                for doc, given, p, (classes, sure, whole, share) in zip(some["doc_id"], some["label"], parts, judge(parts, m), strict=True):
-                    rows.append((doc, given, m.classes[whole] if whole >= 0 else None, share, _segments(p, classes, sure, m.classes)))
-                yield pd.DataFrame(rows, columns=["doc_id", "label", "lang", "confidence", "segments"])
+            for a in range(0, docs.num_rows, BATCH):
+                some = docs.slice(a, BATCH)
+                parts = [sentences(t) for t in some.column(1).to_pylist()]
+                judged = judge(parts, m)
+                languages = [m.classes[whole] if whole >= 0 else None for _, _, whole, _ in judged]
+                columns = [some.column(0), some.column(2), pa.array(languages, pa.string()), pa.array([share for *_, share in judged], pa.float64()), _segments(parts, judged, m.classes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "lang", "confidence", "segments"])
 
     given = F.lit(None).cast("string") if label is None else label
-    return spread_if_few(documents.select("doc_id", "text", given.alias("label"))).mapInPandas(found, schema)
-
-
-def _segments(parts: Sequence[str], classes: Sequence[int], sure: Sequence[float], names: Sequence[str]) -> list[dict]:
-    out: list[dict] = []
-    for i, (s, c, p) in enumerate(zip(parts, classes, sure, strict=True)):
-        if i and classes[i - 1] == c:
-            last = out[-1]
-            last["confidence"] = (last["confidence"] * last["n_sentences"] + p) / (last["n_sentences"] + 1)
-            last["n_sentences"] += 1
-            last["n_chars"] += len(s)
-        else:
-            out.append({"lang": names[c], "confidence": p, "n_sentences": 1, "n_chars": len(s)})
-    return out
+    return spread_if_few(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", given.alias("label"))).mapInArrow(found, schema)
+
+
+def _segments(parts: Sequence[Sequence[str]], judged: Sequence[tuple[list[int], list[float], int, float]], names: Sequence[str]) -> pa.ListArray:
+    """Of each document its stretches of successive sentences of one language, with their mean confidence."""
+    ends, langs, sure, n_sentences, n_chars = [0], [], [], [], []
+    for p, (classes, confidence, _, _) in zip(parts, judged, strict=True):
+        before = -1
+        for s, c, x in zip(p, classes, confidence, strict=True):
+            if c == before:
+                sure[-1] += x
+                n_sentences[-1] += 1
+                n_chars[-1] += len(s)
+            else:
+                langs.append(names[c])
+                sure.append(x)
+                n_sentences.append(1)
+                n_chars.append(len(s))
+            before = c
+        ends.append(len(langs))
+    means = np.array(sure) / np.maximum(np.array(n_sentences), 1) if sure else np.empty(0)
+    struct = pa.StructArray.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(means, pa.float64()), pa.array(n_sentences, pa.int32()), pa.array(n_chars, pa.int32())],
+        names=["lang", "confidence", "n_sentences", "n_chars"],
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
 
 
 def label_code(label: Column, named: Mapping[str, str] = NAMED) -> Column:
