@@ -75,7 +75,8 @@ def _gathered(df: DataFrame, by: Sequence[str], items: Sequence[str], place: str
 def sliding_window(df: DataFrame, order: Sequence[str], size: int, items: Sequence[str]) -> DataFrame:
     """Every size successive rows, one step on each time, only full ones: rn of the last row, and items in order."""
     if size <= 0:
-        return df.sparkSession.createDataFrame([], "rn bigint").join(df.limit(0).select(F.array().alias("items")))
+        none = df.where(F.lit(False))
+        return none.select(F.lit(0).cast("bigint").alias("rn"), F.array(F.struct(*(col(i) for i in items))).alias("items"))
     framed = blocked(df, _columns(order), before=size - 1, small_bytes=SMALL_BYTES)
     w = block_window().rowsBetween(-(size - 1), 0)
     rows = framed.withColumn("items", F.collect_list(F.struct(*(col(i) for i in items))).over(w))
