@@ -1,11 +1,13 @@
 """Implausible readings in measured series: spikes, stuck stretches and impossible values.
 
 Each series (source and kind of measurement) is cut by rank into blocks of ``block`` readings with ``halo`` readings of
-its neighbours on both sides, so that no series, however long, is handled by one task. Inside a block:
+its neighbours on both sides, so that no series, however long, is judged by one task. Stuck stretches are joined over
+blocks: the usual step of a series comes from counts of all its steps, blocks tell their flat runs and those that reach
+their borders, and a series' runs, not its readings, are put together in order. Of a series:
 
 1. bounds and wholeness find impossible readings, which are left out of what follows;
-2. runs in which the finest detail is zero, or all but zero, in a series that normally changes at every reading, are
-   stuck stretches, from their second reading on;
+2. runs of any length in which the finest detail is zero, or all but zero, in a series that normally changes at every
+   reading, are stuck stretches, from their second reading on;
 3. an undecimated wavelet with two vanishing moments (detail at scale s: x[i] - (x[i-s] + x[i+s]) / 2, s = 1, 2, 4, 8;
    lines give 0) is taken of the rest on an inverse hyperbolic sine scale. Details beyond DETAIL_LIMIT robust
    standard deviations, estimated by medians of details, make a reading a candidate;
@@ -22,10 +24,11 @@ or missing bind nothing; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.identity import label_key
@@ -38,6 +41,9 @@ SCALES = (1, 2, 4, 8)
 LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, LEAST_NEAR, WIDEST = 12, 6, 0.05, 5, 2, 5
 DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE, ROUNDS = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01, 8
 
+#: Steps are counted in buckets of equal sign, exponent and first 6 bits of the fraction (1.6 % wide).
+BUCKET_BITS = 46
+
 FINE, SPIKE, STUCK, IMPOSSIBLE = 0, 1, 2, 3
 KINDS = {SPIKE: "spike", STUCK: "stuck", IMPOSSIBLE: "impossible"}
 
@@ -62,30 +68,145 @@ def details(x: np.ndarray, scale: int) -> np.ndarray:
     return long[k : k + n] - (long[:n] + long[2 * k : 2 * k + n]) / 2
 
 
+def usual_step(steps: np.ndarray) -> float:
+    """The median of the steps that aren't zero, each taken as the greatest of its bucket, as over many blocks."""
+    moved = np.sort(steps[steps > 0])
+    if not len(moved):
+        return 0.0
+    bucket = moved.view(np.int64) >> BUCKET_BITS
+    ranks = np.array([(len(moved) - 1) // 2, len(moved) // 2])
+    return float(moved[np.searchsorted(bucket, bucket[ranks], "right") - 1].mean())
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Successive readings of a block with flat steps between them: how many, the places of the first and the last, and
+    those readings that can tell where a level is left: the first STUCK_LENGTH and each that is greater or less than all
+    before it, by number, value and the place of the reading before."""
+
+    count: int
+    first: int
+    last: int
+    number: np.ndarray
+    value: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, at: np.ndarray) -> Piece:
+        high, low = np.maximum.accumulate(x), np.minimum.accumulate(x)
+        keep = np.arange(len(x)) < STUCK_LENGTH
+        keep[1:] |= (high[1:] > high[:-1]) | (low[1:] < low[:-1])
+        number = np.flatnonzero(keep)
+        return cls(len(x), int(at[0]), int(at[-1]), number, x[number], at[np.maximum(number - 1, 0)])
+
+
+class Run:
+    """A flat run put together from pieces; a slow drift in small steps isn't stuck, so it is cut where it leaves its
+    first values' surroundings."""
+
+    def __init__(self, near: float) -> None:
+        self.near, self.count, self.first, self.last = near, 0, 0, 0
+        self.level: float | None = None
+        self.stop: tuple[int, int] | None = None  # readings before the one that leaves the level, and the last of them
+        self.waiting: list[tuple[int, float, int]] = []
+
+    def add(self, piece: Piece) -> None:
+        self.first = self.first if self.count else piece.first
+        if self.stop is None:
+            before = [self.last if n == 0 else int(b) for n, b in zip(piece.number, piece.before, strict=True)]
+            self.waiting += zip((int(n) + self.count for n in piece.number), map(float, piece.value), before, strict=True)
+        self.count, self.last = self.count + piece.count, piece.last
+        if self.level is None and self.count >= STUCK_LENGTH:
+            self.level = median(np.array([v for n, v, _ in self.waiting if n < STUCK_LENGTH]))
+        if self.level is not None:
+            self.stop = self.stop or next(((n, b) for n, v, b in self.waiting if abs(v - self.level) > self.near), None)
+            self.waiting = []
+
+    def found(self) -> tuple[int, int, int, float] | None:
+        """First and last place, readings and level, if long enough."""
+        count, last = self.stop or (self.count, self.last)
+        return (self.first, last, count, self.level) if self.level is not None and count >= STUCK_LENGTH else None
+
+
+@dataclass(frozen=True)
+class BlockRuns:
+    """What joining needs to know of a block's own possible readings: steps between them, flat ones among them, the
+    first and the last value, the pieces that reach its borders (one if it is the whole block) and the runs within."""
+
+    steps: int
+    flats: int
+    first: float
+    last: float
+    pieces: list[Piece]
+    within: list[tuple[int, int, int, float]]
+
+
+def block_runs(x: np.ndarray, at: np.ndarray, near: float) -> BlockRuns:
+    flat = np.abs(np.diff(x)) <= near
+    ends = np.flatnonzero(~flat) + 1  # where a flat run, if only of one reading, begins after another
+    starts, stops = np.concatenate([[0], ends]), np.concatenate([ends, [len(x)]])
+    border = [0] if len(starts) == 1 else [0, len(starts) - 1]
+    within = []
+    for i in np.flatnonzero(stops - starts >= STUCK_LENGTH):
+        if i not in border:
+            run = Run(near)
+            run.add(Piece.of(x[starts[i] : stops[i]], at[starts[i] : stops[i]]))
+            within += [run.found()] if run.found() else []
+    pieces = [Piece.of(x[starts[i] : stops[i]], at[starts[i] : stops[i]]) for i in border]
+    return BlockRuns(len(flat), int(flat.sum()), float(x[0]), float(x[-1]), pieces, within)
+
+
+class SeriesRuns:
+    """Joins the runs of a series' blocks, given in order, and tells which are stuck by all the series' readings."""
+
+    def __init__(self, near: float) -> None:
+        self.near, self.steps, self.flats = near, 0, 0
+        self.runs: list[tuple[int, int, int, float]] = []
+        self.open: Run | None = None
+        self.value = 0.0
+
+    def add(self, block: BlockRuns) -> None:
+        if self.open is not None:
+            goes_on = abs(block.first - self.value) <= self.near
+            self.steps, self.flats = self.steps + 1, self.flats + goes_on
+            if not goes_on:
+                self._close()
+        self.open = self.open or Run(self.near)
+        self.open.add(block.pieces[0])
+        if len(block.pieces) > 1:
+            self._close()
+            self.runs += block.within
+            self.open = Run(self.near)
+            self.open.add(block.pieces[1])
+        self.steps, self.flats, self.value = self.steps + block.steps, self.flats + block.flats, block.last
+
+    def _close(self) -> None:
+        found = self.open.found() if self.open is not None else None
+        self.runs += [found] if found else []
+        self.open = None
+
+    def stuck(self) -> list[tuple[int, int]]:
+        """First and last place of the stretches that stay the same where that is not normal."""
+        self._close()
+        if self.steps < LEAST or not self.runs:
+            return []
+        flats = np.array([n - 1 for _, _, n, _ in self.runs])
+        longest = int(flats.max())
+        rest = self.steps - longest
+        usual = (self.flats - longest) / rest if rest >= LEAST else 1.0
+        if usual > MOST_REPEATS:
+            return []
+        return [(a, b) for (a, b, _, _), k in zip(self.runs, flats, strict=True) if rest * usual ** int(k) < BY_CHANCE]
+
+
 def stuck_runs(x: np.ndarray, whole: bool) -> list[tuple[int, int]]:
-    """[begin, end) of stretches that stay the same or all but the same, where that is not normal."""
-    steps = np.abs(np.diff(x))
-    if len(steps) < LEAST:
+    """[begin, end) of stretches that stay the same or all but the same, where that is not normal, of a whole series."""
+    if len(x) <= LEAST:
         return []
-    near = 0.0 if whole else STUCK_SHARE * median(steps[steps > 0]) if (steps > 0).any() else 0.0
-    flat = steps <= near
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flat.view(np.int8), [0]])))
-    found: list[tuple[int, int]] = []
-    for a, b in zip(edges[::2], edges[1::2], strict=True):  # readings a..b
-        if b - a + 1 < STUCK_LENGTH:
-            continue
-        # A slow drift in small steps isn't stuck: the run is cut where it leaves its first values' surroundings.
-        level = median(x[a : a + STUCK_LENGTH])
-        inside = np.abs(x[a : b + 1] - level) <= max(near, 0.0)
-        stop = a + (len(inside) if inside.all() else int(np.argmin(inside)))
-        if stop - a >= STUCK_LENGTH:
-            found.append((int(a), int(stop)))
-    longest = max((b - a - 1 for a, b in found), default=0)
-    rest = len(steps) - longest
-    usual = (int(flat.sum()) - longest) / rest if rest >= LEAST else 1.0
-    if usual > MOST_REPEATS:
-        return []
-    return [(a, b) for a, b in found if rest * usual ** (b - a - 1) < BY_CHANCE]
+    near = 0.0 if whole else STUCK_SHARE * usual_step(np.abs(np.diff(x)))
+    series = SeriesRuns(near)
+    series.add(block_runs(x, np.arange(len(x)), near))
+    return [(a, b + 1) for a, b in series.stuck()]
 
 
 def _row_medians(rows: np.ndarray) -> np.ndarray:
@@ -164,19 +285,22 @@ def _noise(y: np.ndarray, whole: bool) -> tuple[np.ndarray, float]:
     return fine, base or 1.0
 
 
-def scores(x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each reading of a series without impossible values: its spike score (0 if it is none), and the stuck flag."""
-    n = len(x)
-    score, stuck = np.zeros(n), np.zeros(n, dtype=bool)
-    if n < LEAST:
-        return score, stuck
+def stuck_of(x: np.ndarray, whole: bool) -> np.ndarray:
+    """The stuck flag of each reading of a whole series without impossible values."""
+    stuck = np.zeros(len(x), dtype=bool)
     for a, b in stuck_runs(x, whole):
         stuck[a + 1 : b] = True
+    return stuck
+
+
+def scores(x: np.ndarray, whole: bool, stuck: np.ndarray) -> np.ndarray:
+    """The spike score of each reading without impossible values, 0 if it is none."""
+    score = np.zeros(len(x))
     # The first reading of a stretch is judged by itself; the others aren't there, but their time passes.
     free = np.flatnonzero(~stuck)
     if len(free) >= LEAST:
         score[free] = _spike_scores(x[free], free, whole)
-    return score, stuck
+    return score
 
 
 def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
@@ -220,20 +344,36 @@ def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
     return score
 
 
-def judge(x: np.ndarray, low: float, high: float, whole: bool) -> np.ndarray:
-    """The kind of each reading of one block in order of time."""
+def is_possible(x: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, whole: np.ndarray | bool) -> np.ndarray:
+    return np.isfinite(x) & (x >= low) & (x <= high) & (np.logical_not(whole) | (x == np.floor(x)))
+
+
+def judge(x: np.ndarray, low: float, high: float, whole: bool, stuck: np.ndarray | None = None) -> np.ndarray:
+    """The kind of each reading of one block in order of time; without stuck flags, the block is a whole series."""
     kind = np.full(len(x), FINE, dtype=np.int8)
-    impossible = ~np.isfinite(x) | (x < low) | (x > high)
-    if whole:
-        impossible |= x != np.floor(x)
-    kind[impossible] = IMPOSSIBLE
-    possible = np.flatnonzero(~impossible)
-    score, stuck = scores(x[possible], whole)
-    kind[possible[score > SPIKE_LIMIT]] = SPIKE
-    kind[possible[stuck]] = STUCK
+    ok = is_possible(x, low, high, whole)
+    kind[~ok] = IMPOSSIBLE
+    possible = np.flatnonzero(ok)
+    held = stuck_of(x[possible], whole) if stuck is None else stuck[possible]
+    kind[possible[scores(x[possible], whole, held) > SPIKE_LIMIT]] = SPIKE
+    kind[possible[held]] = STUCK
     return kind
 
 
+SERIES = ["source", "metric_type"]
+PACKED = "source string, metric_type string, block bigint, low double, high double, is_count boolean, rn bigint, lead bigint, own bigint, us array<bigint>, value array<double>"
+RUNS = (
+    "source string, metric_type string, block bigint, near double, steps bigint, flats bigint, first double, last double, "
+    "pieces array<struct<count:bigint,first:bigint,last:bigint,number:array<bigint>,value:array<double>,before:array<bigint>>>, "
+    "within array<struct<first:bigint,last:bigint,count:bigint,level:double>>"
+)
+PIECE = pa.struct({"count": pa.int64(), "first": pa.int64(), "last": pa.int64(), "number": pa.list_(pa.int64()), "value": pa.list_(pa.float64()), "before": pa.list_(pa.int64())})
+WITHIN = pa.struct({"first": pa.int64(), "last": pa.int64(), "count": pa.int64(), "level": pa.float64()})
+BODY = pa.schema({
+    "near": pa.float64(), "steps": pa.int64(), "flats": pa.int64(), "first": pa.float64(), "last": pa.float64(), "pieces": pa.list_(PIECE), "within": pa.list_(WITHIN),
+})
+
+
 def implausible(metrics: DataFrame, kinds: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """metrics(metric_id, service, metric_type, value, timestamp) -> (metric_id, reason) of the implausible rows."""
     rows = metrics.select(
@@ -253,14 +393,32 @@ def implausible(metrics: DataFrame, kinds: DataFrame, block: int = BLOCK, halo:
         .repartition(shuffle_width(metrics), "source", "metric_type", "block")
         .sortWithinPartitions("source", "metric_type", "block", "rn")
     )
-    judged = spread.mapInArrow(_judge_blocks, "source string, metric_type string, us bigint, value double, kind byte")
+    packed = materialize(spread.mapInArrow(_pack_blocks, PACKED), "blocks")
+    nears = broadcast_if_small(materialize(_nears(packed), "steps"))
+    runs = packed.join(nears, SERIES, "left").mapInArrow(_runs_of_blocks, RUNS)
+    runs = runs.repartition(shuffle_width(metrics), *SERIES).sortWithinPartitions(*SERIES, "block")
+    stretches = materialize(runs.mapInArrow(_join_runs, "source string, metric_type string, begin bigint, end bigint"), "stuck")
+    touched = F.sequence(F.greatest(F.floor((F.col("begin") - 1) / block) - 1, F.lit(0)), F.floor((F.col("end") - 1) / block) + 1)
+    held = stretches.select(*SERIES, "begin", "end", F.explode(touched).alias("block"))
+    held = held.groupBy(*SERIES, "block").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    judged = packed.join(broadcast_if_small(held), [*SERIES, "block"], "left").mapInArrow(_judge_blocks, "source string, metric_type string, us bigint, value double, kind byte")
     named = F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k).cast("byte"), F.lit(v))))
     found = judged.select("source", "metric_type", "us", "value", named[F.col("kind")].alias("reason"))
     found = broadcast_if_small(materialize(found, "implausible"))
     return rows.join(found, ["source", "metric_type", "us", "value"]).select("metric_id", "reason")
 
 
-def _judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nears(packed: DataFrame) -> DataFrame:
+    """(source, metric_type, near): the share of a series' usual step up to which it counts as staying the same."""
+    series = Window.partitionBy(*SERIES)
+    counted = packed.mapInArrow(_count_steps, "source string, metric_type string, bucket int, n bigint, top double")
+    counted = counted.groupBy(*SERIES, "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    ranked = counted.select(*SERIES, "top", "n", F.sum("n").over(series.orderBy("bucket")).alias("upto"), F.sum("n").over(series).alias("total"))
+    middle = [F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("top"))) for rank in (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))]
+    return ranked.groupBy(*SERIES).agg((F.lit(STUCK_SHARE) * (middle[0] + middle[1]) / 2).alias("near"))
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None  # the block that may go on in the next batch
     for batch in batches:
         if not batch.num_rows:
@@ -269,10 +427,10 @@ def _judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
         begins = _begins(rows)
         if begins[-1]:
-            yield from _judge_rows(rows.slice(0, begins[-1]), begins[:-1])
+            yield from _pack_rows(rows.slice(0, begins[-1]), begins[:-1])
         held = rows.slice(begins[-1])
     if held is not None:
-        yield from _judge_rows(held, np.array([0]))
+        yield from _pack_rows(held, np.array([0]))
 
 
 def _begins(rows: pa.Table) -> np.ndarray:
@@ -286,13 +444,124 @@ def _begins(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _judge_rows(rows: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-    value, home, block = (rows.column(c).to_numpy() for c in ("value", "home", "block"))
-    low, high, whole = rows.column("low").to_numpy(), rows.column("high").to_numpy(), rows.column("is_count").to_numpy()
-    kind = np.zeros(rows.num_rows, dtype=np.int8)
-    for a, b in zip(begins, [*begins[1:], rows.num_rows], strict=True):
-        kind[a:b] = judge(value[a:b], low[a], high[a], bool(whole[a]))
-    found = np.flatnonzero((kind != FINE) & (home == block))
-    if len(found):
-        out = rows.select(["source", "metric_type", "us", "value"]).take(pa.array(found)).append_column("kind", pa.array(kind[found], pa.int8()))
-        yield from out.combine_chunks().to_batches()
+def _pack_rows(rows: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per block that has readings of its own: lead halo readings, then own ones, then halo ones again."""
+    home, block = rows.column("home").to_numpy(), rows.column("block").to_numpy()
+    offsets = pa.array(np.append(begins, rows.num_rows), pa.int32())
+    own, lead = (np.add.reduceat(test.astype(np.int64), begins) for test in (home == block, home < block))
+    heads = rows.select(["source", "metric_type", "block", "low", "high", "is_count", "rn"]).take(pa.array(begins))
+    lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("us", "value")]
+    arrays = [*(c.combine_chunks() for c in heads.columns), pa.array(lead), pa.array(own), *lists]
+    packed = pa.RecordBatch.from_arrays(arrays, names=[*heads.column_names, "lead", "own", "us", "value"])
+    yield packed.filter(pa.array(own > 0))
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a list column without nulls, and where each row's begin (and the last one's end)."""
+    column = batch.column(name)
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
+def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per series and bucket, how many steps other than zero lead to blocks' own readings, and the greatest of them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low, high, whole, lead, own = _numbers(batch, "low", "high", "is_count", "lead", "own")
+        value, offsets = _lists(batch, "value")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        place = np.arange(offsets[0], offsets[-1]) - offsets[of]
+        ok = is_possible(value[offsets[0] : offsets[-1]], low[of], high[of], whole[of].astype(bool))
+        x, of, place = value[offsets[0] : offsets[-1]][ok], of[ok], place[ok]
+        step = np.abs(np.diff(x))
+        of, place, same = of[1:], place[1:], of[1:] == of[:-1]
+        used = same & (step > 0) & ~whole[of].astype(bool) & (place >= lead[of]) & (place < lead[of] + own[of])
+        if not used.any():
+            continue
+        names = [batch.column(c).dictionary_encode() for c in SERIES]
+        series = names[0].indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names[1].dictionary) + names[1].indices.to_numpy(zero_copy_only=False)
+        step, row = step[used], of[used]
+        order = np.lexsort((step, series[row]))
+        step, row = step[order], row[order]
+        bucket = step.view(np.int64) >> BUCKET_BITS
+        last = np.append((bucket[1:] != bucket[:-1]) | (series[row][1:] != series[row][:-1]), True)
+        ends = np.flatnonzero(last)
+        which = pa.array(row[ends])
+        arrays = [*(batch.column(c).take(which) for c in SERIES), pa.array(bucket[ends], pa.int32()), pa.array(np.diff(ends, prepend=-1)), pa.array(step[ends])]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*SERIES, "bucket", "n", "top"])
+
+
+def _runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low, high, whole, lead, own, rn, near = _numbers(batch, "low", "high", "is_count", "lead", "own", "rn", "near")
+        value, offsets = _lists(batch, "value")
+        rows, kept = [], []
+        for i in range(batch.num_rows):
+            begin = offsets[i] + lead[i]
+            x = value[begin : begin + own[i]]
+            possible = np.flatnonzero(is_possible(x, low[i], high[i], bool(whole[i])))
+            if not len(possible):
+                continue
+            limit = 0.0 if np.isnan(near[i]) else float(near[i])  # no step but zero, or a count
+            runs = block_runs(x[possible], rn[i] + lead[i] + possible, limit)
+            pieces = [{"count": p.count, "first": p.first, "last": p.last, "number": p.number, "value": p.value, "before": p.before} for p in runs.pieces]
+            within = [dict(zip(("first", "last", "count", "level"), w, strict=True)) for w in runs.within]
+            kept.append(i)
+            rows.append({"near": limit, "steps": runs.steps, "flats": runs.flats, "first": runs.first, "last": runs.last, "pieces": pieces, "within": within})
+        if rows:
+            heads = batch.select([*SERIES, "block"]).take(pa.array(kept))
+            body = pa.RecordBatch.from_pylist(rows, schema=BODY)
+            yield pa.RecordBatch.from_arrays([*heads.columns, *body.columns], names=[*heads.schema.names, *body.schema.names])
+
+
+def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stuck stretches of each series, whose blocks come one after the other in order."""
+    name: tuple[str, str] | None = None
+    series = SeriesRuns(0.0)
+    found: list[tuple[str, str, int, int]] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["source"], row["metric_type"]) != name:
+                found += [(*name, a, b) for a, b in series.stuck()] if name else []
+                name, series = (row["source"], row["metric_type"]), SeriesRuns(row["near"])
+            pieces = [Piece(**{k: np.array(v) if isinstance(v, list) else v for k, v in p.items()}) for p in row["pieces"]]
+            within = [(w["first"], w["last"], w["count"], w["level"]) for w in row["within"]]
+            series.add(BlockRuns(row["steps"], row["flats"], row["first"], row["last"], pieces, within))
+        if found:
+            yield _stretches(found)
+            found = []
+    found += [(*name, a, b) for a, b in series.stuck()] if name else []
+    if found:
+        yield _stretches(found)
+
+
+def _stretches(found: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[*SERIES, "begin", "end"])
+
+
+def _judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low, high, whole, lead, own, rn = _numbers(batch, "low", "high", "is_count", "lead", "own", "rn")
+        (us, _), (value, offsets) = _lists(batch, "us"), _lists(batch, "value")
+        begins, ends = batch.column("begins"), batch.column("ends")
+        rows, places, kinds = [], [], []
+        for i in range(batch.num_rows):
+            x = value[offsets[i] : offsets[i + 1]]
+            stuck = np.zeros(len(x), dtype=bool)
+            if begins[i].is_valid:
+                for a, b in zip(begins[i].as_py(), ends[i].as_py(), strict=True):
+                    stuck[max(0, a + 1 - rn[i]) : max(0, b + 1 - rn[i])] = True
+            kind = judge(x, low[i], high[i], bool(whole[i]), stuck)[lead[i] : lead[i] + own[i]]
+            found = np.flatnonzero(kind != FINE)
+            rows.append(np.full(len(found), i))
+            places.append(offsets[i] + lead[i] + found)
+            kinds.append(kind[found])
+        if sum(map(len, rows)):
+            row, place = pa.array(np.concatenate(rows)), np.concatenate(places)
+            arrays = [*(batch.column(c).take(row) for c in SERIES), pa.array(us[place]), pa.array(value[place]), pa.array(np.concatenate(kinds), pa.int8())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*SERIES, "us", "value", "kind"])

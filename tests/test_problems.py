@@ -299,6 +299,40 @@ def test_implausible_rows(spark, block, halo):
     assert found == {77: "impossible", 1077: "impossible", 250: "spike", 251: "spike"}
 
 
+def series_rows(x, first_id=0, metric="cpu"):
+    return [(first_id + i, "svc", metric, float(v), START + timedelta(minutes=int(i)), "x", 1, 2, "y") for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("jitter", [0.0, 0.01])
+def test_stuck_stretches_longer_than_blocks_are_found_whole(spark, jitter):
+    rng = np.random.default_rng(11)
+    x = wave(rng, 700, 50, 1.0)
+    x[150:390] = 48.0 + jitter * rng.choice([-1, 0, 1], 240)  # fills blocks of 64 with halos of 16
+    x[300] = 999.0  # an impossible one doesn't end it
+    limits = spark.createDataFrame([("cpu", "percent", 0.0, 115.0, False)], LIMITS)
+    found = implausible.implausible(spark.createDataFrame(series_rows(x), METRICS), limits, 64, 16).collect()
+    assert sorted(r.metric_id for r in found if r.reason == "stuck") == [i for i in range(151, 390) if i != 300]
+    assert [r.metric_id for r in found if r.reason == "impossible"] == [300]
+
+
+def test_runs_joined_over_blocks_are_those_of_the_whole_series():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        x = np.round(np.cumsum(rng.normal(0, 1, 200)), 1)
+        for a in rng.integers(0, 190, 2):
+            x[a : a + rng.integers(6, 60)] = x[a]
+        a = rng.integers(0, 150)
+        x[a : a + 40] = x[a] + 0.004 * np.arange(40)  # leaves its level by small steps
+        whole, near = implausible.SeriesRuns(0.03), 0.03
+        whole.add(implausible.block_runs(x, np.arange(200), near))
+        for size in (1, 3, 7, 50):
+            series = implausible.SeriesRuns(near)
+            for b in range(0, 200, size):
+                series.add(implausible.block_runs(x[b : b + size], np.arange(200)[b : b + size], near))
+            assert series.stuck() == whole.stuck() and (series.steps, series.flats) == (whole.steps, whole.flats)
+            assert sorted(series.runs) == sorted(whole.runs)
+
+
 def test_implausible_of_nothing(spark):
     limits = spark.createDataFrame([("cpu", "percent", 0.0, 100.0, False)], LIMITS)
     assert implausible.implausible(spark.createDataFrame([], METRICS), limits).count() == 0
