@@ -7,7 +7,8 @@ their borders, and a series' runs, not its readings, are put together in order.
 
 1. bounds and wholeness find impossible readings, which are left out of what follows;
 2. runs of any length in which the finest detail is zero, or all but zero, in a series that normally changes at every
-   reading, are stuck stretches, from their second reading on;
+   reading, are stuck stretches, from their second reading on. Normal is what is left without all such runs, unless
+   they are most of the series or come back to one value often and for long;
 3. an undecimated wavelet with two vanishing moments (detail at scale s: x[i] - (x[i-s] + x[i+s]) / 2, s = 1, 2, 4, 8;
    lines give 0) is taken of the rest on an inverse hyperbolic sine scale. Details beyond DETAIL_LIMIT robust
    standard deviations, estimated by medians of details, make a reading a candidate;
@@ -41,6 +42,9 @@ SCALES = (1, 2, 4, 8)
 LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, LEAST_NEAR, WIDEST = 12, 6, 0.05, 5, 2, 5
 DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE, ROUNDS = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01, 8
 
+#: A series rests if more than this share of its steps, its longest flat run aside, lie in long flat runs, and at a value
+#: if it has so many long flat runs there that, their longest aside, hold more than MOST_REPEATS of those steps.
+MOST_RESTING, REST_RUNS = 0.5, 3
 #: Steps are counted in buckets of equal sign, exponent and first 6 bits of the fraction (1.6 % wide).
 BUCKET_BITS = 46
 
@@ -190,13 +194,25 @@ class SeriesRuns:
         self._close()
         if self.steps < LEAST or not self.runs:
             return []
-        flats = np.array([n - 1 for _, _, n, _ in self.runs])
-        longest = int(flats.max())
-        rest = self.steps - longest
-        usual = (self.flats - longest) / rest if rest >= LEAST else 1.0
-        if usual > MOST_REPEATS:
+        flats, levels = (np.array(v) for v in zip(*((n - 1, level) for _, _, n, level in self.runs), strict=True))
+        longest, total = int(flats.max()), int(flats.sum())
+        # No candidate counts as usual, whether or not it is stuck; but a series most of whose steps lie in them rests.
+        rest = self.steps - total
+        usual = (self.flats - total) / rest if rest >= LEAST else 1.0
+        if usual > MOST_REPEATS or total - longest > MOST_RESTING * (self.steps - longest):
             return []
-        return [(a, b) for (a, b, _, _), k in zip(self.runs, flats, strict=True) if rest * usual ** int(k) < BY_CHANCE]
+        resting = self._resting(flats, levels, self.steps - longest)
+        return [(a, b) for (a, b, _, _), k, r in zip(self.runs, flats, resting, strict=True) if not r and rest * usual ** int(k) < BY_CHANCE]
+
+    def _resting(self, flats: np.ndarray, levels: np.ndarray, steps: int) -> np.ndarray:
+        """Which runs are at a value that the series comes back to rest at, often and for long."""
+        order = np.argsort(levels, kind="stable")
+        group = np.zeros(len(levels), dtype=np.int64)
+        group[order] = np.cumsum(np.diff(levels[order], prepend=levels[order[0]]) > self.near)
+        most = np.zeros(group.max() + 1)
+        np.maximum.at(most, group, flats)
+        often = np.bincount(group) >= REST_RUNS
+        return (often & (np.bincount(group, flats) - most > MOST_REPEATS * steps))[group]
 
 
 def stuck_runs(x: np.ndarray, whole: bool) -> list[tuple[int, int]]:

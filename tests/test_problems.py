@@ -299,6 +299,26 @@ def test_implausible_rows(spark, block, halo):
     assert found == {77: "impossible", 1077: "impossible", 250: "spike", 251: "spike"}
 
 
+@pytest.mark.parametrize("n,starts", [(128, (20, 80)), (1152, range(40, 1140, 130))])
+def test_several_stuck_stretches_do_not_hide_each_other(n, starts):
+    rng = np.random.default_rng(13)
+    x = wave(rng, n, 50, 1.0)
+    for a in starts:
+        x[a : a + 25] = x[a]
+    assert np.flatnonzero(implausible.judge(x, 0, 100, False) == KIND.STUCK).tolist() == [i for a in starts for i in range(a + 1, a + 25)]
+
+
+def test_values_a_series_rests_at_are_normal_beside_stuck_stretches():
+    rng = np.random.default_rng(14)
+    x = wave(rng, 1000, 50, 1.0)
+    for a in range(0, 1000, 100):
+        x[a : a + 30] = 20.0  # idle
+    x[560:590] = 47.5
+    assert np.flatnonzero(implausible.judge(x, 0, 100, False) == KIND.STUCK).tolist() == list(range(561, 590))
+    steps = np.repeat(wave(rng, 40, 50, 5.0), 25)  # holds each value
+    assert not (implausible.judge(steps, 0, 100, False) == KIND.STUCK).any()
+
+
 def series_rows(x, first_id=0, metric="cpu"):
     return [(first_id + i, "svc", metric, float(v), START + timedelta(minutes=int(i)), "x", 1, 2, "y") for i, v in enumerate(x)]
 
