@@ -18,7 +18,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.ppm import ByteModels
@@ -96,10 +96,17 @@ def _add(texts: dict[str, list[str]], lang: str, sentence: str) -> None:
         texts[lang].append(bare)
 
 
+def bounded_samples(samples: DataFrame, most: int = MOST_SAMPLES) -> list[Row]:
+    """At most so many samples: the least hash of each language, then the second of each, and so on."""
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    turns = samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("turn", turn)
+    return sorted(turns.orderBy("turn", "lang").limit(most).select("lang", "text").collect())
+
+
 def collected_models(samples: DataFrame, documents: DataFrame | None = None) -> ByteModels:
     """Models from the samples and a bounded sample of labelled documents: MOST_LABELLED of least hash, none longer than
-    LONGEST_LABELLED characters."""
-    rows = samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
+    LONGEST_LABELLED characters. Of more than MOST_SAMPLES samples, each language has its equal share, by hash."""
+    rows = bounded_samples(samples)
     more = []
     if documents is not None:
         labelled = documents.select("doc_id", label_code(F.col("lang")).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")

@@ -269,6 +269,14 @@ def test_segments_and_labels(spark):
     assert all(0 < s.confidence <= 1 for r in whole.values() for s in r.segments)
 
 
+def test_bounded_samples_keep_every_language(spark):
+    rows = [("de", f"satz {i}") for i in range(50)] + [("pt", f"frase {i}") for i in range(3)] + [("ru", f"фраза {i}") for i in range(50)] + [(None, "x"), ("en", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = [r.lang for r in languages.bounded_samples(df, 23)]
+    assert [got.count(lang) for lang in ("de", "pt", "ru")] == [10, 3, 10]
+    assert [tuple(r) for r in languages.bounded_samples(df, 1000)] == sorted(r for r in rows if None not in r)
+
+
 def test_languages_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert languages.mislabelled(none, small_models()).count() == 0
