@@ -6,8 +6,8 @@ blocks: the usual step of a series comes from counts of all its steps, blocks te
 their borders, and a series' runs, not its readings, are put together in order. Of a series:
 
 1. bounds and wholeness find impossible readings, which are left out of what follows;
-2. runs of any length in which the finest detail is zero, or all but zero, in a series that normally changes at every
-   reading, are stuck stretches, from their second reading on. Normal is what is left without all such runs, unless
+2. runs of any length in which the first difference is zero, or all but zero, in a series that normally changes at every
+   reading, are stuck stretches (the values themselves tell more here than the wavelet, whose details are 0 on lines), from their second reading on. Normal is what is left without all such runs, unless
    they are most of the series or come back to one value often and for long;
 3. an undecimated wavelet with two vanishing moments (detail at scale s: x[i] - (x[i-s] + x[i+s]) / 2, s = 1, 2, 4, 8;
    lines give 0) is taken of the rest on an inverse hyperbolic sine scale. Details beyond DETAIL_LIMIT robust
