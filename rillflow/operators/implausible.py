@@ -7,14 +7,15 @@ their borders, and a series' runs, not its readings, are put together in order.
 
 1. bounds and wholeness find impossible readings, which are left out of what follows;
 2. runs of any length in which the first difference is zero, or all but zero, in a series that normally changes at every
-   reading, are stuck stretches (the values themselves tell more here than the wavelet, whose details are 0 on lines), from their second reading on. Normal is what is left without all such runs, unless
-   they are most of the series or come back to one value often and for long;
+   reading, are stuck stretches, from their second reading on (wavelet details don't tell, being 0 on any line). Normal is
+   what is left without all such runs, unless they are most of the series or come back to one value often and for long;
 3. an undecimated wavelet with two vanishing moments (detail at scale s: x[i] - (x[i-s] + x[i+s]) / 2, s = 1, 2, 4, 8;
    lines give 0) is taken of the rest on an inverse hyperbolic sine scale. Details beyond DETAIL_LIMIT robust
    standard deviations, estimated by medians of details, make a reading a candidate;
 4. a candidate is a spike if it lies, in the same direction and by SPIKE_LIMIT deviations, on this and on the plain scale, beyond what the readings
    before and the readings after its group of up to WIDEST successive readings show and extend to. A lasting change
-   of level or the reset of a ramp agrees with one side, a slow wave with both.
+   of level or the reset of a ramp agrees with one side, a slow wave with both. At an end of the series, all other
+   readings stand in for the missing side. Spikes found are taken out and the rest is judged again until none is found.
 
 Defined cases: null and NaN values and rows without source or time are no readings; infinite values are impossible;
 equal times of a series are one reading if their values are equal too (all rows are flagged alike) and are taken in the
@@ -39,8 +40,8 @@ from rillflow.plans.storage import materialize, shuffle_width
 
 BLOCK, HALO = 1024, 64
 SCALES = (1, 2, 4, 8)
-LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, LEAST_NEAR, WIDEST = 12, 6, 0.05, 5, 2, 5
-DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE, ROUNDS = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01, 8
+LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, WIDEST = 12, 6, 0.05, 5, 5
+DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01
 
 #: A series rests if more than this share of its steps, its longest flat run aside, lie in long flat runs, and at a value
 #: if it has so many long flat runs there that, their longest aside, hold more than MOST_REPEATS of those steps.
@@ -234,11 +235,11 @@ def _sides(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     """Of the NEAR values before each place (and after the last): their median, the median of the slopes between them,
     and the middle of their positions.
 
-    Where only LEAST_NEAR or more exist, the median is of those and the slope 0; where fewer exist, all are NaN.
+    Where fewer exist, the median is of those and the slope 0; where none exists, all are NaN.
     """
     n = len(y)
     middle, slope, centre = (np.full(n + 1, np.nan) for _ in range(3))
-    for i in range(LEAST_NEAR, min(NEAR, n + 1)):
+    for i in range(1, min(NEAR, n + 1)):
         middle[i], slope[i], centre[i] = median(y[:i]), 0.0, at[(i - 1) // 2]
     if n >= NEAR:
         w, t = (np.lib.stride_tricks.sliding_window_view(v, NEAR) for v in (y, at))
@@ -254,8 +255,8 @@ def beyond(y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
     at holds the values' positions, rising; by default they follow each other. What a side shows is the median of its
     NEAR values and their robust line extended; a value counts as beyond by the least distance to any of them if it is
-    above all or below all. A group counts by its least member; a value by its best group. A group with next to nothing
-    on one side can't be told from a change of level and counts nothing.
+    above all or below all. A group counts by its least member; a value by its best group. For a group at an end,
+    all values but it and those at the other end stand in for the side that doesn't exist, as it can't be told from a change of level otherwise.
     """
     n = len(y)
     at = np.arange(n, dtype=float) if at is None else at.astype(float)
@@ -264,14 +265,18 @@ def beyond(y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     right_mid, right_slope, right_at = (v[::-1] for v in _sides(y[::-1], -at[::-1]))  # entry i: the values from i on
     right_slope, right_at = -right_slope, -right_at
     for w in range(1, WIDEST + 1):
-        a = np.arange(LEAST_NEAR, n - w - LEAST_NEAR + 1)
-        if not len(a):
+        a = np.arange(0, n - w + 1)
+        if n <= w:
             break
+        far = WIDEST if n > w + WIDEST else 0  # what is odd at the other end doesn't hide what is here
+        outside = ((0, y[w : n - far]), (-1, y[far : n - w]))
         worst = np.full(len(a), np.inf)
         for k in range(w):
             t, b = at[a + k], a + w
             shown = (left_mid[a], left_mid[a] + left_slope[a] * (t - left_at[a]), right_mid[b], right_mid[b] + right_slope[b] * (t - right_at[b]))
-            high, low = np.maximum.reduce(shown), np.minimum.reduce(shown)
+            high, low = np.fmax.reduce(shown), np.fmin.reduce(shown)
+            for end, others in outside:
+                high[end], low[end] = max(high[end], others.max()), min(low[end], others.min())
             worst = np.minimum(worst, np.maximum(np.maximum(y[a + k] - high, low - y[a + k]), 0))
         for k in range(w):
             best[a + k] = np.maximum(best[a + k], worst)
@@ -329,10 +334,10 @@ def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
         if len(x) > 2 * s:
             d = details(y, s)
             candidate |= np.abs(d) > DETAIL_LIMIT * max(deviation(d), base)
+    for end, inner in ((0, y[1 : NEAR + 1]), (-1, y[-NEAR - 1 : -1])):  # the mirror makes details at the ends 0
+        candidate[end] |= abs(y[end] - median(inner)) > DETAIL_LIMIT * base
     left = np.arange(len(x))
-    for _ in range(ROUNDS):  # spikes found no longer stand beside others
-        if not candidate[left].any() or len(left) < LEAST:
-            break
+    while candidate[left].any() and len(left) >= LEAST:  # spikes found no longer stand beside others
         far = beyond(y[left], at[left])
         passed = np.zeros(len(left))
         hopeful = np.flatnonzero(candidate[left] & (far > 0.7 * base * SPIKE_LIMIT))

@@ -299,6 +299,26 @@ def test_implausible_rows(spark, block, halo):
     assert found == {77: "impossible", 1077: "impossible", 250: "spike", 251: "spike"}
 
 
+@pytest.mark.parametrize("at", [[0], [1], [0, 1], [198], [199], [198, 199], [0, 100, 199]])
+def test_spikes_at_the_ends_of_a_series(at):
+    x = wave(np.random.default_rng(15), 200, 50, 1.0)
+    x[at] = 120 + 5 * np.arange(len(at))
+    assert np.flatnonzero(implausible.judge(x, 0, 200, False)).tolist() == at
+
+
+def test_ends_of_ramps_and_levels_are_no_spikes():
+    rng = np.random.default_rng(16)
+    ramp = 30 + (np.arange(43, 500) % 45) + rng.normal(0, 0.6, 457)  # ends two readings after its start
+    assert not implausible.judge(ramp, 0, 100, False).any()
+
+
+def test_chains_of_spikes_are_taken_out_to_the_last():
+    x = np.random.default_rng(17).poisson(3, 400).astype(float)
+    at = np.arange(100, 100 + 7 * 12, 7)
+    x[at] = np.floor(900 * 5.0 ** np.arange(12))  # on the scale of counts, each stands beside one over twice as great
+    assert np.flatnonzero(implausible.judge(x, 0, 1e15, True)).tolist() == at.tolist()
+
+
 @pytest.mark.parametrize("n,starts", [(128, (20, 80)), (1152, range(40, 1140, 130))])
 def test_several_stuck_stretches_do_not_hide_each_other(n, starts):
     rng = np.random.default_rng(13)
