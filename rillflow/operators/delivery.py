@@ -1,8 +1,8 @@
 """Messages delivered at least once: keep exactly one copy of each.
 
 ``RunStore`` is hash-bucketed storage of sorted runs by identifier. An upsert collapses its batch by identifier (before
-and after the shuffle) and writes it as one sorted run; compaction merges the runs bucket by bucket, without a shuffle,
-so that equal identifiers collapse to the copy with the least version. Applying a batch again changes nothing.
+and after the shuffle) and writes it as one sorted run; compaction aggregates the runs bucket by bucket, without a
+shuffle (a hash aggregate, not a merge of sorted streams), to each identifier's copy with the least version. Applying a batch again changes nothing.
 
 Defined cases: a null identifier equals no other (each such row is a message); ties of identifier and version can't be
 told apart and give one row; an empty table gives an empty result; columns with clashing names are left alone, as only
