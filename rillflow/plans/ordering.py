@@ -7,18 +7,23 @@ partitions rows) are turned into offsets, and only the sum inside one partition
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
+import contextlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import WindowSpec
 
-from rillflow.plans.sizing import broadcast_if_small
+from rillflow.plans.sizing import written_if_small
 from rillflow.plans.storage import materialize, shuffle_width
 
-PART = "__part"
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores before it until no column of df has that name (letter case aside)."""
     taken = {c.lower() for c in df.columns}
@@ -36,21 +41,36 @@ def col(name: str) -> Column:
 
 
 #: Estimated bytes up to which a whole stream is ordered in one task instead, by those who allow it.
-SMALL_BYTES = 8 << 20
+SMALL_BYTES = 4 << 20
+#: Rows of one block of a total order.
+BLOCK_ROWS = 100_000
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
-    """Whether the optimizer's estimate of df, from file sizes and widths, is within limit. Runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+@dataclass
+class Settings:
+    """Upper bounds on what callers ask for; lowered to try the distributed forms on small tables."""
 
+    small_bytes: int = SMALL_BYTES
+    block_rows: int = BLOCK_ROWS
 
-def range_partitioned(df: DataFrame, keys: Sequence[Column], label: str, part: str = PART) -> DataFrame:
-    """df range-partitioned by keys and written, with its partition number in the column part.
 
-    The table is written because the bounds come from a sample: a second run of the same plan might draw others.
-    """
-    spread = df.repartitionByRange(shuffle_width(df), *keys)
-    return materialize(spread.withColumn(part, F.spark_partition_id()), label)
+settings = Settings()
+
+
+@contextlib.contextmanager
+def distributed(block_rows: int = BLOCK_ROWS) -> Iterator[None]:
+    """Plans made inside order even small streams by range partitions and blocks of at most so many rows."""
+    before = settings.small_bytes, settings.block_rows
+    settings.small_bytes, settings.block_rows = -1, block_rows
+    try:
+        yield
+    finally:
+        settings.small_bytes, settings.block_rows = before
+
+
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether the optimizer's estimate of df, from file sizes and widths, is within limit. Runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def running_sums(
@@ -65,44 +85,93 @@ def running_sums(
     """Add for each measure the sum over its group's rows up to and including the row, in the given unique order.
 
     With totals, <name>_total is the sum over the whole group. Nulls in group columns form a group of their own; a
-    null measure counts as 0. An empty df gives an empty result. Names in measures must be new. A df estimated within
-    small_bytes is summed by a plain window; a wrong estimate costs time, not rows.
+    null measure counts as 0. An empty df gives an empty result. Names in measures may not be those of group columns. A df
+    estimated within small_bytes is summed by a plain window; a wrong estimate costs time, not rows.
+
+    Rows are moved once: sorted range partitions are summed as they are streamed to the written table, and what earlier
+    partitions hold of a group (one row per group and partition that hold each other) is added when it is read.
     """
-    if small_bytes and is_small(df, small_bytes):
+    if small_bytes and is_small(df, min(small_bytes, settings.small_bytes)):
         return _plain_sums(df, group, order, measures, totals)
-    part = free_name(df, PART)
+    place, groups = free_name(df, "__place"), [col(g) for g in group]
+    names, summed = list(measures), [free_name(df, f"__sum_{i}") for i in range(len(measures))]
     weighted = df.withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
-    ranged = range_partitioned(weighted, [*(col(g) for g in group), *order], label, part)
-    share = ranged.groupBy(*(col(g) for g in group), col(part)).agg(
-        *(F.sum(col(m)).alias(f"__share_{i}") for i, m in enumerate(measures))
-    )
-    before = Window.partitionBy(*(col(g) for g in group)).orderBy(col(part))
-    whole = Window.partitionBy(*(col(g) for g in group))
+    spread = weighted.repartitionByRange(shuffle_width(df), *groups, *order).sortWithinPartitions(*groups, *order)
+    spread = spread.withColumn(place, F.monotonically_increasing_id())
+    kinds = spread.agg(*(F.sum(col(m)).alias(n) for m, n in zip(names, summed, strict=True))).schema
+    schema = StructType([*spread.schema.fields, *kinds.fields])
+    which = ([spread.columns.index(c) for c in by] for by in (group, names))
+    numbered = spread.toDF(*(f"c{i}" for i in range(len(spread.columns))))  # any name may come in here
+    ranged = materialize(numbered.mapInArrow(_summing(*which, to_arrow_schema(schema)), schema), label)
+    part = F.shiftright(col(place), 33)
+    share = ranged.groupBy(*groups, part.alias("__p")).agg(*(F.sum(col(m)).alias(f"__share_{i}") for i, m in enumerate(names)))
+    before = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
     offsets = share.select(
-        *(col(g).alias(f"__g{i}") for i, g in enumerate(group)),
-        col(part).alias("__p"),
-        *(
-            F.coalesce(F.sum(f"__share_{i}").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__off_{i}")
-            for i in range(len(measures))
-        ),
-        *(F.sum(f"__share_{i}").over(whole).alias(f"__tot_{i}") for i in range(len(measures)) if totals),
-    )
-    inside = (
-        Window.partitionBy(*(col(g) for g in group), col(part))
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *(g.alias(f"__g{i}") for i, g in enumerate(groups)),
+        "__p",
+        *(F.coalesce(F.sum(f"__share_{i}").over(before), F.lit(0)).alias(f"__off_{i}") for i in range(len(names))),
+        *(F.sum(f"__share_{i}").over(whole).alias(f"__tot_{i}") for i in range(len(names)) if totals),
     )
-    local = ranged.withColumns({f"__sum_{i}": F.sum(col(m)).over(inside) for i, m in enumerate(measures)})
-    same = [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [col(part) == F.col("__p")]
-    joined = local.join(broadcast_if_small(offsets), _all(same))
-    names = list(measures)
+    same = [g.eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] + [part == F.col("__p")]
+    joined = ranged.join(written_if_small(offsets, "offsets"), _all(same))
     return joined.select(
         *(col(c) for c in df.columns if c not in measures),
-        *((F.col(f"__sum_{i}") + F.col(f"__off_{i}")).alias(m) for i, m in enumerate(names)),
+        *((col(n) + F.col(f"__off_{i}")).alias(m) for i, (m, n) in enumerate(zip(names, summed, strict=True))),
         *(F.col(f"__tot_{i}").alias(f"{m}_total") for i, m in enumerate(names) if totals),
     )
 
 
+def _summing(group: list[int], measures: list[int], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the sums so far of each group, the schema's last columns, to batches of rows sorted by group."""
+    kinds = schema.types[len(schema) - len(measures) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: pa.RecordBatch | None = None  # the last row's group
+        upto: list = [0] * len(measures)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(group)
+            known = pa.Table.from_batches([before, keys] if before is not None else [keys])
+            changed = changes([c.combine_chunks() for c in known.columns], len(batch) + (before is not None))[-len(batch) :]
+            run_no = np.cumsum(changed)
+            goes_on = before is not None and not changed[0]
+            sums = []
+            for i, (m, kind) in enumerate(zip(measures, kinds, strict=True)):
+                decimal = pa.types.is_decimal(kind)
+                values = np.array(batch.column(m).to_pylist(), dtype=object) if decimal else batch.column(m).cast(kind).to_numpy(zero_copy_only=False).copy()
+                if goes_on:
+                    values[0] += upto[i]
+                by_run = pd.Series(values).groupby(run_no)
+                total = (by_run.transform(lambda v: v.cumsum()) if decimal else by_run.cumsum()).to_numpy()
+                sums.append(pa.array(total, kind))
+                upto[i] = total[-1]
+            before = keys.slice(len(batch) - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums], names=schema.names)
+
+    return run
+
+
+def changes(columns: Sequence[pa.Array], n: int) -> np.ndarray:
+    """Whether each of n rows differs from the one before in any column (null equals null, NaN equals NaN); the first does."""
+    out = np.zeros(n, dtype=bool)
+    out[:1] = True
+    for c in columns:
+        if pa.types.is_nested(c.type):
+            values = c.to_pylist()
+            out[1:] |= np.array([a != b for a, b in zip(values[1:], values[:-1], strict=True)], dtype=bool)
+            continue
+        here, there = c.slice(1), c.slice(0, max(n - 1, 0))
+        differs = pc.fill_null(pc.not_equal(here, there), False).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(c.type):
+            nan = pc.fill_null(pc.is_nan(c), False).to_numpy(zero_copy_only=False)
+            differs = differs & ~(nan[1:] & nan[:-1])
+        null = c.is_null().to_numpy(zero_copy_only=False)
+        out[1:] |= differs | (null[1:] != null[:-1])
+    return out
+
+
 def _plain_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column], totals: bool) -> DataFrame:
     whole = Window.partitionBy(*(col(g) for g in group))
     upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -123,7 +192,7 @@ def with_position(
     first row of the group in the partition, plus the group's rows in earlier partitions. As long as those offsets (one
     row per group and partition that hold each other) are few, they are broadcast and the rows aren't moved again.
     """
-    if small_bytes and is_small(df, small_bytes):
+    if small_bytes and is_small(df, min(small_bytes, settings.small_bytes)):
         return _plain_sums(df, group, order, {name: F.lit(1).cast("bigint")}, totals=False)
     place = free_name(df, "__place")
     groups = [col(g) for g in group]
@@ -138,7 +207,7 @@ def with_position(
         (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
     )
     same = [g.eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] + [part == F.col("__p")]
-    joined = placed.join(broadcast_if_small(offsets), _all(same))
+    joined = placed.join(written_if_small(offsets, "offsets"), _all(same))
     return joined.select(*(col(c) for c in df.columns if c != name), (col(place) + F.col("__shift")).alias(name))
 
 
@@ -150,8 +219,6 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 HOME, BLOCK, OWN = "__home", "__block", "__own"
-#: Rows of one block of a total order.
-BLOCK_ROWS = 100_000
 
 
 def blocked(
@@ -169,10 +236,11 @@ def blocked(
     places ahead of a block and ``after`` places behind it. A window partitioned by (group, __block) and ordered by rn
     sees for each own row all it needs; keep the rows where __own holds afterwards.
     """
-    if max(before, after) > block_rows:
+    block_rows = max(min(block_rows, settings.block_rows), before, after, 1)
+    if max(before, after) > BLOCK_ROWS:
         raise ValueError("the reach must not exceed a block")
     placed = with_position(df, order, "rn", group, small_bytes)
-    if small_bytes and is_small(df, small_bytes):
+    if small_bytes and is_small(df, min(small_bytes, settings.small_bytes)):
         return placed.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn(OWN, F.lit(True))
     home = F.floor((F.col("rn") - 1) / block_rows).cast("bigint")
     into = F.pmod(F.col("rn") - 1, F.lit(block_rows))
