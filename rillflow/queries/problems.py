@@ -160,6 +160,10 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("seq", "event_id", "stream_name", epoch_ms(F.col("timestamp")).alias("ms"))
 
 
+#: Portions in which arrivals are read for p5_window_counts.
+PORTIONS = 4
+
+
 @registry.query("p5_found", f"{_JUDGED} SELECT seq FROM j WHERE watermark >= last_start + window_size + allowed_lateness")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lateness.too_late(_arrivals(spark, sf_dir), table(spark, sf_dir, "time_window_config")).select("seq")
@@ -173,8 +177,8 @@ SELECT stream_name, window_start_ms, window_start_ms + window_size AS window_end
 FROM x WHERE ms < window_start_ms + window_size AND (watermark IS NULL OR watermark < window_start_ms + window_size + allowed_lateness) GROUP BY ALL""",
 )
 def p5_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    period = ["stream_name", "window_start_ms", "window_end_ms"]
-    admitted = lateness.window_admissions(_arrivals(spark, sf_dir), table(spark, sf_dir, "time_window_config"), carry=["event_id"])
-    admitted = admitted.withColumn("window_end_ms", F.col("window_start_ms") + F.col("window_size"))
-    state = lateness.counter_state(admitted, period, identity="event_id")
-    return lateness.totals(lateness.merge_states([state], period), period)
+    """Registers and counters of separately read portions, the last portion first and the first one twice, merged."""
+    config, parts = table(spark, sf_dir, "time_window_config"), lateness.portions(_arrivals(spark, sf_dir), PORTIONS)
+    merged = lateness.merged_registers(parts)
+    states = [lateness.counters(part, config, merged) for part in reversed(parts)]
+    return lateness.totals(lateness.merge_counters([*states, states[-1]]))

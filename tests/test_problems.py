@@ -202,27 +202,40 @@ def test_lateness_and_counts(spark, seed, segment):
     conf = spark.createDataFrame(CONFIG, "stream_name string, window_size bigint, slide_interval bigint, watermark_delay bigint, allowed_lateness bigint")
     late, counts = brute_lateness(rows, CONFIG)
     assert {r.seq for r in lateness.too_late(df, conf, segment).collect()} == late
-    period = ["stream_name", "window_start_ms"]
-    state = lateness.counter_state(lateness.window_admissions(df, conf, segment, carry=["event_id"]), period, identity="event_id")
-    totals = {(r.stream_name, r.window_start_ms): r.n_events for r in lateness.totals(state, period).collect()}
-    assert totals == counts
-    # Retries and order don't matter.
-    again = lateness.merge_states([state, lateness.merge_states([state, state], period)], period)
-    assert {(r.stream_name, r.window_start_ms): r.n_events for r in lateness.totals(again, period).collect()} == counts
-
-
-def test_counters_merge_by_greatest_version(spark):
-    schema = "stream_name string, source bigint, seq bigint, n bigint"
-    old, new = spark.createDataFrame([("s", 1, 5, 3), ("s", 2, 9, 2)], schema), spark.createDataFrame([("s", 1, 8, 6)], schema)
+    parts = lateness.portions(df, 4, segment)
+    assert sorted(r.seq for p in parts for r in p.collect()) == [r[0] for r in rows]
+    merged = lateness.merged_registers([*reversed(parts), parts[0]], segment)
+    states = [lateness.counters(p, conf, merged, segment) for p in parts]
+
+    def counted(state):
+        return {(r.stream_name, r.window_start_ms): r.n_events for r in lateness.totals(state).collect()}
+
+    # Events are repeated across portions; the order of portions and their repetition don't matter.
+    for order in (states, [*reversed(states), states[0], states[-1]]):
+        assert counted(lateness.merge_counters(order)) == counts
+    # What no counter holds is too late.
+    held = {r.seq for p in parts for r in lateness.window_admissions(p, conf, merged, segment).select("seq").distinct().collect()}
+    dated = {s for s, n, _, at in rows if n in ("tumbling", "sliding") and at is not None}
+    assert dated - held == late == {r.seq for p in parts for r in lateness.too_late(p, conf, segment, merged).collect()}
+    # Closed windows keep their sums, whatever portions come again, and need one row each.
+    final = lateness.closed(lateness.merge_counters(states), conf, merged)
+    assert counted(lateness.merge_counters([states[0], final, states[-1]])) == counts
+    known = {r.stream_name: r.n for r in final.groupBy("stream_name").agg(F.count(F.when(F.col("source").isNotNull(), 1)).alias("n")).collect()}
+    assert final.count() < sum(counts.values()) and all(n < 100 for n in known.values())
+
+
+def test_registers_merge_by_greatest_version(spark):
+    schema = "stream_name string, source bigint, version bigint, high bigint"
+    old, new = spark.createDataFrame([("s", 1, 5, 3), ("s", 2, 9, 2), (None, 1, 1, 1)], schema), spark.createDataFrame([("s", 1, 8, 6)], schema)
     for order in ([old, new], [new, old], [new, new, old]):
-        merged = lateness.merge_states(order, ["stream_name"])
-        assert lateness.totals(merged, ["stream_name"]).first().n_events == 8
+        merged = {(r.stream_name, r.source): r.high for r in lateness.merge_states(order, ["stream_name"], "high").collect()}
+        assert merged == {("s", 1): 6, ("s", 2): 2, (None, 1): 1}
 
 
 def test_lateness_of_nothing(spark):
     none = spark.createDataFrame([], "seq bigint, stream_name string, event_id bigint, ms bigint")
     conf = spark.createDataFrame(CONFIG, "stream_name string, window_size bigint, slide_interval bigint, watermark_delay bigint, allowed_lateness bigint")
-    assert lateness.too_late(none, conf).count() == 0
+    assert lateness.too_late(none, conf).count() == 0 and len(lateness.portions(none, 4)) == 1
 
 
 def wave(rng: np.random.Generator, n: int, level: float, noise: float) -> np.ndarray:
