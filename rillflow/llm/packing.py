@@ -1,21 +1,26 @@
 """Texts of varying length into containers of fixed capacity, by multiway differencing.
 
-Items are dealt by hash into blocks of about WINDOWS containers' worth of tokens. In a block the largest differencing
-method keeps a heap of partial partitions, each a vector of window sums, and merges the two of greatest spread by
-putting the largest sums of one on the smallest of the other, until one partition into near-equal windows is left. The
-number of windows starts at what the tokens need; where capacity is exceeded, the items that don't fit are taken out
-and put where they fit, or exchanged for smaller ones, and the number rises by what the rest needs, which is differenced
-into further windows. Of a few starting numbers the one that ends with the fewest windows wins.
+Items are dealt by hash into blocks of about WINDOWS containers' worth of tokens. In a block they are dealt into groups
+that add up to GROUP windows as nearly as may be. Each group is differenced: the largest differencing method keeps a heap
+of partial partitions, each a vector of window sums, and merges the two of greatest spread by putting the largest sums of
+one on the smallest of the other, until one partition into near-equal windows is left. Windows filled to the last token
+are closed; the items of all others, among them those of windows that exceed the capacity, are dealt anew and differenced
+again, for up to ROUNDS rounds. What is left is differenced as a whole, with a number of windows that rises while the
+capacity is exceeded, up to the number best-fit decreasing needs, whose placement is taken then: so no block takes more
+windows than by best fit. Last, the items of windows with more than LOOSE of their capacity unused are put together over
+all blocks and packed once more.
 
 Only a text longer than the capacity is split: into full pieces and a rest, which is an item like others. Defined cases:
 a null or empty text has 0 tokens and goes to a container of its block, as does each empty piece; equal sizes are taken
-in the order of ids; capacities below 1 or null are refused; an empty table needs no containers. Each block leaves at
-most part of its last windows unused, one in WINDOWS.
+in the order of ids; capacities below 1 or null are refused; an empty table needs no containers. Each block of the second
+packing leaves at most part of its last windows unused.
 """
 
 from __future__ import annotations
 
 import heapq
+import operator
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,153 +28,114 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.plans.sizing import broadcast_if_small
+from rillflow.plans.sizing import written_if_small
 from rillflow.plans.storage import materialize, shuffle_width
 
-WINDOWS, MOST_ITEMS, MOST_KINDS = 192, 4096, 100
-#: Starting numbers of windows tried, as parts of the least possible number.
-STARTS = (1.0, 1.01, 1.03)
-#: Times that the loosest windows are opened again.
-REOPENED = 6
+WINDOWS, GROUP, ROUNDS, MOST_KINDS = 2048, 8, 12, 100
+#: Part of a window that may stay unused without its items being packed once more with those of other blocks.
+LOOSE = 1 / 256
+_SUM = operator.itemgetter(0)
 
 
 def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
     """Partition items into k windows of near-equal sums: lists of item numbers, some perhaps empty."""
-    heap: list[tuple[int, int, list[int], list[list[int]]]] = []
-    for i, s in enumerate(sizes):
-        # Sums in falling order; windows still empty are left out, so a spread is the largest sum less the least or 0.
-        heap.append((-(int(s) if k > 1 else 0), i, [int(s)], [[i]]))
+    if not len(sizes):
+        return [[] for _ in range(k)]
+    # Windows (sum, items) in falling order; those still empty are left out, so a spread is the largest sum less the least or 0.
+    heap: list[tuple[int, int, list[tuple]]] = [(-int(s) if k > 1 else 0, i, [(int(s), i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
-        _, _, a, a_items = heapq.heappop(heap)
-        _, _, b, b_items = heapq.heappop(heap)
-        if len(a) < len(b):
-            a, b, a_items, b_items = b, a, b_items, a_items
+        a = heapq.heappop(heap)[2]
+        b = heap[0][2]
         both = len(a) + len(b) - k  # so many windows get sums of both, the smallest of a with the largest of b
         if both <= 0:
-            sums, items = a + b, a_items + b_items
+            merged = a + b
         else:
+            if len(a) < len(b):
+                a, b = b, a
             both = min(both, len(b))
             head = len(a) - both
-            sums = a[:head] + [x + y for x, y in zip(a[head:], reversed(b[:both]), strict=True)] + b[both:]
-            joined = [x + y for x, y in zip(a_items[head:], reversed(b_items[:both]), strict=True)]
-            items = a_items[:head] + joined + b_items[both:]
-        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
-        sums, items = [sums[i] for i in order], [items[i] for i in order]
-        spread = sums[0] - (sums[-1] if len(sums) == k else 0)
-        heapq.heappush(heap, (-spread, n, sums, items))
+            merged = a[:head] + [(x + y, (t, u)) for (x, t), (y, u) in zip(a[head:], b[both - 1 :: -1], strict=True)] + b[both:]
+        merged.sort(key=_SUM, reverse=True)
+        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
+        heapq.heapreplace(heap, (-spread, n, merged))
         n += 1
-    windows = heap[0][3] if heap else []
+    windows = [_leaves(tree) for _, tree in heap[0][2]]
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def _relieve(sizes: np.ndarray, window: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Take items out of windows that exceed the capacity, put them elsewhere, and return those left over.
+def _leaves(tree: int | tuple) -> list[int]:
+    """The items of a window, which is a tree of pairs."""
+    out, todo = [], [tree]
+    while todo:
+        t = todo.pop()
+        if isinstance(t, tuple):
+            todo.extend(t)
+        else:
+            out.append(t)
+    return out
+
+
+def groups(sizes: np.ndarray, items: np.ndarray, target: int) -> Iterator[np.ndarray]:
+    """Deal items into groups whose sums reach the target as nearly as may be; the last is what is left.
 
-    An item goes where it fits best. One that fits nowhere takes, alone or with another, the place of one inside if that
-    fills a window further; that one is put elsewhere in its turn. Each exchange fills windows by at least one token, so
-    this ends.
+    A group is a stretch of the items as they come, filled up from a stock, the last of them, by the largest that fit.
     """
-    for w in np.flatnonzero(room < 0):
-        inside = np.flatnonzero(window == w)
-        inside = inside[np.argsort(sizes[inside], kind="stable")]
-        while room[w] < 0:
-            enough = inside[sizes[inside] >= -room[w]]
-            gone = enough[0] if len(enough) else inside[-1]
-            inside = inside[inside != gone]
-            window[gone] = -1
-            room[w] += sizes[gone]
-    waiting = np.flatnonzero(window < 0).tolist()
-    moved = True
-    while waiting and moved:
-        waiting.sort(key=lambda i: (-sizes[i], i))
-        left: list[int] = []
-        moved = False
-        while waiting:
-            i = waiting.pop(0)
-            fits = np.flatnonzero(room >= sizes[i])
-            if len(fits):
-                w = fits[room[fits].argmin()]
-                window[i], room[w], moved = w, room[w] - sizes[i], True
-                continue
-            j, partner = _exchange(sizes, window, room, i, waiting)
-            if j < 0:
-                left.append(i)
-                continue
-            w = window[j]
-            for new in (i, partner):
-                if new >= 0:
-                    window[new], room[w] = w, room[w] - sizes[new]
-            if partner >= 0:
-                waiting.remove(partner)
-            window[j], room[w], moved = -1, room[w] + sizes[j], True
-            left.append(int(j))
-        waiting = left
-    return np.array(sorted(waiting), dtype=np.int64)
-
-
-def _exchange(sizes: np.ndarray, window: np.ndarray, room: np.ndarray, i: int, others: Sequence[int]) -> tuple[int, int]:
-    """The item inside a window that i, alone or with another waiting item, replaces with the greatest gain, and the
-    other (-1: none); -1 if nothing is gained."""
-    inside = np.flatnonzero(window >= 0)
-    held, free = sizes[inside], room[window[inside]]
-    best, found = 0, (-1, -1)
-    for partner in (-1, *{int(sizes[o]): o for o in others}.values()):
-        gain = sizes[i] + (sizes[partner] if partner >= 0 else 0) - held
-        gain = np.where(gain <= free, gain, 0)
-        j = int(gain.argmax()) if len(gain) else -1
-        if j >= 0 and gain[j] > best:
-            best, found = int(gain[j]), (int(inside[j]), partner)
-    return found
-
-
-def _again(sizes: np.ndarray, window: np.ndarray, room: np.ndarray, rest: np.ndarray, capacity: int) -> tuple[np.ndarray, bool]:
-    """Open the loosest third of the windows, difference their items with the rest into as many, and keep it if less is
-    left over. window and room are changed in place."""
-    opened = np.sort(np.argsort(-room, kind="stable")[: max(2, len(room) // 3)])
-    items = np.sort(np.concatenate([np.flatnonzero(np.isin(window, opened)), rest]))
-    new_window, new_room = window.copy(), room.copy()
-    for j, w in enumerate(difference(sizes[items], len(opened))):
-        new_window[items[w]] = opened[j]
-    new_room[opened] = capacity - np.bincount(np.searchsorted(opened, new_window[items]), weights=sizes[items], minlength=len(opened)).astype(np.int64)
-    left = _relieve(sizes, new_window, new_room)
-    if sizes[left].sum() >= sizes[rest].sum():
-        return rest, False
-    window[:], room[:] = new_window, new_room
-    return left, True
+    n = max(1, round(int(sizes[items].sum()) / target))
+    cut = len(items) - len(items) // n if n > 1 else len(items)
+    stock = sorted((int(sizes[i]), int(i)) for i in items[cut:])
+    group: list[int] = []
+    room = target
+    for i in items[:cut]:
+        if sizes[i] > room and n > 1:
+            while (j := bisect_right(stock, (room, len(sizes))) - 1) >= 0 and room:
+                size, more = stock.pop(j)
+                group.append(more)
+                room -= size
+            yield np.array(group, dtype=np.int64)
+            group, room = [], target
+        group.append(int(i))
+        room -= int(sizes[i])
+    yield np.array(group + [i for _, i in stock], dtype=np.int64)
+
+
+def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
+    """Best-fit decreasing: each item, from the largest, into the window it leaves least room in."""
+    rooms: list[tuple[int, int]] = []  # room and number of each window, rising
+    windows: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        at = bisect_left(rooms, (sizes[i], -1))
+        room, w = rooms.pop(at) if at < len(rooms) else (capacity, len(windows))
+        if w == len(windows):
+            windows.append([])
+        windows[w].append(i)
+        insort(rooms, (room - sizes[i], w))
+    return windows
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows of item numbers, none above the capacity; every item (at most the capacity long) in exactly one."""
-    items = np.flatnonzero(sizes > 0)
-    own = sizes[items].astype(np.int64)
-    least = max(-(-int(own.sum()) // capacity), int((own * 2 > capacity).sum()))
-    best: np.ndarray | None = None
-    for part in STARTS if len(items) else ():
-        k = min(int(np.ceil(least * part)), len(items))
-        if best is not None and k >= best.max() + 1:
+    """Windows of item numbers, none above the capacity; every item (at most the capacity long) in exactly one.
+
+    A round that would in the end need more windows than best-fit decreasing from the start is taken back.
+    """
+    sizes = sizes.astype(np.int64)
+    full: list[list[int]] = [[int(i)] for i in np.flatnonzero(sizes == capacity)]
+    left = np.flatnonzero((sizes > 0) & (sizes < capacity))
+    rng = np.random.default_rng(len(left))  # the same items are always dealt alike
+    closed: list[list[int]] = []
+    fitted = best_fit(sizes[left].tolist(), capacity)
+    most = len(fitted)
+    for _ in range(ROUNDS):
+        if sizes[left].sum() <= GROUP * capacity:
             break
-        window, room, rest = np.full(len(own), -1, dtype=np.int64), np.empty(0, dtype=np.int64), np.arange(len(own))
-        while len(rest):
-            more = k if not len(room) else max(1, -(-int(own[rest].sum()) // capacity))
-            for j, w in enumerate(difference(own[rest], more)):
-                window[rest[w]] = len(room) + j
-            room = np.concatenate([room, np.full(more, capacity, dtype=np.int64)])
-            room[-more:] -= np.bincount(window[rest] - (len(room) - more), weights=own[rest], minlength=more).astype(np.int64)
-            rest = _relieve(own, window, room)
-            for _ in range(REOPENED if len(rest) else 0):
-                rest, better = _again(own, window, room, rest, capacity)
-                if not better or not len(rest):
-                    break
-        window = np.unique(window, return_inverse=True)[1]
-        if best is None or window.max() < best.max():
-            best = window
-        if best.max() + 1 <= least:
+        now, open_ = _round(sizes, rng.permutation(left), capacity)
+        rest = best_fit(sizes[open_].tolist(), capacity)
+        if len(closed) + len(now) + len(rest) > most:
             break
-    out: list[list[int]] = [[] for _ in range(int(best.max()) + 1)] if best is not None else []
-    for i, w in zip(items.tolist(), best.tolist() if best is not None else (), strict=True):
-        out[w].append(i)
+        closed, left, fitted = closed + now, open_, rest
+    own = sizes[left].tolist()
+    out = full + closed + [left[w].tolist() for w in _near_equal(own, capacity, len(fitted)) or fitted]
     empty = np.flatnonzero(sizes <= 0).tolist()
     if empty:
         out = out or [[]]
@@ -177,6 +143,26 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
+def _round(sizes: np.ndarray, items: np.ndarray, capacity: int) -> tuple[list[list[int]], np.ndarray]:
+    """The windows that differencing fills to the last token, and the other items."""
+    closed: list[list[int]] = []
+    open_: list[int] = []
+    for group in groups(sizes, items, GROUP * capacity):
+        own = sizes[group].tolist()
+        for w in difference(own, -(-sum(own) // capacity)):
+            (closed.append if sum(own[i] for i in w) == capacity else open_.extend)(group[w].tolist())
+    return closed, np.array(open_, dtype=np.int64)
+
+
+def _near_equal(sizes: list[int], capacity: int, most: int) -> list[list[int]] | None:
+    """Near-equal windows, their number rising while one exceeds the capacity; None if it would reach most."""
+    for k in range(-(-sum(sizes) // capacity), most):
+        windows = difference(sizes, k)
+        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
+            return windows
+    return None
+
+
 def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     """sized(doc_id, n_tokens) x capacities -> container_kind, capacity_tokens, doc_id, piece, first_token, n_tokens."""
     kinds = capacities.select("container_kind", F.expr("assert_true(capacity_tokens >= 1)").alias("ok"), F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
@@ -192,17 +178,28 @@ def pieces(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     return split.select("container_kind", "capacity_tokens", "doc_id", "piece", first.alias("first_token"), F.least("capacity_tokens", F.col("size") - first).alias("n_tokens"))
 
 
+PACKED = "container_kind string, capacity_tokens bigint, container_id bigint, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint, loose boolean"
+
+
 def pack_documents(sized: DataFrame, capacities: DataFrame) -> DataFrame:
     """-> container_kind, container_id, doc_id, piece, first_token, n_tokens: every piece in exactly one container."""
     cut = pieces(materialize(sized.select("doc_id", "n_tokens"), "sized"), capacities)
+    first = materialize(_packed(cut, stage=0), "packed")
+    again = _packed(first.where("loose"), stage=1)
+    return first.where("NOT loose").unionByName(again).drop("capacity_tokens", "loose")
+
+
+def _packed(cut: DataFrame, stage: int) -> DataFrame:
+    """The pieces of each block with their containers, and whether these are loose."""
     need = F.sum("n_tokens") / (F.col("capacity_tokens") * WINDOWS)
-    blocks = cut.groupBy("container_kind", "capacity_tokens").agg(
-        F.greatest(F.lit(1), F.round(need), F.ceil(F.count(F.lit(1)) / F.lit(MOST_ITEMS))).cast("bigint").alias("n_blocks")
-    )
-    dealt = cut.join(broadcast_if_small(blocks.select("container_kind", "n_blocks")), "container_kind")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("n_blocks"))).drop("n_blocks")
-    spread = dealt.repartition(shuffle_width(sized), "container_kind", "block").sortWithinPartitions("container_kind", "block", "doc_id", "piece")
-    return spread.mapInPandas(_pack_blocks, "container_kind string, container_id bigint, doc_id bigint, piece bigint, first_token bigint, n_tokens bigint")
+    blocks = cut.groupBy("container_kind", "capacity_tokens").agg(F.greatest(F.lit(1), F.round(need)).cast("bigint").alias("n_blocks"))
+    dealt = cut.join(written_if_small(blocks.select("container_kind", "n_blocks"), "blocks"), "container_kind")
+    dealt = dealt.select(
+        "container_kind", "capacity_tokens", "doc_id", "piece", "first_token", "n_tokens",
+        (F.pmod(F.xxhash64("doc_id", "piece", F.lit(stage)), F.col("n_blocks")) * 2 + stage).alias("block"),
+    )
+    spread = dealt.repartition(shuffle_width(cut), "container_kind", "block").sortWithinPartitions("container_kind", "block", "doc_id", "piece")
+    return spread.mapInPandas(_pack_blocks, PACKED)
 
 
 def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,22 +208,25 @@ def _pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if batch.empty:
             continue
         held.append(batch)
-        rows = pd.concat(held) if len(held) > 1 else batch
-        last = rows.iloc[-1]
+        last = batch.iloc[-1]
+        first = batch.iloc[0]
+        if (first["container_kind"], first["block"]) == (last["container_kind"], last["block"]) == (held[0].iloc[0]["container_kind"], held[0].iloc[0]["block"]):
+            continue  # a block that may go on
+        rows = pd.concat(held)
         open_ = ((rows["container_kind"] == last["container_kind"]) & (rows["block"] == last["block"])).to_numpy()
-        done = rows[~open_]
         held = [rows[open_]]
-        for _, block in done.groupby(["container_kind", "block"], sort=False):
-            yield _packed(block)
-    if held:
-        yield _packed(pd.concat(held))
+        for _, block in rows[~open_].groupby(["container_kind", "block"], sort=False):
+            yield _contained(block)
+    for _, block in pd.concat(held).groupby(["container_kind", "block"], sort=False) if held else ():
+        yield _contained(block)
 
 
-def _packed(block: pd.DataFrame) -> pd.DataFrame:
-    sizes = block["n_tokens"].to_numpy(dtype=np.int64)
-    window = np.zeros(len(sizes), dtype=np.int64)
-    for j, items in enumerate(pack(sizes, int(block["capacity_tokens"].iloc[0]))):
+def _contained(block: pd.DataFrame) -> pd.DataFrame:
+    sizes, capacity = block["n_tokens"].to_numpy(dtype=np.int64), int(block["capacity_tokens"].iloc[0])
+    window, loose = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=bool)
+    for j, items in enumerate(pack(sizes, capacity)):
         window[items] = j
-    out = block[["container_kind", "doc_id", "piece", "first_token", "n_tokens"]].copy()
-    out.insert(1, "container_id", block["block"].to_numpy() * (1 << 20) + window)
-    return out
+        loose[items] = sizes[items].sum() < capacity * (1 - LOOSE)
+    out = block[["container_kind", "capacity_tokens", "doc_id", "piece", "first_token", "n_tokens"]].copy()
+    out.insert(2, "container_id", block["block"].to_numpy() * (1 << 24) + window)
+    return out.assign(loose=loose)

@@ -97,18 +97,19 @@ def test_differencing_example():
     assert sums == [14, 16]
 
 
-def test_little_space_is_left_next_to_first_fit():
-    rng = np.random.default_rng(4)
-    sizes = np.minimum(rng.lognormal(4.7, 0.9, 1200).astype(np.int64) + 1, 256)
-    ours = len(packing.pack(sizes, 256))
-    room: list[int] = []
-    for s in sorted(sizes, reverse=True):
-        at = next((i for i, r in enumerate(room) if r >= s), None)
-        if at is None:
-            room.append(256 - s)
-        else:
-            room[at] -= s
-    assert ours <= 1.01 * len(room) + 1
+@pytest.mark.parametrize("seed,capacity", [(4, 256), (5, 256), (6, 1024), (7, 4096)])
+def test_as_little_space_is_left_as_by_best_fit(seed, capacity):
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(rng.lognormal(4.7, 0.9, 3000).astype(np.int64) + 1, capacity)
+    best = packing.best_fit(sizes.tolist(), capacity)
+    assert sorted(i for w in best for i in w) == list(range(3000)) and all(sizes[w].sum() <= capacity for w in best)
+    assert len(packing.pack(sizes, capacity)) <= len(best)
+
+
+def test_number_of_windows_rises_until_the_capacity_is_kept():
+    assert packing._near_equal([6, 6, 6, 6, 6], 11, 5) is None and len(packing._near_equal([6, 6, 6, 6, 6], 11, 6)) == 5
+    assert len(packing._near_equal([5, 5, 4, 4, 3, 3], 12, 3)) == 2  # near-equal windows of 12 each
+    assert packing.difference([], 2) == [[], []]
 
 
 def test_packed_documents(spark):
