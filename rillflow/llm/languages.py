@@ -6,12 +6,13 @@ best language doesn't stand out, next to others of its document, takes the docum
 the least code length over all prose.
 
 Defined cases: a null, empty or wordless text, and one of only code, links or names of tools, has no language (null,
-confidence 0, no segments); very long texts are scored whole, sentences beyond 4,000 characters in parts; an empty table
+confidence 0, no segments), nor has one of only a few letters if none stands out; code inside a sentence is cut out of it; very long texts are scored whole, sentences beyond 4,000 characters in parts; an empty table
 gives an empty result; without samples there are no languages and an error is raised.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.ppm import ByteModels
-from rillflow.llm.prose import sentences
+from rillflow.llm.prose import is_short, sentences
 from rillflow.plans.sizing import spread_if_few
 
 #: At most so many samples are used for training, a bound on what the driver collects and sends out.
@@ -112,11 +113,20 @@ def collected_models(samples: DataFrame, documents: DataFrame | None = None) ->
         labelled = documents.select("doc_id", label_code(F.col("lang")).alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
         short = labelled.where(F.length("text") <= LONGEST_LABELLED)
         more = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select("lang", "text").collect()
-    return train([(r.lang, r.text) for r in rows], [(r.lang, r.text) for r in more])
+    texts = [(r.lang, r.text) for r in rows], sorted((r.lang, r.text) for r in more)
+    key = hashlib.sha256(repr(texts).encode()).hexdigest()
+    if key not in _trained:  # models of the same texts are trained once in a program
+        _trained.clear()
+        _trained[key] = train(*texts)
+    return _trained[key]
+
+
+_trained: dict[str, ByteModels] = {}
 
 
 def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list[int], list[float], int, float]]:
-    """For each document's sentences: class and confidence of each, class (-1: none) and confidence of the whole."""
+    """For each document's sentences: class and confidence of each, class (-1: none) and confidence of the whole. A document
+    without language has neither for its sentences."""
     flat = [normalised(s) for p in parts for s in p]
     if not flat:
         return [([], [], -1, 0.0) for _ in parts]
@@ -133,7 +143,11 @@ def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list
     whole = weight.argmax(axis=1)
     row = np.arange(len(flat))
     least = bits[row, shortest]
-    taken = np.where(bits[row, whole[doc]] - least < STANDS_OUT, whole[doc], shortest)
+    # A few letters tell a language only if it stands out from all others.
+    second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.full(len(flat), np.inf)
+    told = (second - least >= STANDS_OUT) | ~np.array([is_short(s) for s in flat])
+    taken = np.where((bits[row, whole[doc]] - least >= STANDS_OUT) & told, shortest, whole[doc])
+    has_any = np.bincount(doc, told, len(parts)) > 0
     shares = np.exp2(-TEMPER * (bits - least[:, None]))
     sure = shares[row, taken] / shares.sum(axis=1)
     share = np.bincount(doc, np.where(taken == whole[doc], sure, 0.0) * size, len(parts)) / np.maximum(np.bincount(doc, size, len(parts)), 1.0)
@@ -141,7 +155,7 @@ def judge(parts: Sequence[Sequence[str]], models: ByteModels) -> list[tuple[list
     at = 0
     for i, p in enumerate(parts):
         end = at + len(p)
-        out.append((taken[at:end].tolist(), sure[at:end].tolist(), int(whole[i]), float(share[i])) if len(p) else ([], [], -1, 0.0))
+        out.append((taken[at:end].tolist(), sure[at:end].tolist(), int(whole[i]), float(share[i])) if has_any[i] else ([], [], -1, 0.0))
         at = end
     return out
 
@@ -174,7 +188,7 @@ def _segments(parts: Sequence[Sequence[str]], judged: Sequence[tuple[list[int],
     ends, langs, sure, n_sentences, n_chars = [0], [], [], [], []
     for p, (classes, confidence, _, _) in zip(parts, judged, strict=True):
         before = -1
-        for s, c, x in zip(p, classes, confidence, strict=True):
+        for s, c, x in zip(p, classes, confidence, strict=False):  # none of a document without language
             if c == before:
                 sure[-1] += x
                 n_sentences[-1] += 1

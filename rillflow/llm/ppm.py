@@ -10,6 +10,7 @@ below order 0 all 256 bytes cost 8 bits. Statistics are frozen after training, s
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from os import PathLike
 
 import numpy as np
 
@@ -72,6 +73,23 @@ class ByteModels:
         self.contexts.append(contexts)
         self.escape.append(escape)
 
+    def save(self, path: str | PathLike) -> None:
+        """Write the frozen statistics as one file, to be loaded instead of trained."""
+        tables = {f"{name}_{k}": a[k] for k in range(self.order + 1) for name, a in self._tables().items()}
+        np.savez_compressed(path, classes=np.array(self.classes), order=np.array(self.order), **tables)
+
+    @classmethod
+    def load(cls, path: str | PathLike) -> ByteModels:
+        models = cls.__new__(cls)
+        with np.load(path) as kept:
+            models.classes, models.order = kept["classes"].tolist(), int(kept["order"])
+            for name in ("known", "cost", "contexts", "escape"):
+                setattr(models, name, [kept[f"{name}_{k}"] for k in range(models.order + 1)])
+        return models
+
+    def _tables(self) -> dict[str, list[np.ndarray]]:
+        return {"known": self.known, "cost": self.cost, "contexts": self.contexts, "escape": self.escape}
+
     def code_lengths(self, texts: Sequence[str]) -> np.ndarray:
         """Bits of each text (rows) under each class (columns)."""
         bits = np.zeros((len(texts), len(self.classes)))

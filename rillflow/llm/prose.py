@@ -28,8 +28,15 @@ _INLINE = [
 _DOTTED = re.compile(r"(?<=\w)(?:::|->|\.)(?=\w)")
 _QUOTE = re.compile(r"^[ ]{0,3}(?:>+ ?)+|^[ ]{0,3}(?:[-*+•]|\d+[.)])[ ]+|^#+[ ]+", re.M)
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|\n\s*\n|\n")
-_CODE_LINE = re.compile(r"[{};=]\s*$|^\s*(?:\$|>>>|#!|//|/\*|at \w+\.)|[=!<>]=|=>|\w+\s*=\s*\S|^\s*\w+:\s*\S*\s*$|^ERROR \d|^exit status|^\s*(?:for|if|while|def|elif|with)\b[^.?!]*:\s*$")
-LEAST_LETTERS = 5
+#: Code inside a sentence: assignments with both sides, and the signs of comparisons and arrows.
+_CODE_SPAN = re.compile(r"[\w.\[\]]+\s*(?<![=!<>])(?:[-+*/|&%:]?=)(?![=>])\s*[^\s,;]+|[=!<>]=+|[=-]>|[{}]")
+#: What a line of code begins or ends with.
+_CODE_SHAPE = re.compile(r"[{};=]\s*$|\s:\s*$|^\s*(?:\$|>>>|#!|//|/\*|at \w+\.)|^\s*\w+:\s*\S*\s*$|^ERROR \d|^exit status")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+#: A line that looks like code is prose if it has so many words; what is left of a sentence besides code, if it has so many.
+PROSE_WORDS, LEFT_WORDS = 5, 3
+#: Sentences of so few letters tell a language only if one stands out.
+FEW_LETTERS = 5
 #: A sentence of a post is scored in parts of this many characters if it is longer.
 LONGEST = 4000
 
@@ -38,19 +45,38 @@ _CODE_MARKS = frozenset("{}=<>$#/*!:")
 
 
 def _may_be_code(part: str) -> bool:
-    """Whether the search for lines of code can find any: it needs one of these."""
+    """Whether the search for code can find any: it needs one of these."""
     return part[-1] == ";" or not _CODE_MARKS.isdisjoint(part) or part.startswith(("at ", "ERROR ", "exit status"))
 
 
+def _without_code(part: str) -> str:
+    """The sentence without the code in it; nothing if it is a line of code."""
+    left = " ".join(_CODE_SPAN.sub(" ", part).split())
+    n = len(_WORD.findall(left))
+    wide = n < PROSE_WORDS and _wide_letters(left) >= 2  # scripts without blanks have few words
+    if wide or n >= PROSE_WORDS or (n >= LEFT_WORDS or left == part) and not _CODE_SHAPE.search(part):
+        return left
+    return ""
+
+
+def _wide_letters(part: str) -> int:
+    return sum(c.isalpha() and c > "\u3000" for c in part)
+
+
 def _worded(part: str) -> bool:
-    """Whether there are words enough to tell a language: more than LEAST_LETTERS letters, or letters of scripts without blanks."""
+    """Whether there are letters of words."""
     letters = 0
     for c in part:
         if c.isalpha():
             letters += 1
-            if letters > LEAST_LETTERS:
+            if letters > 1:
                 return True
-    return sum(c.isalpha() and c > "\u3000" for c in part) >= 2
+    return False
+
+
+def is_short(sentence: str) -> bool:
+    """Whether a sentence has too few letters to tell a language by itself, unless one stands out."""
+    return len(sentence) < 40 and sum(c.isalpha() for c in sentence) <= FEW_LETTERS and _wide_letters(sentence) < 2
 
 
 def sentences(text: str | None) -> list[str]:
@@ -72,7 +98,9 @@ def sentences(text: str | None) -> list[str]:
         if not part:
             continue
         part = " ".join(part.split())
-        if not _worded(part) or (_may_be_code(part) and _CODE_LINE.search(part)):
+        if part and _may_be_code(part):
+            part = _without_code(part)
+        if not _worded(part):
             continue
         found += [part[i : i + LONGEST] for i in range(0, len(part), LONGEST)]
     return found

@@ -227,6 +227,13 @@ def test_code_lengths_are_those_of_the_context_trees():
             assert got[i, j] == pytest.approx(brute_bits(p.encode(), [t.encode() for t in texts[c]], models.order), rel=1e-4)
 
 
+def test_models_are_kept_and_read_again(tmp_path):
+    models = ppm.ByteModels({"x": ["abc abd"], "y": ["xyz xxy"]})
+    models.save(tmp_path / "models.npz")
+    again = ppm.ByteModels.load(tmp_path / "models.npz")
+    assert again.classes == models.classes and (again.code_lengths(["abc", "zzz"]) == models.code_lengths(["abc", "zzz"])).all()
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     models = ppm.ByteModels({"x": ["abc " * 20], "y": ["xyz " * 20]})
     text = "abc xyz " * 100
@@ -254,6 +261,26 @@ def test_prose_without_code_links_and_marks():
     assert max(map(len, prose.sentences("wort " * 5000))) <= prose.LONGEST
 
 
+def test_prose_with_code_inside_stays():
+    kept = {
+        "Setzen Sie den Wert auf n = 5 und starten Sie den Dienst danach neu.": "Setzen Sie den Wert auf und starten Sie den Dienst danach neu.",
+        "The result == the input only for x >= 3 in our case.": "The result the input only for x 3 in our case.",
+        "La fonction renvoie x => y pour chaque ligne du fichier.": "La fonction renvoie x y pour chaque ligne du fichier.",
+        "Danke!": "Danke!", "Merci.": "Merci.", "Note: it works": "Note: it works", "Voici le premier exemple du code :": "Voici le premier exemple du code :",
+    }
+    for text, left in kept.items():
+        assert prose.sentences(text) == [left]
+    for code in ("x = 5", "const queue = await ;", "for queue in :", "public int {", "let mut batch = vec:: ;", "while let = key.", "$ make all", "a += b;", "}"):
+        assert prose.sentences(code) == []
+
+
+def test_a_few_letters_tell_a_language_only_if_it_stands_out():
+    models = languages.train([("de", "danke danke danke"), ("fr", "merci merci merci"), ("en", "The cache is slow because of the network.")])
+    judged = languages.judge([prose.sentences(t) for t in ("Danke!", "Merci.", "pls", "The cache is slow because of the network. Merci. pls")], models)
+    named = [sorted({models.classes[c] for c in classes}) for classes, *_ in judged]
+    assert named[0] == ["de"] and named[1] == ["fr"] and named[2] == [] and named[3] == ["en", "fr"]
+
+
 def test_segments_and_labels(spark):
     en, de, ja = (" ".join(v) for v in SAMPLES.values())
     docs = [
@@ -306,3 +333,11 @@ def test_held_out_sentences_are_told_apart():
     judged = languages.judge([prose.sentences(r["text"]) for r in held], models)
     right = sum(models.classes[c] == r["lang"] for r, (_, _, c, _) in zip(held, judged, strict=True) if c >= 0)
     assert right / len(held) >= 0.97
+    # In each language, and confidence tells how often a sentence is right.
+    for lang in models.classes:
+        own = [j for r, j in zip(held, judged, strict=True) if r["lang"] == lang]
+        assert own and sum(models.classes[c] == lang for _, _, c, _ in own) / len(own) >= 0.9
+    sure = [(x, models.classes[c] == r["lang"]) for r, (classes, shares, *_) in zip(held, judged, strict=True) for c, x in zip(classes, shares, strict=True)]
+    certain, doubtful = [ok for x, ok in sure if x >= 0.95], [ok for x, ok in sure if x < 0.95]
+    assert sum(certain) / len(certain) >= 0.98 and len(certain) > len(doubtful)
+    print({f"{lo:.2f}": (len(b), round(sum(b) / len(b), 3)) for lo, hi in ((0, 0.5), (0.5, 0.8), (0.8, 0.95), (0.95, 1.01)) if (b := [ok for x, ok in sure if lo <= x < hi])})
