@@ -71,7 +71,9 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p8_shares")
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    targets = table(spark, sf_dir, "mix_targets")
+    chosen, parts = mixing.mix_and_plan(sized_documents(spark, sf_dir), targets)
+    return mixing.shares(chosen, targets, parts)
 
 
 def _models(spark: SparkSession, sf_dir: str) -> languages.ByteModels:

@@ -188,6 +188,12 @@ def test_mix_reaches_shares_within_repeats(spark):
 def test_mix_of_a_given_budget_and_of_nothing(spark):
     selected, targets = mixed(spark, [(i, "big", 10, "x", "y") for i in range(100)] + [(1000 + i, "small", 10, "x", "y") for i in range(100)], budget=400)
     assert sum(r.n_tokens for r in selected.collect()) == 400
+    # A budget that would spoil the shares isn't filled: small ends at 3 x 1000 tokens, and big at 1000.
+    rows = [(i, "big", 10, "x", "y") for i in range(100)] + [(1000 + i, "small", 10, "x", "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, weight string, copy string")
+    chosen, parts = mixing.mix_and_plan(df, targets, 10_000)
+    got = {r.source: (r.n_tokens, r.limits) for r in mixing.shares(chosen, targets, parts).collect()}
+    assert got == {"big": (1000, True), "small": (600, False), "tiny": (0, False), "absent": (0, False)}
     nothing, targets = mixed(spark, [])
     assert nothing.count() == 0 and mixing.shares(nothing, targets).count() == len(TARGETS)
 
