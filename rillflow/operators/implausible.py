@@ -1,21 +1,17 @@
 """Implausible readings in measured series: spikes, stuck stretches and impossible values.
 
-Each series (source and kind of measurement) is cut by rank into blocks of ``block`` readings with ``halo`` readings of
-its neighbours on both sides, so that no series, however long, is judged by one task. Stuck stretches are joined over
-blocks: the usual step of a series comes from counts of all its steps, blocks tell their flat runs and those that reach
-their borders, and a series' runs, not its readings, are put together in order. Of a series:
+Readings are range-partitioned by (source, kind of measurement, time, value) and sorted, so that a series, however large, is
+spread over neighbouring partitions. A series that lies inside a partition is judged as the partition is read. Of a series
+that reaches a partition's ends, and so may go on in the next, blocks of ``block`` readings are written with ``halo`` readings
+of their neighbours on both sides; what is measured of the whole series (robust deviations, the usual step) is added up
+from counts over its blocks, flat runs that reach their borders are joined in order, and the blocks are judged by that. There
+are two such series for each partition at most. Of a series:
 
 1. bounds and wholeness find impossible readings, which are left out of what follows;
 2. runs of any length in which the first difference is zero, or all but zero, in a series that normally changes at every
-   reading, are stuck stretches, from their second reading on (wavelet details don't tell, being 0 on any line). Normal is
-   what is left without all such runs, unless they are most of the series or come back to one value often and for long;
-3. an undecimated wavelet with two vanishing moments (detail at scale s: x[i] - (x[i-s] + x[i+s]) / 2, s = 1, 2, 4, 8;
-   lines give 0) is taken of the rest on an inverse hyperbolic sine scale. Details beyond DETAIL_LIMIT robust
-   standard deviations, estimated by medians of details, make a reading a candidate;
-4. a candidate is a spike if it lies, in the same direction and by SPIKE_LIMIT deviations, on this and on the plain scale, beyond what the readings
-   before and the readings after its group of up to WIDEST successive readings show and extend to. A lasting change
-   of level or the reset of a ramp agrees with one side, a slow wave with both. At an end of the series, all other
-   readings stand in for the missing side. Spikes found are taken out and the rest is judged again until none is found.
+   reading, are stuck stretches, from their second reading on (see ``stuck``);
+3. wavelet details beyond a multiple of their robust deviation over the series give candidates, which are spikes if they lie
+   beyond what both sides show (see ``spikes``).
 
 Defined cases: null and NaN values and rows without source or time are no readings; infinite values are impossible;
 equal times of a series are one reading if their values are equal too (all rows are flagged alike) and are taken in the
@@ -25,8 +21,7 @@ or missing bind nothing; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,447 +29,263 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.identity import label_key
-from rillflow.plans.ordering import with_position
-from rillflow.plans.sizing import broadcast_if_small
+from rillflow.operators.spikes import FIRST, SECOND, SPIKE_LIMIT, Batch, bucket_of, first_measures, medians, scores, second_measures, value_of
+from rillflow.operators.stuck import STUCK_LENGTH, STUCK_SHARE, BlockRuns, Piece, SeriesRuns, block_runs
+from rillflow.plans.ordering import changes
+from rillflow.plans.sizing import written_if_small
 from rillflow.plans.storage import materialize, shuffle_width
 
 BLOCK, HALO = 1024, 64
-SCALES = (1, 2, 4, 8)
-LEAST, STUCK_LENGTH, STUCK_SHARE, NEAR, WIDEST = 12, 6, 0.05, 5, 5
-DETAIL_LIMIT, SPIKE_LIMIT, FALLEN, FALLEN_LIMIT, MOST_REPEATS, BY_CHANCE = 4.0, 7.0, 0.2, 3.0, 0.15, 0.01
-
-#: A series rests if more than this share of its steps, its longest flat run aside, lie in long flat runs, and at a value
-#: if it has so many long flat runs there that, their longest aside, hold more than MOST_REPEATS of those steps.
-MOST_RESTING, REST_RUNS = 0.5, 3
-#: Steps are counted in buckets of equal sign, exponent and first 6 bits of the fraction (1.6 % wide).
-BUCKET_BITS = 46
-
 FINE, SPIKE, STUCK, IMPOSSIBLE = 0, 1, 2, 3
 KINDS = {SPIKE: "spike", STUCK: "stuck", IMPOSSIBLE: "impossible"}
+#: More kinds of measurement than this have no bounds that tasks can hold.
+MOST_LIMITS = 50_000
+#: Readings judged at once.
+AT_ONCE = 1 << 16
+#: Partitions looked back and ahead for a halo; a share of a series in one may be shorter than that.
+PARTS_NEAR = 8
 
-
-def median(x: np.ndarray) -> float:
-    """As numpy's, without its checks, which cost more than short arrays do."""
-    ordered, n = np.sort(x), len(x)
-    return float(ordered[(n - 1) // 2] + ordered[n // 2]) / 2
-
-
-def deviation(x: np.ndarray) -> float:
-    """Robust standard deviation of values with median 0."""
-    return 1.4826 * median(np.abs(x)) if len(x) else 0.0
-
-
-def details(x: np.ndarray, scale: int) -> np.ndarray:
-    """Undecimated detail coefficients; at the borders the series is continued by its mirror in the end point."""
-    n = len(x)
-    k = min(scale, n - 1)
-    head, tail = 2 * x[0] - x[k:0:-1], 2 * x[-1] - x[-2 : -k - 2 : -1]
-    long = np.concatenate([head, x, tail])
-    return long[k : k + n] - (long[:n] + long[2 * k : 2 * k + n]) / 2
-
-
-def usual_step(steps: np.ndarray) -> float:
-    """The median of the steps that aren't zero, each taken as the greatest of its bucket, as over many blocks."""
-    moved = np.sort(steps[steps > 0])
-    if not len(moved):
-        return 0.0
-    bucket = moved.view(np.int64) >> BUCKET_BITS
-    ranks = np.array([(len(moved) - 1) // 2, len(moved) // 2])
-    return float(moved[np.searchsorted(bucket, bucket[ranks], "right") - 1].mean())
-
-
-@dataclass(frozen=True)
-class Piece:
-    """Successive readings of a block with flat steps between them: how many, the places of the first and the last, and
-    those readings that can tell where a level is left: the first STUCK_LENGTH and each that is greater or less than all
-    before it, by number, value and the place of the reading before."""
-
-    count: int
-    first: int
-    last: int
-    number: np.ndarray
-    value: np.ndarray
-    before: np.ndarray
-
-    @classmethod
-    def of(cls, x: np.ndarray, at: np.ndarray) -> Piece:
-        high, low = np.maximum.accumulate(x), np.minimum.accumulate(x)
-        keep = np.arange(len(x)) < STUCK_LENGTH
-        keep[1:] |= (high[1:] > high[:-1]) | (low[1:] < low[:-1])
-        number = np.flatnonzero(keep)
-        return cls(len(x), int(at[0]), int(at[-1]), number, x[number], at[np.maximum(number - 1, 0)])
-
-
-class Run:
-    """A flat run put together from pieces; a slow drift in small steps isn't stuck, so it is cut where it leaves its
-    first values' surroundings."""
-
-    def __init__(self, near: float) -> None:
-        self.near, self.count, self.first, self.last = near, 0, 0, 0
-        self.level: float | None = None
-        self.stop: tuple[int, int] | None = None  # readings before the one that leaves the level, and the last of them
-        self.waiting: list[tuple[int, float, int]] = []
-
-    def add(self, piece: Piece) -> None:
-        self.first = self.first if self.count else piece.first
-        if self.stop is None:
-            before = [self.last if n == 0 else int(b) for n, b in zip(piece.number, piece.before, strict=True)]
-            self.waiting += zip((int(n) + self.count for n in piece.number), map(float, piece.value), before, strict=True)
-        self.count, self.last = self.count + piece.count, piece.last
-        if self.level is None and self.count >= STUCK_LENGTH:
-            self.level = median(np.array([v for n, v, _ in self.waiting if n < STUCK_LENGTH]))
-        if self.level is not None:
-            self.stop = self.stop or next(((n, b) for n, v, b in self.waiting if abs(v - self.level) > self.near), None)
-            self.waiting = []
-
-    def found(self) -> tuple[int, int, int, float] | None:
-        """First and last place, readings and level, if long enough."""
-        count, last = self.stop or (self.count, self.last)
-        return (self.first, last, count, self.level) if self.level is not None and count >= STUCK_LENGTH else None
-
-
-@dataclass(frozen=True)
-class BlockRuns:
-    """What joining needs to know of a block's own possible readings: steps between them, flat ones among them, the
-    first and the last value, the pieces that reach its borders (one if it is the whole block) and the runs within."""
-
-    steps: int
-    flats: int
-    first: float
-    last: float
-    pieces: list[Piece]
-    within: list[tuple[int, int, int, float]]
-
-
-def block_runs(x: np.ndarray, at: np.ndarray, near: float) -> BlockRuns:
-    flat = np.abs(np.diff(x)) <= near
-    ends = np.flatnonzero(~flat) + 1  # where a flat run, if only of one reading, begins after another
-    starts, stops = np.concatenate([[0], ends]), np.concatenate([ends, [len(x)]])
-    border = [0] if len(starts) == 1 else [0, len(starts) - 1]
-    within = []
-    for i in np.flatnonzero(stops - starts >= STUCK_LENGTH):
-        if i not in border:
-            run = Run(near)
-            run.add(Piece.of(x[starts[i] : stops[i]], at[starts[i] : stops[i]]))
-            within += [run.found()] if run.found() else []
-    pieces = [Piece.of(x[starts[i] : stops[i]], at[starts[i] : stops[i]]) for i in border]
-    return BlockRuns(len(flat), int(flat.sum()), float(x[0]), float(x[-1]), pieces, within)
-
-
-class SeriesRuns:
-    """Joins the runs of a series' blocks, given in order, and tells which are stuck by all the series' readings."""
-
-    def __init__(self, near: float) -> None:
-        self.near, self.steps, self.flats = near, 0, 0
-        self.runs: list[tuple[int, int, int, float]] = []
-        self.open: Run | None = None
-        self.value = 0.0
-
-    def add(self, block: BlockRuns) -> None:
-        if self.open is not None:
-            goes_on = abs(block.first - self.value) <= self.near
-            self.steps, self.flats = self.steps + 1, self.flats + goes_on
-            if not goes_on:
-                self._close()
-        self.open = self.open or Run(self.near)
-        self.open.add(block.pieces[0])
-        if len(block.pieces) > 1:
-            self._close()
-            self.runs += block.within
-            self.open = Run(self.near)
-            self.open.add(block.pieces[1])
-        self.steps, self.flats, self.value = self.steps + block.steps, self.flats + block.flats, block.last
-
-    def _close(self) -> None:
-        found = self.open.found() if self.open is not None else None
-        self.runs += [found] if found else []
-        self.open = None
-
-    def stuck(self) -> list[tuple[int, int]]:
-        """First and last place of the stretches that stay the same where that is not normal."""
-        self._close()
-        if self.steps < LEAST or not self.runs:
-            return []
-        flats, levels = (np.array(v) for v in zip(*((n - 1, level) for _, _, n, level in self.runs), strict=True))
-        longest, total = int(flats.max()), int(flats.sum())
-        # No candidate counts as usual, whether or not it is stuck; but a series most of whose steps lie in them rests.
-        rest = self.steps - total
-        usual = (self.flats - total) / rest if rest >= LEAST else 1.0
-        if usual > MOST_REPEATS or total - longest > MOST_RESTING * (self.steps - longest):
-            return []
-        resting = self._resting(flats, levels, self.steps - longest)
-        return [(a, b) for (a, b, _, _), k, r in zip(self.runs, flats, resting, strict=True) if not r and rest * usual ** int(k) < BY_CHANCE]
-
-    def _resting(self, flats: np.ndarray, levels: np.ndarray, steps: int) -> np.ndarray:
-        """Which runs are at a value that the series comes back to rest at, often and for long."""
-        order = np.argsort(levels, kind="stable")
-        group = np.zeros(len(levels), dtype=np.int64)
-        group[order] = np.cumsum(np.diff(levels[order], prepend=levels[order[0]]) > self.near)
-        most = np.zeros(group.max() + 1)
-        np.maximum.at(most, group, flats)
-        often = np.bincount(group) >= REST_RUNS
-        return (often & (np.bincount(group, flats) - most > MOST_REPEATS * steps))[group]
-
-
-def stuck_runs(x: np.ndarray, whole: bool) -> list[tuple[int, int]]:
-    """[begin, end) of stretches that stay the same or all but the same, where that is not normal, of a whole series."""
-    if len(x) <= LEAST:
-        return []
-    near = 0.0 if whole else STUCK_SHARE * usual_step(np.abs(np.diff(x)))
-    series = SeriesRuns(near)
-    series.add(block_runs(x, np.arange(len(x)), near))
-    return [(a, b + 1) for a, b in series.stuck()]
-
-
-def _row_medians(rows: np.ndarray) -> np.ndarray:
-    ordered, k = np.sort(rows, axis=1), rows.shape[1]
-    return ordered[:, k // 2] if k % 2 else (ordered[:, k // 2 - 1] + ordered[:, k // 2]) / 2
-
-
-def _sides(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the NEAR values before each place (and after the last): their median, the median of the slopes between them,
-    and the middle of their positions.
-
-    Where fewer exist, the median is of those and the slope 0; where none exists, all are NaN.
-    """
-    n = len(y)
-    middle, slope, centre = (np.full(n + 1, np.nan) for _ in range(3))
-    for i in range(1, min(NEAR, n + 1)):
-        middle[i], slope[i], centre[i] = median(y[:i]), 0.0, at[(i - 1) // 2]
-    if n >= NEAR:
-        w, t = (np.lib.stride_tricks.sliding_window_view(v, NEAR) for v in (y, at))
-        i, j = np.triu_indices(NEAR, 1)
-        middle[NEAR:] = _row_medians(w)
-        slope[NEAR:] = _row_medians((w[:, j] - w[:, i]) / (t[:, j] - t[:, i]))
-        centre[NEAR:] = t[:, NEAR // 2]
-    return middle, slope, centre
-
-
-def beyond(y: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """How far each value lies beyond what both sides of a group of up to WIDEST values, itself included, show.
-
-    at holds the values' positions, rising; by default they follow each other. What a side shows is the median of its
-    NEAR values and their robust line extended; a value counts as beyond by the least distance to any of them if it is
-    above all or below all. A group counts by its least member; a value by its best group. For a group at an end,
-    all values but it and those at the other end stand in for the side that doesn't exist, as it can't be told from a change of level otherwise.
-    """
-    n = len(y)
-    at = np.arange(n, dtype=float) if at is None else at.astype(float)
-    best = np.zeros(n)
-    left_mid, left_slope, left_at = _sides(y, at)
-    right_mid, right_slope, right_at = (v[::-1] for v in _sides(y[::-1], -at[::-1]))  # entry i: the values from i on
-    right_slope, right_at = -right_slope, -right_at
-    for w in range(1, WIDEST + 1):
-        a = np.arange(0, n - w + 1)
-        if n <= w:
-            break
-        far = WIDEST if n > w + WIDEST else 0  # what is odd at the other end doesn't hide what is here
-        outside = ((0, y[w : n - far]), (-1, y[far : n - w]))
-        worst = np.full(len(a), np.inf)
-        for k in range(w):
-            t, b = at[a + k], a + w
-            shown = (left_mid[a], left_mid[a] + left_slope[a] * (t - left_at[a]), right_mid[b], right_mid[b] + right_slope[b] * (t - right_at[b]))
-            high, low = np.fmax.reduce(shown), np.fmin.reduce(shown)
-            for end, others in outside:
-                high[end], low[end] = max(high[end], others.max()), min(low[end], others.min())
-            worst = np.minimum(worst, np.maximum(np.maximum(y[a + k] - high, low - y[a + k]), 0))
-        for k in range(w):
-            best[a + k] = np.maximum(best[a + k], worst)
-    return best
-
-
-def evened(x: np.ndarray, whole: bool) -> np.ndarray:
-    """The values on a scale on which their noise hardly depends on the level.
-
-    Counts: the square root, by which Poisson noise has deviation 1. Others: in units of the usual step, logarithmic
-    above it (inverse hyperbolic sine) unless the series rests near zero, where steps don't grow with the level.
-    """
-    if whole:
-        return 2 * np.sqrt(np.maximum(x, 0) + 0.375)
-    steps = np.abs(np.diff(x))
-    steps = steps[steps > 0]
-    unit = median(steps) if len(steps) else 1.0
-    return np.arcsinh(x / unit) if median(np.abs(x)) > 3 * unit else x / unit
-
-
-def _noise(y: np.ndarray, whole: bool) -> tuple[np.ndarray, float]:
-    """The finest details, and their robust deviation."""
-    fine = details(y, 1) / np.sqrt(1.5)
-    base = max(deviation(fine), 1.0 if whole else 0.0)
-    if base < 0.25 * deviation(fine[fine != 0]):  # mostly at rest: what it does when it moves is normal too
-        base = deviation(fine[fine != 0])
-    return fine, base or 1.0
-
-
-def stuck_of(x: np.ndarray, whole: bool) -> np.ndarray:
-    """The stuck flag of each reading of a whole series without impossible values."""
-    stuck = np.zeros(len(x), dtype=bool)
-    for a, b in stuck_runs(x, whole):
-        stuck[a + 1 : b] = True
-    return stuck
-
-
-def scores(x: np.ndarray, whole: bool, stuck: np.ndarray) -> np.ndarray:
-    """The spike score of each reading without impossible values, 0 if it is none."""
-    score = np.zeros(len(x))
-    # The first reading of a stretch is judged by itself; the others aren't there, but their time passes.
-    free = np.flatnonzero(~stuck)
-    if len(free) >= LEAST:
-        score[free] = _spike_scores(x[free], free, whole)
-    return score
-
-
-def _spike_scores(x: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
-    score = np.zeros(len(x))
-    y = evened(x, whole)
-    fine, base = _noise(y, whole)
-    raw_fine, raw_base = (fine, base) if whole else _noise(x, whole)
-    candidate = np.zeros(len(x), dtype=bool)
-    for s in SCALES:
-        if len(x) > 2 * s:
-            d = details(y, s)
-            candidate |= np.abs(d) > DETAIL_LIMIT * max(deviation(d), base)
-    for end, inner in ((0, y[1 : NEAR + 1]), (-1, y[-NEAR - 1 : -1])):  # the mirror makes details at the ends 0
-        candidate[end] |= abs(y[end] - median(inner)) > DETAIL_LIMIT * base
-    left = np.arange(len(x))
-    while candidate[left].any() and len(left) >= LEAST:  # spikes found no longer stand beside others
-        far = beyond(y[left], at[left])
-        passed = np.zeros(len(left))
-        hopeful = np.flatnonzero(candidate[left] & (far > 0.7 * base * SPIKE_LIMIT))
-        raw_far = beyond(x[left], at[left]) if len(hopeful) and not whole else far
-        for i in hopeful:
-            t = left[i]
-            around = slice(max(0, t - 40), t + 41)
-            own = far[i] / max(deviation(fine[around]), 0.7 * base)
-            if own <= SPIKE_LIMIT:
-                continue
-            raw = raw_far[i] / max(deviation(raw_fine[around]), 0.7 * raw_base)
-            # A fall to next to nothing is as far as values can fall, however small that is in plain deviations.
-            fallen = not whole and 0 <= x[t] < FALLEN * (x[t] + raw_far[i])
-            if raw > (FALLEN_LIMIT if fallen else SPIKE_LIMIT):
-                passed[i] = own
-        # One that stands beside a far greater one waits until that is out of the way.
-        reach = NEAR + WIDEST
-        padded = np.pad(passed, reach)
-        greatest = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).max(axis=1)
-        new = np.flatnonzero((passed > 0) & (2 * passed >= greatest))
-        if not len(new):
-            break
-        score[left[new]] = passed[new]
-        left = np.delete(left, new)
-    return score
+Limits = dict[str, tuple[float, float, bool]]
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def is_possible(x: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, whole: np.ndarray | bool) -> np.ndarray:
     return np.isfinite(x) & (x >= low) & (x <= high) & (np.logical_not(whole) | (x == np.floor(x)))
 
 
-def judge(x: np.ndarray, low: float, high: float, whole: bool, stuck: np.ndarray | None = None) -> np.ndarray:
-    """The kind of each reading of one block in order of time; without stuck flags, the block is a whole series."""
+def judge(x: np.ndarray, low: float, high: float, whole: bool) -> np.ndarray:
+    """The kind of each reading of one series in order of time."""
+    return judge_series(x, np.zeros(len(x), dtype=np.int64), np.array([low], dtype=float), np.array([high], dtype=float), np.array([whole], dtype=bool))
+
+
+def judge_series(x: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The kind of each reading of whole series that follow each other; of numbers the series from 0."""
+    n = len(whole)
     kind = np.full(len(x), FINE, dtype=np.int8)
-    ok = is_possible(x, low, high, whole)
+    ok = is_possible(x, low[of], high[of], whole[of])
     kind[~ok] = IMPOSSIBLE
     possible = np.flatnonzero(ok)
-    held = stuck_of(x[possible], whole) if stuck is None else stuck[possible]
-    kind[possible[scores(x[possible], whole, held) > SPIKE_LIMIT]] = SPIKE
+    batch = Batch(x[possible], np.arange(len(x))[possible], of[possible], np.ones(len(possible), dtype=bool), whole)
+    first = np.array([medians(v, s, n) for v, s in first_measures(batch)])
+    held = _stuck_of_series(batch, near_of(first[0], whole))
     kind[possible[held]] = STUCK
+    # The first reading of a stretch is judged by itself; the others aren't there, but their time passes.
+    free = batch.keep(~held)
+    second = np.array([medians(v, s, n) for v, s in second_measures(free, first)])
+    found = scores(free, first, second, np.bincount(free.of, minlength=n)) > SPIKE_LIMIT
+    kind[free.at[found]] = SPIKE
     return kind
 
 
+def near_of(step: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The step up to which a reading counts as staying the same."""
+    return np.where(whole, 0.0, STUCK_SHARE * step)
+
+
+def _stuck_of_series(batch: Batch, near: np.ndarray) -> np.ndarray:
+    """Which readings of whole series are stuck, given the steps up to which they stay the same."""
+    held = np.zeros(len(batch.x), dtype=bool)
+    if not len(held):
+        return held
+    flat = np.zeros(len(batch.x), dtype=bool)
+    flat[1:] = (batch.of[1:] == batch.of[:-1]) & (np.abs(np.diff(batch.x)) <= near[batch.of[1:]])
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], flat, [0]])))
+    long = ends[0::2][ends[1::2] - ends[0::2] >= STUCK_LENGTH - 1]
+    begin, last = batch.ends()
+    for i in np.unique(batch.of[long]):  # few series have any
+        a = np.searchsorted(batch.of, i)
+        x = batch.x[a : last[a] + 1]
+        series = SeriesRuns(float(near[i]))
+        series.add(block_runs(x, np.arange(len(x)), float(near[i])))
+        for first, end in series.stuck():
+            held[a + first + 1 : a + end + 1] = True
+    return held
+
+
 SERIES = ["source", "metric_type"]
-PACKED = "source string, metric_type string, block bigint, low double, high double, is_count boolean, rn bigint, lead bigint, own bigint, us array<bigint>, value array<double>"
-RUNS = (
-    "source string, metric_type string, block bigint, near double, steps bigint, flats bigint, first double, last double, "
-    "pieces array<struct<count:bigint,first:bigint,last:bigint,number:array<bigint>,value:array<double>,before:array<bigint>>>, "
-    "within array<struct<first:bigint,last:bigint,count:bigint,level:double>>"
+ROW = (
+    "metric_id bigint, kind byte, source string, metric_type string, part int, number bigint, begin bigint, lead bigint, own bigint, is_last boolean, "
+    "value array<double>, ids array<bigint>, copies array<bigint>, share bigint, head array<double>, tail array<double>"
 )
-PIECE = pa.struct({"count": pa.int64(), "first": pa.int64(), "last": pa.int64(), "number": pa.list_(pa.int64()), "value": pa.list_(pa.float64()), "before": pa.list_(pa.int64())})
-WITHIN = pa.struct({"first": pa.int64(), "last": pa.int64(), "count": pa.int64(), "level": pa.float64()})
-BODY = pa.schema({
-    "near": pa.float64(), "steps": pa.int64(), "flats": pa.int64(), "first": pa.float64(), "last": pa.float64(), "pieces": pa.list_(PIECE), "within": pa.list_(WITHIN),
+BLOCKS = pa.schema({
+    "metric_id": pa.int64(), "kind": pa.int8(), "source": pa.string(), "metric_type": pa.string(), "part": pa.int32(), "number": pa.int64(), "begin": pa.int64(),
+    "lead": pa.int64(), "own": pa.int64(), "is_last": pa.bool_(), "value": pa.list_(pa.float64()), "ids": pa.list_(pa.int64()), "copies": pa.list_(pa.int64()),
+    "share": pa.int64(), "head": pa.list_(pa.float64()), "tail": pa.list_(pa.float64()),
 })
 
 
 def implausible(metrics: DataFrame, kinds: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """metrics(metric_id, service, metric_type, value, timestamp) -> (metric_id, reason) of the implausible rows."""
+    limits = _limits(kinds)
     rows = metrics.select(
         "metric_id", label_key(F.col("service")).alias("source"), "metric_type", "value", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us")
     ).where("source IS NOT NULL AND metric_type IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
-    # A reading reported again is one reading; its rows are found again by a join at the end.
-    readings = rows.select("source", "metric_type", "us", "value").distinct()
-    limits = kinds.select("metric_type", "physical_min", "physical_max", "is_count")
-    ranked = with_position(readings, [F.col("us"), F.col("value")], "rn", ["source", "metric_type"])
-    home = F.floor((F.col("rn") - 1) / block).cast("bigint")
-    into = F.pmod(F.col("rn") - 1, F.lit(block))
-    blocks = F.array_compact(F.array(home, F.when((into < halo) & (home > 0), home - 1), F.when(into >= block - halo, home + 1)))
-    spread = (
-        ranked.join(broadcast_if_small(limits), "metric_type", "left")
-        .select("source", "metric_type", "us", "value", "rn", home.alias("home"), F.explode(blocks).alias("block"),
-                F.coalesce("physical_min", F.lit(float("-inf"))).alias("low"), F.coalesce("physical_max", F.lit(float("inf"))).alias("high"), F.coalesce("is_count", F.lit(False)).alias("is_count"))
-        .repartition(shuffle_width(metrics), "source", "metric_type", "block")
-        .sortWithinPartitions("source", "metric_type", "block", "rn")
-    )
-    packed = materialize(spread.mapInArrow(_pack_blocks, PACKED), "blocks")
-    nears = broadcast_if_small(materialize(_nears(packed), "steps"))
-    runs = packed.join(nears, SERIES, "left").mapInArrow(_runs_of_blocks, RUNS)
-    runs = runs.repartition(shuffle_width(metrics), *SERIES).sortWithinPartitions(*SERIES, "block")
-    stretches = materialize(runs.mapInArrow(_join_runs, "source string, metric_type string, begin bigint, end bigint"), "stuck")
-    touched = F.sequence(F.greatest(F.floor((F.col("begin") - 1) / block) - 1, F.lit(0)), F.floor((F.col("end") - 1) / block) + 1)
-    held = stretches.select(*SERIES, "begin", "end", F.explode(touched).alias("block"))
-    held = held.groupBy(*SERIES, "block").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    judged = packed.join(broadcast_if_small(held), [*SERIES, "block"], "left").mapInArrow(_judge_blocks, "source string, metric_type string, us bigint, value double, kind byte")
+    order = [*SERIES, "us", "value"]
+    spread = rows.repartitionByRange(shuffle_width(metrics), *order).sortWithinPartitions(*order, "metric_id").withColumn("part", F.spark_partition_id())
+    read = materialize(spread.mapInArrow(_reader(limits, block, halo), ROW), "series")
+    inside = read.where("kind IS NOT NULL").select("metric_id", "kind")
+    found = inside.unionByName(_judged_over_partitions(read.where("kind IS NULL").drop("metric_id", "kind"), limits, block, halo))
     named = F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k).cast("byte"), F.lit(v))))
-    found = judged.select("source", "metric_type", "us", "value", named[F.col("kind")].alias("reason"))
-    found = broadcast_if_small(materialize(found, "implausible"))
-    return rows.join(found, ["source", "metric_type", "us", "value"]).select("metric_id", "reason")
+    return found.select("metric_id", named[F.col("kind")].alias("reason"))
 
 
-def _nears(packed: DataFrame) -> DataFrame:
-    """(source, metric_type, near): the share of a series' usual step up to which it counts as staying the same."""
-    series = Window.partitionBy(*SERIES)
-    counted = packed.mapInArrow(_count_steps, "source string, metric_type string, bucket int, n bigint, top double")
-    counted = counted.groupBy(*SERIES, "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    ranked = counted.select(*SERIES, "top", "n", F.sum("n").over(series.orderBy("bucket")).alias("upto"), F.sum("n").over(series).alias("total"))
-    middle = [F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("top"))) for rank in (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))]
-    return ranked.groupBy(*SERIES).agg((F.lit(STUCK_SHARE) * (middle[0] + middle[1]) / 2).alias("near"))
+def _limits(kinds: DataFrame) -> Limits:
+    known = kinds.select("metric_type", "physical_min", "physical_max", "is_count").where("metric_type IS NOT NULL").limit(MOST_LIMITS + 1).collect()
+    if len(known) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} kinds of measurement")
+    return {r[0]: (-np.inf if r[1] is None else r[1], np.inf if r[2] is None else r[2], bool(r[3])) for r in known}
 
 
-def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None  # the block that may go on in the next batch
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-        begins = _begins(rows)
-        if begins[-1]:
-            yield from _pack_rows(rows.slice(0, begins[-1]), begins[:-1])
-        held = rows.slice(begins[-1])
-    if held is not None:
-        yield from _pack_rows(held, np.array([0]))
-
-
-def _begins(rows: pa.Table) -> np.ndarray:
-    change = np.zeros(rows.num_rows, dtype=bool)
-    change[0] = True
-    for name in ("source", "metric_type", "block"):
-        values = rows.column(name).combine_chunks()
-        values = values.dictionary_encode().indices if pa.types.is_string(values.type) else values
-        values = values.to_numpy(zero_copy_only=False)
-        change[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(change)
-
-
-def _pack_rows(rows: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per block that has readings of its own: lead halo readings, then own ones, then halo ones again."""
-    home, block = rows.column("home").to_numpy(), rows.column("block").to_numpy()
-    offsets = pa.array(np.append(begins, rows.num_rows), pa.int32())
-    own, lead = (np.add.reduceat(test.astype(np.int64), begins) for test in (home == block, home < block))
-    heads = rows.select(["source", "metric_type", "block", "low", "high", "is_count", "rn"]).take(pa.array(begins))
-    lists = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks()) for c in ("us", "value")]
-    arrays = [*(c.combine_chunks() for c in heads.columns), pa.array(lead), pa.array(own), *lists]
-    packed = pa.RecordBatch.from_arrays(arrays, names=[*heads.column_names, "lead", "own", "us", "value"])
-    yield packed.filter(pa.array(own > 0))
+def _bounds(limits: Limits, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low, high, whole = zip(*(limits.get(n, (-np.inf, np.inf, False)) for n in names), strict=True)
+    return np.array(low, dtype=float), np.array(high, dtype=float), np.array(whole, dtype=bool)
+
+
+def _reader(limits: Limits, block: int, halo: int) -> Mapper:
+    """Judges the series inside a sorted partition and cuts its first and its last into blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the series that may go on in the next batch
+        ready: list[pa.Table] = []  # series that are at hand in whole
+        at_first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = np.flatnonzero(_series_changes(batch, held[-1] if held else None))
+            begins = begins[begins > 0] if not held else begins
+            if not len(begins):
+                held.append(batch)
+                continue
+            begun = pa.Table.from_batches([*held, batch.slice(0, int(begins[0]))])
+            if at_first:
+                yield from _blocks(begun, block, halo)
+                at_first = False
+            else:
+                ready.append(begun)
+            if begins[-1] > begins[0]:
+                ready.append(pa.Table.from_batches([batch.slice(int(begins[0]), int(begins[-1] - begins[0]))]))
+            held = [batch.slice(int(begins[-1]))]
+            if sum(t.num_rows for t in ready) >= AT_ONCE:
+                yield _judged(pa.concat_tables(ready), limits)
+                ready = []
+        if ready:
+            yield _judged(pa.concat_tables(ready), limits)
+        if held:
+            yield from _blocks(pa.Table.from_batches(held), block, halo)
+
+    return run
+
+
+def _series_changes(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether a row begins another series than the one before (the first of all does)."""
+    some = batch.select(SERIES)
+    known = pa.Table.from_batches([before.select(SERIES).slice(before.num_rows - 1), some] if before is not None else [some])
+    return changes([c.combine_chunks() for c in known.columns], known.num_rows)[-batch.num_rows :]
+
+
+def _readings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where series and readings begin in sorted rows, values and ids."""
+    series = changes([rows.column(c).combine_chunks() for c in SERIES], rows.num_rows)
+    us, value, ids = (rows.column(c).to_numpy() for c in ("us", "value", "metric_id"))
+    new = series.copy()
+    new[1:] |= (us[1:] != us[:-1]) | (value[1:] != value[:-1])
+    return series, new, value, ids
+
+
+def _judged(rows: pa.Table, limits: Limits) -> pa.RecordBatch:
+    series, new, value, ids = _readings(rows)
+    names = rows.column("metric_type").take(pa.array(np.flatnonzero(series))).to_pylist()
+    kind = judge_series(value[new], (np.cumsum(series) - 1)[new], *_bounds(limits, names))[np.cumsum(new) - 1]
+    return _found(ids[kind != FINE], kind[kind != FINE])
+
+
+def _found(ids: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    n = len(ids)
+    columns = {"metric_id": pa.array(ids, pa.int64()), "kind": pa.array(kind, pa.int8())}
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in BLOCKS], schema=BLOCKS)
+
+
+def _blocks(rows: pa.Table, block: int, halo: int) -> Iterator[pa.RecordBatch]:
+    """A partition's share of one series, cut into blocks of at least block readings (but the only one)."""
+    if not rows.num_rows:
+        return
+    _, new, value, ids = _readings(rows)
+    places = np.flatnonzero(new)
+    copies, x = np.diff(np.append(places, len(new))), value[places]
+    n = len(x)
+    cuts = [*range(0, max(n - block, 0) + 1, block), n]
+    source, metric_type, part = (rows.column(c)[0].as_py() for c in (*SERIES, "part"))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        first, last = max(0, a - halo), min(n, b + halo)
+        stop = places[b] if b < n else len(ids)
+        row = {
+            "source": source, "metric_type": metric_type, "part": part, "number": i, "begin": a, "lead": a - first, "own": b - a, "is_last": b == n,
+            "value": x[first:last], "ids": ids[places[a] : stop], "copies": copies[a:b], "share": n if i == 0 else None,
+            "head": x[:halo] if i == 0 else None, "tail": x[max(0, n - halo) :] if i == 0 else None,
+        }
+        yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in BLOCKS], schema=BLOCKS)
+
+
+def _judged_over_partitions(blocks: DataFrame, limits: Limits, block: int, halo: int) -> DataFrame:
+    """(metric_id, kind) from the blocks of series that may reach over partitions."""
+    share = [*SERIES, "part"]
+    by_part = Window.partitionBy(*SERIES).orderBy("part")
+    before = F.flatten(F.collect_list("tail").over(by_part.rowsBetween(-PARTS_NEAR, -1)))
+    after = F.flatten(F.collect_list("head").over(by_part.rowsBetween(1, PARTS_NEAR)))
+    ends = blocks.where("number = 0").select(
+        *share,
+        F.coalesce(F.sum("share").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        F.slice(before, F.greatest(F.size(before) - halo + 1, F.lit(1)), halo).alias("before"),
+        F.slice(after, 1, halo).alias("after"),
+    )
+    none = F.array().cast("array<double>")
+    ahead, behind = F.when(F.col("number") == 0, F.col("before")).otherwise(none), F.when(F.col("is_last"), F.col("after")).otherwise(none)
+    whole = blocks.join(written_if_small(ends, "ends"), share).select(
+        *share, "number", (F.col("start") + F.col("begin")).alias("position"), (F.col("lead") + F.size(ahead)).alias("lead"), "own",
+        F.concat(ahead, "value", behind).alias("value"), "ids", "copies",
+    )
+    whole = materialize(whole, "open")
+    none_held = {"begins": F.lit(None).cast("array<bigint>"), "ends": F.lit(None).cast("array<bigint>")}
+    first = _medians_over_blocks(whole.withColumns(none_held), limits, FIRST).withColumnRenamed("median", "first")
+    runs = whole.join(first, SERIES, "left").mapInArrow(_runs_of_blocks(limits), RUNS)
+    runs = runs.repartition(shuffle_width(blocks), *SERIES).sortWithinPartitions(*SERIES, "first_place")
+    stretches = runs.mapInArrow(_join_runs, "source string, metric_type string, begin bigint, end bigint")
+    cell = [F.floor(c / block) for c in (F.col("begin"), F.col("end"))]
+    reached = stretches.select(*SERIES, "begin", "end", F.explode(F.sequence(*cell)).alias("cell"))
+    own_cells = F.sequence(F.floor((F.col("position") - F.col("lead")) / block), F.floor((F.col("position") + F.size("value") - F.col("lead") - 1) / block))
+    held = whole.select(*share, "number", F.explode(own_cells).alias("cell")).join(reached, [*SERIES, "cell"])
+    held = held.groupBy(*share, "number").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("found"))
+    held = held.select(*share, "number", F.col("found.begin").alias("begins"), F.col("found.end").alias("ends"))
+    free = whole.join(written_if_small(held, "held"), [*share, "number"], "left").join(first.drop("count"), SERIES, "left")
+    second = _medians_over_blocks(free, limits, SECOND).withColumnsRenamed({"median": "second", "count": "readings"})
+    return free.join(second, SERIES, "left").mapInArrow(_judge_blocks(limits), "metric_id bigint, kind byte")
+
+
+def _medians_over_blocks(blocks: DataFrame, limits: Limits, names: Sequence[str]) -> DataFrame:
+    """(source, metric_type, median, count): of each series the medians of some measures, and how many values the fullest of
+    them has. A series without values of any has no row. There are two series for each partition at most: they are sent to all."""
+    counted = blocks.mapInArrow(_count_values(limits, names), "source string, metric_type string, measure int, bucket int, n bigint")
+    counted = counted.groupBy(*SERIES, "measure", "bucket").agg(F.sum("n").alias("n"))
+    one = Window.partitionBy(*SERIES, "measure")
+    ranked = counted.select(*SERIES, "measure", "bucket", "n", F.sum("n").over(one.orderBy("bucket")).alias("upto"), F.sum("n").over(one).alias("total"))
+    at = [F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("bucket"))) for rank in (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))]
+    middle = ranked.groupBy(*SERIES, "measure").agg(at[0].alias("lo"), at[1].alias("hi"), F.max("total").alias("total"))
+    found = middle.groupBy(*SERIES).agg(
+        *(F.max(F.when(F.col("measure") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(names)) for c in ("lo", "hi")),
+        F.max("total").alias("count"),
+    )
+    return F.broadcast(materialize(found.mapInArrow(_values_of_buckets(len(names)), "source string, metric_type string, median array<double>, count bigint"), "medians"))
+
+
+def _values_of_buckets(n: int) -> Mapper:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = (np.array([batch.column(f"{c}{i}").fill_null(0).to_numpy(zero_copy_only=False) for i in range(n)]) for c in ("lo", "hi"))
+            values = (value_of(lo) + value_of(hi)) / 2
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(values.T).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SERIES), lists, batch.column("count")], names=[*SERIES, "median", "count"])
+
+    return run
 
 
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -484,59 +295,105 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """All elements of a list column without nulls, and where each row's begin (and the last one's end)."""
     column = batch.column(name)
-    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _vectors(batch: pa.RecordBatch, name: str, n: int) -> np.ndarray:
+    """A column of lists of n numbers as n rows; null lists are zeros."""
+    out = np.zeros((n, batch.num_rows))
+    for i, v in enumerate(batch.column(name).to_pylist()):
+        out[:, i] = v if v is not None else 0.0
+    return out
+
+
+def _pieces(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few enough blocks."""
+    for batch in blocks:
+        for a in range(0, batch.num_rows, AT_ONCE // BLOCK):
+            yield batch.slice(a, AT_ONCE // BLOCK)
+
+
+def _batch_of(blocks: pa.RecordBatch, limits: Limits) -> tuple[Batch, Batch, np.ndarray]:
+    """The possible readings of blocks, those of them that aren't held in a stuck stretch, and all values."""
+    value, offsets = _lists(blocks, "value")
+    lead, own, position = _numbers(blocks, "lead", "own", "position")
+    low, high, whole = _bounds(limits, blocks.column("metric_type").to_pylist())
+    of = np.repeat(np.arange(blocks.num_rows), np.diff(offsets))
+    place = np.arange(len(value)) - offsets[of]
+    mine = (place >= lead[of]) & (place < (lead + own)[of])
+    at = (position - lead)[of] + place
+    ok = is_possible(value, low[of], high[of], whole[of])
+    possible = Batch(value[ok], at[ok], of[ok], mine[ok], whole)
+    held = np.zeros(len(value), dtype=bool)
+    for i, (begins, ends) in enumerate(zip(blocks.column("begins").to_pylist(), blocks.column("ends").to_pylist(), strict=True)):
+        for a, b in zip(begins or (), ends or (), strict=True):
+            shift = int(offsets[i] - position[i] + lead[i])
+            held[max(a + 1 + shift, int(offsets[i])) : max(min(b + 1 + shift, int(offsets[i + 1])), 0)] = True
+    return possible, possible.keep(~held[ok]), value
+
+
+def _count_values(limits: Limits, names: Sequence[str]) -> Mapper:
+    """Per series, measure and bucket how many values there are, once for all blocks of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _pieces(batches):
+            if not blocks.num_rows:
+                continue
+            _, free, _ = _batch_of(blocks, limits)
+            measured = first_measures(free) if names == FIRST else second_measures(free, _vectors(blocks, "first", len(FIRST)))
+            codes = [blocks.column(c).dictionary_encode() for c in SERIES]
+            series = codes[0].indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(codes[1].dictionary) + codes[1].indices.to_numpy(zero_copy_only=False)
+            _, example, series = np.unique(series, return_index=True, return_inverse=True)
+            for i, (values, of) in enumerate(measured):
+                key, n = np.unique((series[of] << 18) | bucket_of(values), return_counts=True)
+                which = pa.array(example[key >> 18])
+                arrays = [*(blocks.column(c).take(which) for c in SERIES), pa.array(np.full(len(key), i), pa.int32()), pa.array(key & ((1 << 18) - 1), pa.int32()), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*SERIES, "measure", "bucket", "n"])
 
+    return run
 
-def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per series and bucket, how many steps other than zero lead to blocks' own readings, and the greatest of them."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        low, high, whole, lead, own = _numbers(batch, "low", "high", "is_count", "lead", "own")
-        value, offsets = _lists(batch, "value")
-        of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        place = np.arange(offsets[0], offsets[-1]) - offsets[of]
-        ok = is_possible(value[offsets[0] : offsets[-1]], low[of], high[of], whole[of].astype(bool))
-        x, of, place = value[offsets[0] : offsets[-1]][ok], of[ok], place[ok]
-        step = np.abs(np.diff(x))
-        of, place, same = of[1:], place[1:], of[1:] == of[:-1]
-        used = same & (step > 0) & ~whole[of].astype(bool) & (place >= lead[of]) & (place < lead[of] + own[of])
-        if not used.any():
-            continue
-        names = [batch.column(c).dictionary_encode() for c in SERIES]
-        series = names[0].indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names[1].dictionary) + names[1].indices.to_numpy(zero_copy_only=False)
-        step, row = step[used], of[used]
-        order = np.lexsort((step, series[row]))
-        step, row = step[order], row[order]
-        bucket = step.view(np.int64) >> BUCKET_BITS
-        last = np.append((bucket[1:] != bucket[:-1]) | (series[row][1:] != series[row][:-1]), True)
-        ends = np.flatnonzero(last)
-        which = pa.array(row[ends])
-        arrays = [*(batch.column(c).take(which) for c in SERIES), pa.array(bucket[ends], pa.int32()), pa.array(np.diff(ends, prepend=-1)), pa.array(step[ends])]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*SERIES, "bucket", "n", "top"])
-
-
-def _runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low, high, whole, lead, own, rn, near = _numbers(batch, "low", "high", "is_count", "lead", "own", "rn", "near")
-        value, offsets = _lists(batch, "value")
-        rows, kept = [], []
-        for i in range(batch.num_rows):
-            begin = offsets[i] + lead[i]
-            x = value[begin : begin + own[i]]
-            possible = np.flatnonzero(is_possible(x, low[i], high[i], bool(whole[i])))
-            if not len(possible):
+
+RUNS = (
+    "source string, metric_type string, first_place bigint, near double, steps bigint, flats bigint, first double, last double, "
+    "pieces array<struct<count:bigint,first:bigint,last:bigint,number:array<bigint>,value:array<double>,before:array<bigint>>>, "
+    "within array<struct<first:bigint,last:bigint,count:bigint,level:double>>"
+)
+PIECE = pa.struct({"count": pa.int64(), "first": pa.int64(), "last": pa.int64(), "number": pa.list_(pa.int64()), "value": pa.list_(pa.float64()), "before": pa.list_(pa.int64())})
+WITHIN = pa.struct({"first": pa.int64(), "last": pa.int64(), "count": pa.int64(), "level": pa.float64()})
+BODY = pa.schema({
+    "first_place": pa.int64(), "near": pa.float64(), "steps": pa.int64(), "flats": pa.int64(), "first": pa.float64(), "last": pa.float64(),
+    "pieces": pa.list_(PIECE), "within": pa.list_(WITHIN),
+})
+
+
+def _runs_of_blocks(limits: Limits) -> Mapper:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            limit = 0.0 if np.isnan(near[i]) else float(near[i])  # no step but zero, or a count
-            runs = block_runs(x[possible], rn[i] + lead[i] + possible, limit)
-            pieces = [{"count": p.count, "first": p.first, "last": p.last, "number": p.number, "value": p.value, "before": p.before} for p in runs.pieces]
-            within = [dict(zip(("first", "last", "count", "level"), w, strict=True)) for w in runs.within]
-            kept.append(i)
-            rows.append({"near": limit, "steps": runs.steps, "flats": runs.flats, "first": runs.first, "last": runs.last, "pieces": pieces, "within": within})
-        if rows:
-            heads = batch.select([*SERIES, "block"]).take(pa.array(kept))
-            body = pa.RecordBatch.from_pylist(rows, schema=BODY)
-            yield pa.RecordBatch.from_arrays([*heads.columns, *body.columns], names=[*heads.schema.names, *body.schema.names])
+            value, offsets = _lists(batch, "value")
+            lead, own, position = _numbers(batch, "lead", "own", "position")
+            low, high, whole = _bounds(limits, batch.column("metric_type").to_pylist())
+            near = near_of(_vectors(batch, "first", len(FIRST))[0], whole)
+            rows, kept = [], []
+            for i in range(batch.num_rows):
+                begin = offsets[i] + lead[i]
+                x = value[begin : begin + own[i]]
+                possible = np.flatnonzero(is_possible(x, low[i], high[i], bool(whole[i])))
+                if not len(possible):
+                    continue
+                runs = block_runs(x[possible], position[i] + possible, float(near[i]))
+                pieces = [{"count": p.count, "first": p.first, "last": p.last, "number": p.number, "value": p.value, "before": p.before} for p in runs.pieces]
+                within = [dict(zip(("first", "last", "count", "level"), w, strict=True)) for w in runs.within]
+                kept.append(i)
+                rows.append({"first_place": int(position[i]), "near": float(near[i]), "steps": runs.steps, "flats": runs.flats, "first": runs.first, "last": runs.last, "pieces": pieces, "within": within})
+            if rows:
+                heads = batch.select(SERIES).take(pa.array(kept))
+                body = pa.RecordBatch.from_pylist(rows, schema=BODY)
+                yield pa.RecordBatch.from_arrays([*heads.columns, *body.columns], names=[*heads.schema.names, *body.schema.names])
+
+    return run
 
 
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,24 +422,26 @@ def _stretches(found: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[*SERIES, "begin", "end"])
 
 
-def _judge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low, high, whole, lead, own, rn = _numbers(batch, "low", "high", "is_count", "lead", "own", "rn")
-        (us, _), (value, offsets) = _lists(batch, "us"), _lists(batch, "value")
-        begins, ends = batch.column("begins"), batch.column("ends")
-        rows, places, kinds = [], [], []
-        for i in range(batch.num_rows):
-            x = value[offsets[i] : offsets[i + 1]]
-            stuck = np.zeros(len(x), dtype=bool)
-            if begins[i].is_valid:
-                for a, b in zip(begins[i].as_py(), ends[i].as_py(), strict=True):
-                    stuck[max(0, a + 1 - rn[i]) : max(0, b + 1 - rn[i])] = True
-            kind = judge(x, low[i], high[i], bool(whole[i]), stuck)[lead[i] : lead[i] + own[i]]
-            found = np.flatnonzero(kind != FINE)
-            rows.append(np.full(len(found), i))
-            places.append(offsets[i] + lead[i] + found)
-            kinds.append(kind[found])
-        if sum(map(len, rows)):
-            row, place = pa.array(np.concatenate(rows)), np.concatenate(places)
-            arrays = [*(batch.column(c).take(row) for c in SERIES), pa.array(us[place]), pa.array(value[place]), pa.array(np.concatenate(kinds), pa.int8())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*SERIES, "us", "value", "kind"])
+def _judge_blocks(limits: Limits) -> Mapper:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _pieces(batches):
+            if not blocks.num_rows:
+                continue
+            possible, free, value = _batch_of(blocks, limits)
+            kind = np.full(len(value), IMPOSSIBLE, dtype=np.int8)
+            _, offsets = _lists(blocks, "value")
+            lead, own, position = _numbers(blocks, "lead", "own", "position")
+            shift = offsets[:-1] + lead - position  # from a reading's position in its series to its place here
+            kind[possible.at + shift[possible.of]] = STUCK
+            kind[free.at + shift[free.of]] = FINE
+            first, second = _vectors(blocks, "first", len(FIRST)), _vectors(blocks, "second", len(SECOND))
+            count = np.nan_to_num(blocks.column("readings").to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            spikes = scores(free, first, second, count) > SPIKE_LIMIT
+            kind[(free.at + shift[free.of])[spikes]] = SPIKE
+            places = np.repeat(offsets[:-1] + lead - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
+            ids, copies = _lists(blocks, "ids")[0], _lists(blocks, "copies")[0]
+            of_rows = np.repeat(kind[places], copies)
+            found = of_rows != FINE
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found], pa.int64()), pa.array(of_rows[found], pa.int8())], names=["metric_id", "kind"])
+
+    return run

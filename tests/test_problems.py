@@ -368,6 +368,37 @@ def test_stuck_stretches_longer_than_blocks_are_found_whole(spark, jitter):
     assert [r.metric_id for r in found if r.reason == "impossible"] == [300]
 
 
+def test_series_over_partitions_are_judged_as_whole_ones(spark):
+    rng = np.random.default_rng(18)
+    rows, want = [], {}
+    for i in range(30):
+        n = 5000 if i == 7 else 5 if i == 8 else 150
+        x = np.round(wave(rng, n, 50, 1.0), 3)
+        if n > 5:
+            x[rng.integers(0, n, n // 60)] = 95.0
+            a = int(rng.integers(0, n - 40))
+            x[a : a + n // 5] = x[a]
+            x[rng.integers(0, n)] = -3.0
+        kinds = implausible.judge(x, 0.0, 115.0, False)
+        own = [(len(rows) + j, f"svc{i:02d}", "cpu", float(v), START + timedelta(minutes=int(j)), "x", 1, 2, "y") for j, v in enumerate(x)]
+        want |= {r[0]: implausible.KINDS[int(k)] for r, k in zip(own, kinds, strict=True) if k}
+        rows += own
+    rng.shuffle(rows)
+    rows = [(int(r[0]), r[1], r[2], float(r[3]), *r[4:6], 1, 2, "y") for r in rows]
+    limits = spark.createDataFrame([("cpu", "percent", 0.0, 115.0, False)], LIMITS)
+    got = {r.metric_id: r.reason for r in implausible.implausible(spark.createDataFrame(rows, METRICS), limits).collect()}
+    assert got == want and {"spike", "stuck", "impossible"} == set(got.values())
+
+
+def test_medians_of_segments_are_near_numpys():
+    rng = np.random.default_rng(19)
+    of = np.sort(rng.integers(0, 20, 2000))
+    values = np.where(rng.random(2000) < 0.1, 0.0, rng.lognormal(0, 3, 2000))
+    got = implausible.medians(values[of != 3], of[of != 3], 21)
+    for i in range(21):
+        assert got[i] == pytest.approx(np.median(values[of == i]) if i not in (3, 20) else 0.0, rel=0.016)
+
+
 def test_runs_joined_over_blocks_are_those_of_the_whole_series():
     rng = np.random.default_rng(12)
     for _ in range(200):
