@@ -1,8 +1,9 @@
 """Messages delivered at least once: keep exactly one copy of each.
 
 ``RunStore`` is hash-bucketed storage of sorted runs by identifier. An upsert collapses its batch by identifier (before
-and after the shuffle) and writes it as one sorted run; compaction aggregates the runs bucket by bucket, without a
-shuffle (a hash aggregate, not a merge of sorted streams), to each identifier's copy with the least version. Applying a batch again changes nothing.
+and after the shuffle) and writes it as one sorted run; several batches are written as runs of their own in one pass.
+Compaction merges the runs of each bucket, without a shuffle, in the order of identifier and version (by Spark's sort, which
+takes sorted runs as they are), and keeps the first of equal identifiers. Applying a batch again changes nothing.
 
 Defined cases: a null identifier equals no other (each such row is a message); ties of identifier and version can't be
 told apart and give one row; an empty table gives an empty result; columns with clashing names are left alone, as only
@@ -11,43 +12,54 @@ the named ones are read. A single identifier with a large part of all rows costs
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.identity import label_key, uuid_key
-from rillflow.plans.storage import new_path, shuffle_width
+from rillflow.plans.storage import new_path, new_table, shuffle_width
 
-KEY, VERSION = "rf_key", "rf_version"
+KEY, VERSION, RUN = "rf_key", "rf_version", "rf_run"
 
 
 class RunStore:
-    """Sorted runs in hash buckets, one external bucketed table in the shared folder."""
+    """Sorted runs in hash buckets, one external bucketed table in the shared folder, removed with the run's other tables."""
 
     def __init__(self, spark: SparkSession, buckets: int, label: str = "runs"):
         self.spark, self.buckets = spark, buckets
         self.path = new_path(spark, label)
-        self.table = f"rf_{uuid.uuid4().hex}"
+        self.table = new_table(label)
         self.runs = 0
 
-    def upsert(self, batch: DataFrame) -> RunStore:
-        """Write batch (KEY, VERSION) as a run of one row per identifier, sorted within its bucket."""
-        run = batch.groupBy(KEY).agg(F.min(VERSION).alias(VERSION))
-        writer = run.write.format("parquet").bucketBy(self.buckets, KEY).sortBy(KEY).mode("append")
-        writer.option("path", self.path).saveAsTable(self.table)
-        self.runs += 1
+    def upsert(self, *batches: DataFrame) -> RunStore:
+        """Write each batch (KEY, VERSION) as a run of one row per identifier, sorted within its bucket."""
+        for batch in batches:
+            self._write(batch.groupBy(KEY).agg(F.min(VERSION).alias(VERSION)).withColumn(RUN, F.lit(self.runs)))
+            self.runs += 1
+        return self
+
+    def upsert_batches(self, rows: DataFrame, batch: Column, runs: int) -> RunStore:
+        """Write rows (KEY, VERSION, ...) as so many runs, the rows of each batch in one of them, reading them once."""
+        which = F.pmod(F.coalesce(batch, F.lit(0)), F.lit(runs))
+        least = rows.groupBy(KEY).agg(*(F.min(F.when(which == i, F.col(VERSION))).alias(f"rf_{i}") for i in range(runs)))
+        each = F.array(*(F.struct(F.lit(self.runs + i).alias(RUN), F.col(f"rf_{i}").alias(VERSION)) for i in range(runs)))
+        self._write(least.select(KEY, F.inline(each)).where(F.col(VERSION).isNotNull()).select(KEY, VERSION, RUN))
+        self.runs += runs
         return self
 
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.write.format("parquet").partitionBy(RUN).bucketBy(self.buckets, KEY).sortBy(KEY).mode("append")
+        writer.option("path", self.path).saveAsTable(self.table)
+
     def compacted(self) -> DataFrame:
         """One row (KEY, VERSION) per identifier: the least version over all runs. The scan keeps the buckets."""
-        return self.spark.table(self.table).groupBy(KEY).agg(F.min(VERSION).alias(VERSION))
+        by_key = Window.partitionBy(KEY).orderBy(VERSION)
+        merged = self.spark.table(self.table).select(KEY, VERSION, F.row_number().over(by_key).alias("rf_copy"))
+        return merged.where("rf_copy = 1").drop("rf_copy")
 
     def compact(self) -> RunStore:
         """Replace the runs by one merged run in a new store."""
         merged = RunStore(self.spark, self.buckets)
-        writer = self.compacted().write.format("parquet").bucketBy(self.buckets, KEY).sortBy(KEY).mode("append")
-        writer.option("path", merged.path).saveAsTable(merged.table)
+        merged._write(self.compacted().withColumn(RUN, F.lit(0)))
         merged.runs = 1
         return merged
 
@@ -70,11 +82,8 @@ def chunk_key(stream_id: Column, sequence_number: Column, row: Column) -> Column
 
 def surviving_versions(df: DataFrame, key: Column, version: str, batch: str, runs: int = 2) -> DataFrame:
     """The versions to keep (KEY, VERSION), by upserting df in as many runs of batches and compacting them."""
-    store = RunStore(df.sparkSession, shuffle_width(df))
-    rows = df.select(key.alias(KEY), F.col(version).alias(VERSION), F.pmod(F.coalesce(F.col(batch), F.lit(0)), F.lit(runs)).alias("rf_run"))
-    for run in range(runs):
-        store.upsert(rows.where(F.col("rf_run") == run).drop("rf_run"))
-    return store.compacted()
+    rows = df.select(key.alias(KEY), F.col(version).alias(VERSION), F.col(batch).alias("rf_batch"))
+    return RunStore(df.sparkSession, shuffle_width(df)).upsert_batches(rows, F.col("rf_batch"), runs).compacted()
 
 
 def superfluous(df: DataFrame, key: Column, version: str, batch: str, runs: int = 2) -> DataFrame:

@@ -1,8 +1,8 @@
 """One wide row per entity from events: counts, first and last times for each of hundreds of event types.
 
-Counts per (entity, type) are pre-aggregated on the map side, so that a hot entity costs one row per type and task, then
-bucketed by entity and sorted by (entity, type); the sorted runs are streamed into wide rows, batch by batch, without
-another shuffle.
+Where events are read, stretches of TOGETHER of them become runs (entity, type, count, first and last time), so that a hot
+entity costs one row per type and stretch. Runs are bucketed by entity and sorted by (entity, type), the only shuffle; the
+sorted runs are streamed into counters and wide rows, batch by batch.
 
 Defined cases: rows without entity are left out; a null or unknown type counts in the entity's overall figures only;
 a null time counts but sets no time; a type an entity never had gives 0 and null times; an empty table gives no rows.
@@ -21,17 +21,22 @@ from rillflow.plans.storage import shuffle_width
 
 #: Entities per emitted batch; a batch holds ROWS x (3 types + 5) values of 8 bytes.
 ROWS = 512
+#: Events that are combined at once where they are read.
+TOGETHER = 1 << 17
+#: More types than this can't become columns.
+MOST_TYPES = 1000
 NO_TIME = np.iinfo(np.int64).min
 
 
 def wide_features(events: DataFrame, types: Sequence[str], entity: str, kind: Column, at: Column) -> DataFrame:
     """events -> entity, n_messages, n_types, first_ms, last_ms and n_<t>, first_ms_<t>, last_ms_<t> per type."""
-    index = F.create_map(*(x for i, t in enumerate(types) for x in (F.lit(t), F.lit(i)))) if types else F.create_map()
-    which = F.coalesce(index[kind] if types else F.lit(None).cast("int"), F.lit(-1)).cast("int")
-    rows = events.where(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias("entity"), which.alias("kind"), at.alias("ms"))
-    partial = rows.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first"), F.max("ms").alias("last"))
-    bucketed = partial.repartition(shuffle_width(events), "entity")
-    streamed = bucketed.sortWithinPartitions("entity", "kind")
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} types can't become columns")
+    known = events.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "name string, number int")
+    rows = events.where(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias("entity"), kind.alias("name"), at.alias("ms"))
+    numbered = rows.join(F.broadcast(known), "name", "left").select("entity", F.coalesce("number", F.lit(-1)).alias("kind"), "ms")
+    runs = numbered.mapInArrow(_runs, "entity bigint, kind int, n bigint, first bigint, last bigint")
+    streamed = runs.repartition(shuffle_width(events), "entity").sortWithinPartitions("entity", "kind")
     fields = [f"{entity} bigint", "n_messages bigint", "n_types bigint", "first_ms bigint", "last_ms bigint"]
     fields += [f"`{p}_{t}` bigint" for t in types for p in ("n", "first_ms", "last_ms")]
     schema = pa.schema([(f.split(" ")[0].strip("`"), pa.int64()) for f in fields])
@@ -54,9 +59,34 @@ def wide_features(events: DataFrame, types: Sequence[str], entity: str, kind: Co
     return streamed.mapInArrow(stream, ", ".join(fields))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(_columns(batch))
+        if sum(h.shape[1] for h in held) >= TOGETHER:
+            yield _combined(np.concatenate(held, axis=1))
+            held = []
+    if held:
+        yield _combined(np.concatenate(held, axis=1))
+
+
+def _combined(rows: np.ndarray) -> pa.RecordBatch:
+    """(entity, kind, time) -> a run for each entity and kind."""
+    entity, kind, ms = rows[:, np.lexsort(rows[1::-1])]
+    begins = np.flatnonzero(np.append(True, (entity[1:] != entity[:-1]) | (kind[1:] != kind[:-1]))[: len(entity)])
+    n = np.diff(np.append(begins, len(entity)))
+    if not len(begins):
+        n, first, last = (np.empty(0, dtype=np.int64) for _ in range(3))
+    else:
+        first = np.minimum.reduceat(np.where(ms == NO_TIME, np.iinfo(np.int64).max, ms), begins)
+        last = np.maximum.reduceat(ms, begins)
+    columns = [pa.array(entity[begins]), pa.array(kind[begins].astype(np.int32)), pa.array(n), _times(first, last), _times(last, last)]
+    return pa.RecordBatch.from_arrays(columns, names=["entity", "kind", "n", "first", "last"])
+
+
 def _columns(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.empty((5, batch.num_rows), dtype=np.int64)
-    for i in range(5):
+    out = np.empty((batch.num_columns, batch.num_rows), dtype=np.int64)
+    for i in range(batch.num_columns):
         out[i] = batch.column(i).cast(pa.int64()).fill_null(NO_TIME).to_numpy(zero_copy_only=False)
     return out
 
