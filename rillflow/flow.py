@@ -187,7 +187,17 @@ class Flow:
     def stateful_fold(self, spread: bool = False, **sums: Column) -> Flow:
         return self._with(keyed.stateful_fold(self.df, self.key, self.order, spread, **sums))
 
-    stateful_reduce = stateful_fold
+    def stateful_reduce(self, **aggregates: Column) -> Flow:
+        return self._with(keyed.stateful_reduce(self.df, self.key, self.order, **aggregates))
+
+    def keyed_scan(self, inputs: Sequence[Column], init: Any, step: Callable[..., tuple[Any, tuple | None]], schema: str) -> Flow:
+        return self._with(keyed.keyed_scan(self.df, self.key, self.order, inputs, init, step, schema))
+
+    def keyed_reduce(self, value: Column, f: Callable[[Any, Any], Any], schema: str) -> Flow:
+        return self._with(keyed.keyed_reduce(self.df, self.key, self.order, value, f, schema))
+
+    def distinct_until_changed_by(self, value: Column, same: Callable[[Any, Any], bool]) -> Flow:
+        return self._with(keyed.distinct_until_changed_by(self.df, self.order, value, same, self.key))
 
     def stateful_session(self, timeout_us: int) -> Flow:
         return self._with(keyed.stateful_session(self.df, self.key, self.order, self._timed(), timeout_us))
@@ -209,6 +219,9 @@ class Flow:
     def stateful_group_by(self, max_size: int | None = None, emit_on_key_change: bool = False, **aggregates: Column) -> DataFrame:
         return keyed.stateful_group_by(self.df, self.key, self.order, aggregates, max_size, emit_on_key_change)
 
+    def stateful_group_by_advanced(self, max_size: int | None = None, timeout_us: int | None = None, emit_on_key_change: bool = False, **aggregates: Column) -> DataFrame:
+        return keyed.stateful_group_by_advanced(self.df, self.key, self.order, self._timed(), aggregates, max_size, timeout_us, emit_on_key_change)
+
     # Errors, ends
 
     def recover(self, value: Column) -> Flow:

@@ -13,12 +13,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 from rillflow.operators.eventtime import TimeJoinConfig, join_with_time_window
-from rillflow.plans.ordering import col, quoted, running_sums
+from rillflow.plans.ordering import changes, col, running_sums
 from rillflow.plans.storage import shuffle_width
 
 #: Items of a group that are handed on together when no size is given.
@@ -45,8 +48,10 @@ def stateful_fold(df: DataFrame, key: Sequence[str], order: Sequence[str], sprea
     return df.withColumns({n: F.sum(c).over(upto(key, order)) for n, c in sums.items()})
 
 
-#: A reduce is a fold whose first item is the start value.
-stateful_reduce = stateful_fold
+def stateful_reduce(df: DataFrame, key: Sequence[str], order: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Every intermediate result of reducing each key's rows with built-in aggregates, e.g. F.max("x"); the first row's
+    value stands for itself. See keyed_reduce for any function."""
+    return stateful_map(df, key, order, **aggregates)
 
 
 def stateful_filter(df: DataFrame, key: Sequence[str], order: Sequence[str], state: dict[str, Column], predicate: Column) -> DataFrame:
@@ -166,25 +171,91 @@ def keyed_stream(df: DataFrame, key: Sequence[str], order: Sequence[str], step:
     return ordered.mapInPandas(run, schema)
 
 
-def _with_us(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn("__us", F.unix_micros(col(ts).cast("timestamp")))
+def keyed_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], inputs: Sequence[Column], init: Any, step: Callable[..., tuple[Any, tuple | None]], schema: str) -> DataFrame:
+    """Fold each key's rows in order with any Python function, emitting every state.
+
+    step(state, *inputs of the row) gives the next state and the values of the columns in schema that are added to the row;
+    None in their place leaves the row out. A key begins with init (called, if it can be). Arrow batches of partitions sorted
+    by key are gone through once; only the current key's state is kept. A null in the key is a key; without key columns
+    the whole stream is one key and one task's work, as such a fold can't be taken apart.
+    """
+    names = [*df.columns, *(f"__in{i}" for i in range(len(inputs)))]
+    wide = df.select(*(col(c) for c in df.columns), *inputs).toDF(*(f"c{i}" for i in range(len(names))))
+    at = [names.index(k) for k in key]
+    sort = [F.col(f"c{i}") for i in [*at, *(names.index(o) for o in order)]]
+    spread = wide.repartition(shuffle_width(df), *sort[: len(at)]) if at else wide.repartition(1)
+    ordered = spread.sortWithinPartitions(*sort)
+    width, n_inputs, added = len(df.columns), len(inputs), _parsed(schema)
+    arrow = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: pa.RecordBatch | None = None
+        state: Any = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(at)
+            if at:
+                known = pa.Table.from_batches([before, keys] if before is not None else [keys])
+                changed = changes([c.combine_chunks() for c in known.columns], known.num_rows)[-len(batch) :].tolist()
+                before = keys.slice(len(batch) - 1)
+            else:
+                changed = [before is None] + [False] * (len(batch) - 1)
+                before = batch
+            kept, out = [], []
+            for i, (new, *values) in enumerate(zip(changed, *(batch.column(width + j).to_pylist() for j in range(n_inputs)), strict=True)):
+                if new:
+                    state = init() if callable(init) else init
+                state, made = step(state, *values)
+                if made is not None:
+                    kept.append(i)
+                    out.append(made)
+            rows = batch.select(range(width)).take(pa.array(kept, pa.int64()))
+            columns = [pa.array([o[j] for o in out], f.type) for j, f in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[f"c{j}" for j in range(width + len(arrow))])
+
+    fields = [StructField(f"c{j}", f.dataType) for j, f in enumerate([*df.schema.fields, *added.fields])]
+    return ordered.mapInArrow(run, StructType(fields)).toDF(*df.columns, *added.names)
+
+
+def _parsed(schema: str) -> StructType:
+    return StructType.fromDDL(schema) if schema else StructType([])
+
+
+def keyed_reduce(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, f: Callable[[Any, Any], Any], schema: str) -> DataFrame:
+    """Every intermediate value of reducing each key's values in order with any function; the first stands for itself.
+    A null value leaves the result as it is."""
+
+    def step(held: tuple, v: Any) -> tuple[tuple, tuple]:
+        held = held if v is None else (f(held[0], v),) if held else (v,)
+        return held, held or (None,)
+
+    return keyed_scan(df, key, order, [value], (), step, schema)
+
+
+def distinct_until_changed_by(df: DataFrame, order: Sequence[str], value: Column, same: Callable[[Any, Any], bool], key: Sequence[str] = ()) -> DataFrame:
+    """Leave out a row whose value is the same, by any function, as that of the last row kept (of its key).
+
+    The first stays. Where same compares a projection, ``sequence.distinct_until_changed`` needs no one task.
+    """
+
+    def step(last: tuple, v: Any) -> tuple[tuple, tuple | None]:
+        return (last, None) if last and same(last[0], v) else ((v,), ())
+
+    return keyed_scan(df, key, order, [value], (), step, "")
+
+
+def _us(ts: str) -> Column:
+    return F.unix_micros(col(ts).cast("timestamp"))
 
 
 def stateful_deduplicate(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, ttl_us: int) -> DataFrame:
     """The rows more than ttl_us after the last row kept of their key; the first is kept. order must begin with ts."""
 
-    def step(last: int | None, rows: pd.DataFrame) -> tuple[int | None, pd.DataFrame]:
-        us = rows["__us"].to_numpy()
-        kept, at = [], 0
-        while True:
-            at = at if last is None else int(np.searchsorted(us, last + ttl_us, side="right"))
-            if at >= len(us):
-                return last, rows.iloc[kept].drop(columns="__us")
-            kept.append(at)
-            last = int(us[at])
+    def step(last: int | None, us: int) -> tuple[int | None, tuple | None]:
+        return (us, ()) if last is None or us - last > ttl_us else (last, None)
 
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
-    return keyed_stream(_with_us(df, ts), key, order, step, schema)
+    return keyed_scan(df, key, order, [_us(ts)], None, step, "")
 
 
 def stateful_throttle(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, limit: int, window_us: int, policy: str = "delay") -> DataFrame:
@@ -194,40 +265,44 @@ def stateful_throttle(df: DataFrame, key: Sequence[str], order: Sequence[str], t
     if policy not in ("delay", "drop"):
         raise ValueError(f"unknown policy {policy}")
 
-    def step(state: tuple[int, int] | None, rows: pd.DataFrame) -> tuple[tuple[int, int] | None, pd.DataFrame]:
-        out = []
-        start, n = state or (None, 0)
-        for us in rows["__us"].to_numpy().tolist():
-            if start is None or us - start > window_us:
-                start, n = us, 0
-            emit, over = us, n >= limit
-            if over and policy == "delay":
-                left = start + window_us - us
-                emit = us + left if 0 < left < 1_000_000 else us
-                start, n = emit, 0
-            if not (over and policy == "drop"):
-                n += 1
-            out.append((start, n, over, max(emit, us)))
-        extra = pd.DataFrame(out, columns=["window_start_us", "n_in_window", "throttled", "emit_us"], index=rows.index)
-        whole = pd.concat([rows.drop(columns="__us"), extra], axis=1)
-        return (start, n), whole[~whole["throttled"]] if policy == "drop" else whole
-
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
-    return keyed_stream(_with_us(df, ts), key, order, step, schema + ", window_start_us bigint, n_in_window bigint, throttled boolean, emit_us bigint")
-
-
-def stateful_group_by_timeout(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, timeout_us: int, max_size: int | None = None) -> DataFrame:
+    def step(state: tuple[int | None, int], us: int) -> tuple[tuple[int, int], tuple | None]:
+        start, n = state
+        if start is None or us - start > window_us:
+            start, n = us, 0
+        emit, over = us, n >= limit
+        if over and policy == "drop":
+            return (start, n), None
+        if over:
+            left = start + window_us - us
+            emit = us + left if 0 < left < 1_000_000 else us
+            start, n = emit, 0
+        return (start, n + 1), (start, n + 1, over, max(emit, us))
+
+    return keyed_scan(df, key, order, [_us(ts)], (None, 0), step, "window_start_us bigint, n_in_window bigint, throttled boolean, emit_us bigint")
+
+
+def stateful_group_by_timeout(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, timeout_us: int | None = None, max_size: int | None = None) -> DataFrame:
     """Add group_no: a group ends before a row more than timeout_us after the group's first row, or at max_size rows."""
 
-    def step(state: tuple[int, int, int] | None, rows: pd.DataFrame) -> tuple[tuple[int, int, int], pd.DataFrame]:
-        start, n, number = state or (None, 0, -1)
-        out = []
-        for us in rows["__us"].to_numpy().tolist():
-            if start is None or us - start > timeout_us or (max_size is not None and n >= max_size):
-                start, n, number = us, 0, number + 1
-            n += 1
-            out.append(number)
-        return (start, n, number), rows.drop(columns="__us").assign(group_no=out)
-
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
-    return keyed_stream(_with_us(df, ts), key, order, step, schema + ", group_no bigint")
+    def step(state: tuple[int | None, int, int], us: int) -> tuple[tuple[int, int, int], tuple]:
+        start, n, number = state
+        if start is None or (timeout_us is not None and us - start > timeout_us) or (max_size is not None and n >= max_size):
+            start, n, number = us, 0, number + 1
+        return (start, n + 1, number), (number,)
+
+    return keyed_scan(df, key, order, [_us(ts)], (None, 0, -1), step, "group_no bigint")
+
+
+def stateful_group_by_advanced(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, aggregates: dict[str, Column], max_size: int | None = None,
+    timeout_us: int | None = None, emit_on_key_change: bool = False,
+) -> DataFrame:
+    """Groups of each key's rows that end by whatever comes first: max_size rows, a row more than timeout_us after the
+    group's first, or (with emit_on_key_change) a row of another key next in the whole stream. With the last, groups are
+    those of run, the number of the stretch of rows of one key; group_no counts from 0 in the key or run."""
+    from rillflow.operators.sequence import with_run
+
+    rows = with_run(df, order, F.struct(*(col(k) for k in key))) if emit_on_key_change else df
+    by = ["run", *key] if emit_on_key_change else list(key)
+    grouped = stateful_group_by_timeout(rows, by, order, ts, timeout_us, max_size or GROUP_ITEMS)
+    return grouped.groupBy(*(col(k) for k in by), "group_no").agg(F.count(F.lit(1)).alias("n_rows"), *(a.alias(n) for n, a in aggregates.items()))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.keyed import keyed_stream
 from rillflow.plans.ordering import col
 
 #: Ranks of priorities, and greatest sizes of chunks in bytes.
@@ -45,37 +50,94 @@ def by_priority(chunks: DataFrame, buffer: Column, capacity: int = 64, tie: str
     return placed.withColumn("release_no", F.row_number().over(order)).drop("__buffer", "__came", "__held")
 
 
-def _pairs(data: Column, pattern: str, kept: str) -> Column:
-    """Bytes picked or repeated by a pattern over their hexadecimal digits, inside the JVM."""
-    return F.unhex(F.regexp_replace(F.hex(data), pattern, kept))
+def _resampled(data: pa.Array, every: int, times: int) -> pa.Array:
+    """Of each value's bytes every so many-th, from the first, each so many times; over whole batches at once."""
+    data = pa.concat_arrays([data]) if data.offset else data
+    n = len(data)
+    offsets = np.frombuffer(data.buffers()[1], dtype=np.int32)[: n + 1].astype(np.int64)
+    raw = np.frombuffer(data.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if data.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+    size = np.diff(offsets)
+    if every > 1:
+        raw = raw[(np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)) % every == 0]
+        size = -(-size // every)
+    if times > 1:
+        raw, size = np.repeat(raw, times), size * times
+    ends = np.concatenate([[0], np.cumsum(size)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("more than 2 GiB in a batch; lower spark.sql.execution.arrow.maxBytesPerBatch")
+    out = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+    return pc.if_else(data.is_valid(), out, pa.scalar(None, pa.binary()))
 
 
-def encode_video(data: Column) -> Column:
-    """Lossy sub-sampling: every second byte, from the first."""
-    return _pairs(data, "(..)(?:..)?", "$1")
+def _codec(every: int, times: int) -> Callable[[Column], Column]:
+    @F.arrow_udf("binary")
+    def run(data: pa.Array) -> pa.Array:
+        return _resampled(data, every, times)
+
+    return run
+
+
+def encode_video(data: Column, compression: bool = True) -> Column:
+    """Lossy sub-sampling: every second byte, from the first; all without compression. Null and empty data give the same."""
+    return _codec(2, 1)(data) if compression else data
 
 
 def encode_audio(data: Column) -> Column:
     """Every fourth byte, from the first."""
-    return _pairs(data, "(..)(?:..){0,3}", "$1")
+    return _codec(4, 1)(data)
 
 
-def decode_video(data: Column) -> Column:
-    """Each byte twice."""
-    return _pairs(data, "(..)", "$1$1")
+def decode_video(data: Column, compression: bool = True) -> Column:
+    """Each byte twice; once without compression."""
+    return _codec(1, 2)(data) if compression else data
 
 
 def decode_audio(data: Column) -> Column:
-    return _pairs(data, "(..)", "$1$1$1$1")
+    return _codec(1, 4)(data)
+
+
+#: The part of mixed data that is video; fixed value.
+VIDEO_PART = 0.6
+
 
+def _low_first(n: Column) -> Column:
+    """A number below 2^32 as 4 bytes, the lowest first."""
+    digits = F.lpad(F.hex(n.cast("bigint")), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
 
-def encode_mixed(data: Column) -> Column:
-    """The first 60 % as video, the rest as audio, behind the video part's length as 4 bytes, the lowest first."""
-    cut = F.floor(F.octet_length(data) * 60 / 100).cast("int")
-    video = encode_video(F.substring(data, F.lit(1), cut))
-    size = F.lpad(F.hex(F.octet_length(video)), 8, "0")
-    header = F.unhex(F.concat(*(F.substring(size, i, 2) for i in (7, 5, 3, 1))))
-    return F.concat(header, video, encode_audio(F.substring(data, cut + 1, F.octet_length(data))))
+
+def _number_of(data: Column, at: int) -> Column:
+    """The number in 4 bytes from at (from 1), the lowest first."""
+    digits = F.hex(F.substring(data, at, 4))
+    return F.conv(F.concat(*(F.substring(digits, i, 2) for i in (7, 5, 3, 1))), 16, 10).cast("int")
+
+
+def encode_mixed(data: Column, compression: bool = True) -> Column:
+    """The first 60 % as video, the rest as audio, behind the encoded lengths of both as 4 bytes each, the lowest first.
+
+    Data of less than two bytes can't be split and give null.
+    """
+    cut = F.floor(F.octet_length(data) * F.lit(VIDEO_PART)).cast("int")
+    video = encode_video(F.substring(data, F.lit(1), cut), compression)
+    audio = encode_audio(F.substring(data, cut + 1, F.octet_length(data)))
+    return F.when(F.octet_length(data) >= 2, F.concat(_low_first(F.octet_length(video)), _low_first(F.octet_length(audio)), video, audio))
+
+
+def split_mixed(encoded: Column) -> tuple[Column, Column]:
+    """The encoded video and audio of mixed data, by the lengths before them."""
+    n_video, n_audio = _number_of(encoded, 1), _number_of(encoded, 5)
+    return F.substring(encoded, F.lit(9), n_video), F.substring(encoded, n_video + 9, n_audio)
+
+
+def decoded(chunks: DataFrame, compression: bool = True) -> DataFrame:
+    """Add decoded and err: by the kind of chunk, and 'wrong checksum' (and no data) where a checksum is there and differs.
+
+    Metadata is handed on as it is; thumbnails are decoded as video, as are unknown kinds.
+    """
+    kind, data = F.col("chunk_type"), F.col("data")
+    plain = F.when(kind == "Metadata", data).when(kind == "Audio", decode_audio(data)).otherwise(decode_video(data, compression))
+    broken = F.col("checksum").isNotNull() & (F.lower("checksum") != F.sha2("data", 256))
+    return chunks.withColumn("err", F.when(broken, "wrong checksum")).withColumn("decoded", F.when(F.col("err").isNull(), plain))
 
 
 @dataclass(frozen=True)
@@ -140,6 +202,50 @@ def reordered(chunks: DataFrame, key: Sequence[str], arrival: str, number: str =
     return marked.withColumn("status", status).drop("__copy", "__high", "__before")
 
 
+def released(chunks: DataFrame, key: Sequence[str], arrival: str, window: int, capacity: int, number: str = "sequence_number") -> DataFrame:
+    """What a reorder buffer of each stream releases, in arrival order: release_no, or null for what it drops, with status.
+
+    A buffer waits for the next number from the first chunk's on. A chunk that comes is held; a number behind the awaited
+    one is 'Late' and one already held is a 'Duplicate', both dropped. While the awaited number is held it is released, with
+    'Ok'. When more than window numbers lie between the awaited and the greatest held, or more than capacity chunks are held,
+    the least held number is released instead, with 'Gap', and the wait goes on behind it. What is held at the end is
+    released in order ('Gap' where numbers are missing). A null number is dropped as 'Late'. Only the buffer of the current
+    stream, of capacity numbers, is kept.
+    """
+    if window < 1 or capacity < 1:
+        raise ValueError("window and capacity must be at least 1")
+
+    def step(state: list | None, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        awaited, released, held = state if state is not None else [None, 0, {}]
+        out: list[tuple] = []
+
+        def release(n: int) -> None:
+            nonlocal awaited, released
+            released += 1
+            out.append((held.pop(n), released, "Ok" if n == awaited else "Gap"))
+            awaited = n + 1
+
+        for arrived, n, last in zip(rows["__arrival"].tolist(), rows["__number"].tolist(), rows["__last"].tolist(), strict=True):
+            n = None if pd.isna(n) else int(n)
+            awaited = n if awaited is None else awaited
+            if n is None or n < awaited or n in held:
+                out.append((arrived, None, "Duplicate" if n is not None and n >= awaited else "Late"))
+            else:
+                held[n] = arrived
+                while held and (awaited in held or len(held) > capacity or max(held) - awaited >= window):
+                    release(awaited if awaited in held else min(held))
+            while last and held:
+                release(awaited if awaited in held else min(held))
+        return [awaited, released, held], pd.DataFrame(out, columns=["__arrived", "release_no", "status"]).astype({"__arrived": "int64", "release_no": "Int64"})
+
+    names = [f"__k{i}" for i in range(len(key))]
+    rows = chunks.select(*(col(k).alias(n) for k, n in zip(key, names, strict=True)), col(arrival).cast("bigint").alias("__arrival"), col(number).alias("__number"))
+    behind = Window.partitionBy(*names).orderBy("__arrival")
+    rows = rows.withColumn("__last", F.lead("__arrival").over(behind).isNull())
+    placed = keyed_stream(rows, names, ["__arrival"], step, "__arrived bigint, release_no bigint, status string")
+    return chunks.join(placed, col(arrival).cast("bigint") == F.col("__arrived")).drop("__arrived")
+
+
 def gaps(chunks: DataFrame, key: Sequence[str], number: str = "sequence_number") -> DataFrame:
     """Stretches of missing numbers of each stream between its least and greatest: key..., first_missing, last_missing."""
     seen = chunks.select(*(col(k) for k in key), col(number).alias("n")).where("n IS NOT NULL").distinct()

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.plans.ordering import BLOCK_ROWS, SMALL_BYTES, block_window, blocked, col, own_rows, running_sums, with_position
+from rillflow.plans.ordering import BLOCK_ROWS, SMALL_BYTES, block_window, blocked, col, own_rows, running_sums, settings, with_position
 
 
 def _columns(order: Sequence[str]) -> list[Column]:
@@ -144,6 +144,7 @@ def scan(df: DataFrame, order: Sequence[str], **sums: Column) -> DataFrame:
 
 def running_extremes(df: DataFrame, order: Sequence[str], value: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running minimum and maximum of value after each row, from blocks and the extremes of the blocks before them."""
+    block_rows = min(block_rows, settings.block_rows)
     placed = with_position(df.withColumn("__value", value), _columns(order), small_bytes=SMALL_BYTES)
     placed = placed.withColumn("__b", F.floor((F.col("rn") - 1) / block_rows))
     inside = Window.partitionBy("__b").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -169,6 +170,7 @@ def ordered_fold(df: DataFrame, order: Sequence[str], item: Column, init: Column
         rows = F.transform(F.sort_array(F.collect_list(F.struct("rn", "__item"))), lambda x: x["__item"])
         checked = placed.where(F.when(F.col("rn") > block_rows, F.raise_error(F.lit("too many rows for a fold without combine"))).isNull())
         return checked.agg(F.aggregate(rows, init, step).alias("value"))
+    block_rows = min(block_rows, settings.block_rows)
     rows = F.transform(F.sort_array(F.collect_list(F.struct("rn", "__item"))), lambda x: x["__item"])
     blocks = placed.groupBy(F.floor((F.col("rn") - 1) / block_rows).alias("b")).agg(F.aggregate(rows, init, step).alias("v"))
     return blocks.agg(F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]), init, combine).alias("value"))

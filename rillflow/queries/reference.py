@@ -9,7 +9,7 @@ from rillflow.functions import keys, validation
 from rillflow.operators import combine, eventtime, keyed, media, results, sequence, timecontrol, transform
 from rillflow.operators.eventtime import TimeJoinConfig, TimeWindowConfig
 from rillflow.plans import metrics
-from rillflow.plans.ordering import running_sums
+from rillflow.plans.ordering import distributed, running_sums
 from rillflow.plans.pipeline import Pipe, composed
 from rillflow.queries.registry import Registry, table
 from rillflow.sources import builders
@@ -55,7 +55,7 @@ def source_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_unfold", "WITH RECURSIVE u AS (SELECT 0::BIGINT AS seq, 0::BIGINT AS a, 1::BIGINT AS b UNION ALL SELECT seq + 1, b, a + b FROM u WHERE seq < 39) SELECT * FROM u")
 def source_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builders.unfold(spark, "a, b", "0L, 1L", "b, a + b", "true", most=40)
+    return builders.unfold(spark, "a, b", "0L, 1L", "b, a + b", "seq < 39")
 
 
 @query("source_tick", "SELECT epoch_ms(t) AS ms, 'tick' AS value FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 1 MINUTE) g(t)")
@@ -72,7 +72,7 @@ def source_emit_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_file_chunks")
 def source_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return builders.file_chunks(spark, f"{sf_dir}/nation.parquet", "nation", 512).drop("data")
+    return builders.file_chunks(spark, f"{sf_dir}/lineitem.parquet", "lineitem", 1 << 16).drop("data")
 
 
 @query(
@@ -218,10 +218,10 @@ def group_by_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run", "key", "n", F.array_join(F.transform("items", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
 
 
-@query("hash_group_by", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+@query("hash_group_by", "SELECT event_type, count(*) AS n, md5(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS ids FROM events GROUP BY 1")
 def hash_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = sequence.hash_group_by(events(spark, sf_dir), ["event_type"], ORDER, ["event_id"])
-    return groups.select("event_type", "n", F.col("items")[0]["event_id"].alias("first_id"))
+    return groups.select("event_type", "n", F.md5(F.array_join(F.transform("items", lambda x: x["event_id"].cast("string")), ",")).alias("ids"))
 
 
 @query("distinct_until_changed", f"{_RUNS} SELECT event_id, event_type FROM r WHERE fresh = 1")
@@ -234,6 +234,25 @@ def distinct_until_changed_by_key(spark: SparkSession, sf_dir: str) -> DataFrame
     return sequence.distinct_until_changed(events(spark, sf_dir).select("event_id", "user_id", "event_type"), ORDER, F.col("event_type"), key=["user_id"])
 
 
+@query("distinct_until_changed_by", "SELECT event_id, user_id FROM (SELECT *, lag(user_id % 2) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM user_id % 2")
+def distinct_until_changed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of equal parity are equal: an equality that compares a projection."""
+    return sequence.distinct_until_changed(events(spark, sf_dir).select("event_id", "user_id"), ORDER, F.col("user_id") % 2)
+
+
+_KEPT_BY = """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+k AS (SELECT event_id, user_id, rn, value AS last, true AS kept FROM e WHERE rn = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.rn, CASE WHEN abs(e.value - k.last) >= 50 THEN e.value ELSE k.last END, abs(e.value - k.last) >= 50 FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+SELECT event_id, user_id FROM k WHERE kept"""
+
+
+@query("distinct_until_changed_by_function", _KEPT_BY)
+def distinct_until_changed_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values near the last kept are equal to it, which is no projection; per user."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "value")
+    return keyed.distinct_until_changed_by(rows, ORDER, F.col("value"), lambda last, v: abs(v - last) < 50, key=["user_id"]).drop("value")
+
+
 # Running and total aggregates
 
 
@@ -260,8 +279,17 @@ def reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ordered_fold", "SELECT (list_reduce(list_prepend(0::BIGINT, list(event_id::BIGINT ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003))::BIGINT AS value FROM events")
 def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    return sequence.ordered_fold(events(spark, sf_dir), ORDER, F.col("event_id"), zero, lambda a, x: (a * 31 + x) % 1000003, block_rows=1_000_000)
+    """Each step is a linear map; blocks of rows give linear maps, which are combined in order."""
+
+    def linear(m: Column, a: Column) -> Column:
+        return F.struct((m % 1000003).alias("m"), (a % 1000003).alias("a"))
+
+    one = F.struct(F.lit(1).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("a"))
+    out = sequence.ordered_fold(
+        events(spark, sf_dir), ORDER, F.col("event_id").cast("bigint"), one, lambda f, x: linear(f["m"] * 31, f["a"] * 31 + x),
+        combine=lambda f, g: linear(f["m"] * g["m"], f["a"] * g["m"] + g["a"]),
+    )
+    return out.select("value.a").withColumnRenamed("a", "value")
 
 
 # Several streams
@@ -477,7 +505,32 @@ def stateful_fold_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stateful_reduce", f"SELECT event_id, max(value) OVER {_BY_USER} AS best FROM events")
 def stateful_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed.stateful_map(_keyed(spark, sf_dir), ["user_id"], ORDER, best=F.max("value")).select("event_id", "best")
+    return keyed.stateful_reduce(_keyed(spark, sf_dir), ["user_id"], ORDER, best=F.max("value")).select("event_id", "best")
+
+
+_FOLDED = """WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT event_id, user_id, rn, (7 * 31 + event_id) % 1000003 AS state FROM e WHERE rn = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.rn, (f.state * 31 + e.event_id) % 1000003 FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT event_id, state::BIGINT AS state FROM f"""
+
+
+@query("stateful_fold_function", _FOLDED)
+def stateful_fold_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any function from its own start value, every state emitted."""
+
+    def step(state: int, x: int) -> tuple[int, tuple[int]]:
+        state = (state * 31 + x) % 1000003
+        return state, (state,)
+
+    rows = _keyed(spark, sf_dir).select("event_id", "user_id")
+    return keyed.keyed_scan(rows, ["user_id"], ORDER, [F.col("event_id")], 7, step, "state bigint").drop("user_id")
+
+
+@query("stateful_reduce_function", f"SELECT event_id, round(max(value) OVER {_BY_USER} * 2, 2) AS twice_best FROM events")
+def stateful_reduce_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _keyed(spark, sf_dir).select("event_id", "user_id", "value")
+    out = keyed.keyed_reduce(rows, ["user_id"], ORDER, F.col("value") * 2, max, "best double")
+    return out.select("event_id", cents("best").alias("twice_best"))
 
 
 @query("stateful_session", f"""SELECT event_id, is_new, 1 + sum(is_new::INT) OVER {_BY_USER}::BIGINT AS session_id FROM
@@ -560,7 +613,31 @@ def stateful_group_by_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.stateful_group_by_timeout(rows, ["user_id"], ["ts", "event_id"], "ts", 72 * HOUR_US).select("event_id", "user_id", "group_no")
 
 
-@query("stateful_throttle")
+_TIMED = """WITH RECURSIVE r AS (SELECT *, epoch_us(ts) AS us FROM events), m AS (SELECT *, CASE WHEN user_id % 3 IS NOT DISTINCT FROM lag(user_id % 3) OVER (ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fresh FROM r),
+e AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS rn FROM (SELECT *, sum(fresh) OVER (ORDER BY ts, event_id) AS run FROM m)),
+g AS (SELECT run, user_id % 3 AS k, rn, us AS start, 1 AS n, 0 AS group_no FROM e WHERE rn = 1 UNION ALL
+SELECT e.run, g.k, e.rn, CASE WHEN e.us - g.start > {limit} OR g.n >= 2 THEN e.us ELSE g.start END, CASE WHEN e.us - g.start > {limit} OR g.n >= 2 THEN 1 ELSE g.n + 1 END,
+CASE WHEN e.us - g.start > {limit} OR g.n >= 2 THEN g.group_no + 1 ELSE g.group_no END FROM g JOIN e ON e.run = g.run AND e.rn = g.rn + 1)
+SELECT run::BIGINT AS run, k, group_no::BIGINT AS group_no, count(*) AS n_rows FROM g GROUP BY ALL""".format(limit=600_000_000)
+
+
+@query("stateful_group_by_advanced", _TIMED)
+def stateful_group_by_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups end at two rows, after ten minutes, or where the next row has another key."""
+    rows = events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 3).alias("k"))
+    return keyed.stateful_group_by_advanced(rows, ["k"], ["ts", "event_id"], "ts", {}, max_size=2, timeout_us=600_000_000, emit_on_key_change=True)
+
+
+_THROTTLED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+t AS (SELECT event_id, user_id, rn, us AS window_start_us, 1 AS n_in_window, false AS throttled, us AS emit_us FROM e WHERE rn = 1 UNION ALL
+SELECT event_id, user_id, rn, CASE WHEN over THEN emit ELSE start END, CASE WHEN over THEN 1 ELSE n + 1 END, over, greatest(emit, us)
+FROM (SELECT *, CASE WHEN over AND start + {w} - us > 0 AND start + {w} - us < 1000000 THEN start + {w} ELSE us END AS emit
+FROM (SELECT *, n >= 3 AS over FROM (SELECT e.*, CASE WHEN e.us - t.window_start_us > {w} THEN e.us ELSE t.window_start_us END AS start, CASE WHEN e.us - t.window_start_us > {w} THEN 0 ELSE t.n_in_window END AS n
+FROM t JOIN e ON e.user_id = t.user_id AND e.rn = t.rn + 1))))
+SELECT event_id, user_id, window_start_us, n_in_window::BIGINT AS n_in_window, throttled, emit_us FROM t""".format(w=24 * HOUR_US)
+
+
+@query("stateful_throttle", _THROTTLED)
 def stateful_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return keyed.stateful_throttle(rows, ["user_id"], ["ts", "event_id"], "ts", 3, 24 * HOUR_US).drop("ts")
@@ -585,10 +662,10 @@ def recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.recover(_attempts(spark, sf_dir), F.lit(-1.0)).select("event_id", "ok")
 
 
-@query("or_else", "SELECT event_id, CASE WHEN value >= 5 THEN value::VARCHAR ELSE 'small ' || event_id END AS ok FROM events WHERE value < 5")
+@query("or_else", "SELECT event_id, CASE WHEN value >= 5 THEN floor(value)::BIGINT::VARCHAR ELSE 'small ' || event_id END AS ok FROM events")
 def or_else(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = _attempts(spark, sf_dir).where("err IS NOT NULL").withColumn("ok", F.col("ok").cast("string"))
-    return results.or_else(bad, F.col("err.message")).select("event_id", "ok")
+    tried = _attempts(spark, sf_dir).withColumn("ok", F.floor("ok").cast("string"))
+    return results.or_else(tried, F.col("err.message")).select("event_id", "ok")
 
 
 @query("on_error_resume_next", "SELECT event_id, 0 AS resume_no, value AS ok FROM events WHERE value >= 5 UNION ALL SELECT event_id, i, i::DOUBLE FROM events, range(2) t(i) WHERE value < 5")
@@ -602,16 +679,18 @@ def map_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.concat("err.kind", F.lit(": "), "err.message").alias("message"))
 
 
-@query("collect_ok", "SELECT count(*)::INT AS n, round(sum(value), 2) AS total FROM events WHERE value >= 5")
+@query("collect_ok", "SELECT count(*)::INT AS n, md5(string_agg(floor(value * 100)::BIGINT::VARCHAR, ',' ORDER BY event_id)) AS digest FROM events WHERE value >= 5")
 def collect_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = results.collect_ok(_attempts(spark, sf_dir), ORDER)
-    return got.select(F.size("values").alias("n"), cents(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    digest = F.md5(F.array_join(F.transform("values", lambda x: F.floor(x * 100).cast("string")), ","))
+    return got.select(F.size("values").alias("n"), digest.alias("digest"))
 
 
-@query("collect_err", "SELECT count(*)::INT AS n, 'small ' || min(event_id) AS first FROM events WHERE value < 5")
+@query("collect_err", "SELECT count(*)::INT AS n, md5(string_agg('small ' || event_id, ',' ORDER BY event_id)) AS digest FROM events WHERE value < 5")
 def collect_err(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = results.collect_err(_attempts(spark, sf_dir), ORDER)
-    return got.select(F.size("values").alias("n"), F.col("values")[0]["message"].alias("first"))
+    digest = F.md5(F.array_join(F.transform("values", lambda x: x["message"]), ","))
+    return got.select(F.size("values").alias("n"), digest.alias("digest"))
 
 
 @query(
@@ -682,16 +761,51 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("delivery_id", media.default_priority(F.col("chunk_type")).alias("priority"), media.chunk_type_of(F.col("sequence_number")).alias("by_number"))
 
 
-@query("media_encode", "SELECT delivery_id, (octet_length(data) + 1) // 2 AS video_bytes, (octet_length(data) + 3) // 4 AS audio_bytes FROM media_chunks")
+_HALF, _QUARTER = "regexp_replace(hex({}), '(..)(..)?', '\\1', 'g')", "regexp_replace(hex({}), '(..)(..)?(..)?(..)?', '\\1', 'g')"
+
+
+def _digest(data: Column) -> Column:
+    return F.md5(F.hex(data))
+
+
+@query("media_encode", f"SELECT delivery_id, md5({_HALF.format('data')}) AS video, md5({_QUARTER.format('data')}) AS audio FROM media_chunks")
 def media_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = _chunks(spark, sf_dir).select("delivery_id", media.encode_video(F.col("data")).alias("v"), media.encode_audio(F.col("data")).alias("a"))
-    return encoded.select("delivery_id", F.octet_length("v").cast("bigint").alias("video_bytes"), F.octet_length("a").cast("bigint").alias("audio_bytes"))
+    data = F.col("data")
+    return _chunks(spark, sf_dir).select("delivery_id", _digest(media.encode_video(data)).alias("video"), _digest(media.encode_audio(data)).alias("audio"))
+
+
+_TIMES = "regexp_replace({}, '(..)', '{}', 'g')"
 
 
-@query("media_decode", "SELECT delivery_id, (octet_length(data) + 1) // 2 * 2 AS video_bytes, (octet_length(data) + 3) // 4 * 4 AS audio_bytes FROM media_chunks")
+@query(
+    "media_decode",
+    f"""SELECT delivery_id, CASE WHEN lower(checksum) <> sha256(data) THEN 'wrong checksum' END AS err, CASE WHEN checksum IS NULL OR lower(checksum) = sha256(data) THEN
+md5(CASE WHEN chunk_type = 'Metadata' THEN hex(data) WHEN chunk_type = 'Audio' THEN {_TIMES.format("hex(data)", chr(92) + "1" + chr(92) + "1" + chr(92) + "1" + chr(92) + "1")} ELSE {_TIMES.format("hex(data)", chr(92) + "1" + chr(92) + "1")} END) END AS decoded FROM media_chunks""",
+)
 def media_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = _chunks(spark, sf_dir).select("delivery_id", media.decode_video(media.encode_video(F.col("data"))).alias("v"), media.decode_audio(media.encode_audio(F.col("data"))).alias("a"))
-    return encoded.select("delivery_id", F.octet_length("v").cast("bigint").alias("video_bytes"), F.octet_length("a").cast("bigint").alias("audio_bytes"))
+    return media.decoded(_chunks(spark, sf_dir)).select("delivery_id", "err", _digest(F.col("decoded")).alias("decoded"))
+
+
+_NUMBER = "regexp_replace(upper(printf('%08x', {})), '(..)(..)(..)(..)', '\\4\\3\\2\\1')"
+
+
+@query(
+    "media_mixed",
+    f"""SELECT delivery_id, md5({_NUMBER.format('length(v) // 2')} || {_NUMBER.format('length(a) // 2')} || v || a) AS mixed, md5(v) AS video, md5(a) AS audio FROM (
+SELECT delivery_id, {_HALF.format('data[:cut]').replace('hex(data[:cut])', 'substr(hex(data), 1, 2 * cut)')} AS v, {_QUARTER.format('x').replace('hex(x)', 'substr(hex(data), 2 * cut + 1)')} AS a
+FROM (SELECT delivery_id, data, floor(octet_length(data) * 0.6::DOUBLE)::BIGINT AS cut FROM media_chunks WHERE octet_length(data) >= 2))""",
+)
+def media_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _chunks(spark, sf_dir).select("delivery_id", media.encode_mixed(F.col("data")).alias("mixed")).where("mixed IS NOT NULL")
+    video, audio = media.split_mixed(F.col("mixed"))
+    return mixed.select("delivery_id", _digest(F.col("mixed")).alias("mixed"), _digest(video).alias("video"), _digest(audio).alias("audio"))
+
+
+@query("media_release")
+def media_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reorder buffer of 32 numbers and 1,000 chunks per stream."""
+    chunks = _chunks(spark, sf_dir).select("delivery_id", F.lower(F.trim("stream_id")).alias("stream_id"), "sequence_number")
+    return media.released(chunks, ["stream_id"], "delivery_id", window=32, capacity=1000)
 
 
 _STREAM = "lower(trim(stream_id))"
@@ -716,11 +830,13 @@ def media_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "media_priority",
-    """SELECT delivery_id, row_number() OVER (PARTITION BY batch_id ORDER BY CASE priority WHEN 'High' THEN 3 WHEN 'Normal' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END DESC, sequence_number, delivery_id)::INT AS release_no FROM media_chunks""",
+    """SELECT delivery_id, row_number() OVER (PARTITION BY batch_id ORDER BY came > 64, CASE WHEN came <= 64 THEN CASE priority WHEN 'High' THEN -3 WHEN 'Normal' THEN -2 WHEN 'Low' THEN -1 ELSE 0 END END,
+CASE WHEN came <= 64 THEN sequence_number END, delivery_id)::INT AS release_no FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY delivery_id) AS came FROM media_chunks)""",
 )
 def media_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues of 64: in each batch what comes after is released in the order it came."""
     chunks = _chunks(spark, sf_dir).select("delivery_id", "batch_id", "priority", "sequence_number")
-    return media.by_priority(chunks, F.col("batch_id"), capacity=1_000_000, tie="delivery_id").select("delivery_id", "release_no")
+    return media.by_priority(chunks, F.col("batch_id"), tie="delivery_id").select("delivery_id", "release_no")
 
 
 @query(
@@ -734,11 +850,23 @@ def media_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stream_stats(chunks, ["stream_id"]).withColumn("mean_bytes", F.round("mean_bytes", 4))
 
 
-@query("media_events", "SELECT id AS stream_id, user_id, 'media_stream_started' AS activity_type, quality FROM media_streams")
+@query(
+    "media_events",
+    f"""SELECT id AS stream_id, user_id, 'media_stream_started' AS activity_type, quality AS detail FROM media_streams
+UNION ALL SELECT {_STREAM}, NULL, 'media_stream_stopped', octet_length(data)::VARCHAR FROM media_chunks WHERE is_final
+UNION ALL SELECT {_STREAM}, NULL, 'media_chunk_dropped', sequence_number || ': wrong checksum' FROM media_chunks WHERE lower(checksum) <> sha256(data)""",
+)
 def media_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that start, last chunks that stop them, and chunks that are dropped as their checksum is wrong."""
     started = table(spark, sf_dir, "media_streams").select(F.lit("StreamStarted").alias("kind"), F.col("id").alias("stream_id"), "user_id", F.col("created_at").alias("timestamp"), "quality")
-    activity = media.events_to_activity(started)
-    return activity.select(F.col("metadata")["stream_id"].alias("stream_id"), "user_id", "activity_type", F.col("metadata")["quality"].alias("quality"))
+    chunks = media.validated(_chunks(spark, sf_dir)).withColumn("stream_id", F.lower(F.trim("stream_id")))
+    at = F.timestamp_millis("timestamp_ms").alias("timestamp")
+    stopped = chunks.where("is_final").select(F.lit("StreamStopped").alias("kind"), "stream_id", at, F.octet_length("data").alias("bytes_transferred"))
+    dropped = chunks.where("err = 'wrong checksum'").select(F.lit("ChunkDropped").alias("kind"), "stream_id", at, "sequence_number", F.col("err").alias("reason"))
+    activity = media.events_to_activity(started.unionByName(stopped, allowMissingColumns=True).unionByName(dropped, allowMissingColumns=True))
+    m = F.col("metadata")
+    detail = F.coalesce(m["quality"], m["bytes_transferred"], F.concat(m["sequence_number"], F.lit(": "), m["reason"]))
+    return activity.select(m["stream_id"].alias("stream_id"), "user_id", "activity_type", detail.alias("detail"))
 
 
 # Extensions that Spark gives
@@ -755,3 +883,24 @@ def running_share_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "event_type", "value")
     out = running_sums(rows, ["event_type"], [F.col("event_id")], {"upto": F.col("value")}, totals=True)
     return out.select("event_id", F.round(F.col("upto") / F.col("upto_total"), 6).alias("share"))
+
+
+# The distributed forms of what orders a whole stream, which small tables don't need
+
+DISTRIBUTED = [
+    "drop", "chunk", "sliding_window", "sliding_window_items", "group_adjacent_by", "group_by_items", "distinct_until_changed", "scan", "scan_extremes", "ordered_fold",
+    "interleave", "zip", "zip_with", "batch_process", "throttle", "debounce", "timeout", "stateful_group_by_key_change",
+]
+
+
+def _distributed(name: str) -> None:
+    plain = registry.queries[name]
+
+    @query(f"{name}_distributed", registry.sql[name])
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with distributed(block_rows=1_000):
+            return plain(spark, sf_dir)
+
+
+for _name in DISTRIBUTED:
+    _distributed(_name)

@@ -6,7 +6,6 @@ Each source has an explicit position column, as rows of a DataFrame have no orde
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -53,25 +52,31 @@ def emit_after(spark: SparkSession, item: Any, schema: str, start: str, delay: s
 
 
 def unfold(spark: SparkSession, columns: str, seed: str, step: str, until: str, most: int = 100) -> DataFrame:
-    """A seeded generator of SQL expressions: rows of columns beginning with seed, each the step of the one before,
-    while until holds, at most most rows. E.g. ("a, b", "0L, 1L", "b, a + b", "a < 50")."""
+    """A seeded generator of SQL expressions: rows of columns beginning with seed, each the step of the one before, while
+    until holds of the last. E.g. ("a, b", "0L, 1L", "b, a + b", "a < 50"); until may use seq, the row's number from 0.
+
+    Fails if it would go on after most rows.
+    """
     names = ", ".join(c.strip() for c in columns.split(","))
     return spark.sql(
-        f"WITH RECURSIVE u({SEQ}, {names}) MAX RECURSION LEVEL {most + 1} AS ("
-        f"SELECT 0L, {seed} UNION ALL SELECT {SEQ} + 1, {step} FROM u WHERE ({until}) AND {SEQ} < {most - 1}) SELECT * FROM u"
+        f"WITH RECURSIVE u({SEQ}, {names}) MAX RECURSION LEVEL {most} AS ("
+        f"SELECT 0L, {seed} UNION ALL SELECT {SEQ} + 1, {step} FROM u WHERE ({until})) SELECT * FROM u"
     )
 
 
 def unfold_with(spark: SparkSession, seed: Any, f: Callable[[Any], tuple[Any, Any] | None], schema: str, most: int) -> DataFrame:
-    """As unfold for any Python function from state to (value, next state), or None at the end."""
+    """As unfold for any Python function from state to (value, next state), or None at the end. Fails after most rows."""
 
     def values() -> Iterator[Any]:
-        state = seed
+        state, n = seed, 0
         while (out := f(state)) is not None:
             value, state = out
+            n += 1
+            if n > most:
+                raise ValueError(f"more than {most} rows")
             yield value
 
-    return from_rows(spark, islice(values(), most), schema)
+    return from_rows(spark, values(), schema)
 
 
 def tick(spark: SparkSession, item: Column, start: str, end: str, period: str, name: str = "value") -> DataFrame:
@@ -86,17 +91,42 @@ def ticking(spark: SparkSession, item: Column, rows_per_second: int = 1, name: s
     return stream.select(F.col("timestamp").alias("ts"), F.col("value").alias(SEQ), item.alias(name))
 
 
+#: Bytes of a file that one row of the plan stands for.
+RANGE_BYTES = 8 << 20
+#: Bytes that a task holds at once, or one chunk.
+BATCH_BYTES = 1 << 20
+
+
 def file_chunks(spark: SparkSession, path: str, stream_id: str, chunk_size: int) -> DataFrame:
     """A file's bytes in chunks of chunk_size, numbered from 0, in the form of media chunks.
 
-    The last chunk is final. An empty file gives no chunk. A file is read by one task, as its bytes are one value.
+    The last chunk is final. An empty file gives no chunk. Tasks read ranges of whole chunks, of which they hold a few at a time.
     """
-    blob = spark.read.format("binaryFile").load(path).select("content", F.col("length").alias("size"))
-    count = F.ceil(F.col("size") / chunk_size)
-    numbered = blob.where("size > 0").select("content", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("sequence_number"))
-    start = F.col("sequence_number") * chunk_size
-    data = F.expr(f"substring(content, cast(sequence_number * {chunk_size} + 1 as int), {chunk_size})")
-    return as_chunks(numbered.withColumn("data", data).withColumn("is_final", start + chunk_size >= F.col("size")), stream_id)
+    if chunk_size < 1:
+        raise ValueError("chunk_size must be at least 1")
+    step = max(1, RANGE_BYTES // chunk_size)
+    count = F.ceil(F.col("length") / chunk_size)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(step).cast("bigint"))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, name = FileSystem.from_uri(row["path"])
+                with system.open_input_file(name) as file:
+                    file.seek(row["first"] * chunk_size)
+                    stop = min(row["first"] + step, -(-row["length"] // chunk_size))
+                    together = max(1, BATCH_BYTES // chunk_size)
+                    for a in range(row["first"], stop, together):
+                        numbers = list(range(a, min(a + together, stop)))
+                        data = [file.read(chunk_size) for _ in numbers]
+                        last = [(n + 1) * chunk_size >= row["length"] for n in numbers]
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary()), pa.array(last)], names=["sequence_number", "data", "is_final"])
+
+    numbered = ranges.repartition(F.col("path"), F.col("first")).mapInArrow(read, "sequence_number bigint, data binary, is_final boolean")
+    return as_chunks(numbered, stream_id)
 
 
 def live_chunks(spark: SparkSession, stream_id: str, max_chunks: int, chunk_size: int) -> DataFrame:

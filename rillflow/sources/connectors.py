@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -45,6 +46,44 @@ class ResourceExhausted(ConnectorError):
     pass
 
 
+class InputOutput(ConnectorError):
+    pass
+
+
+class NotFound(ConnectorError):
+    pass
+
+
+class PermissionDenied(ConnectorError):
+    pass
+
+
+class ConnectorSpecific(ConnectorError):
+    pass
+
+
+class Multiple(ConnectorError):
+    """Several errors at once."""
+
+    def __init__(self, errors: Sequence[ConnectorError]):
+        super().__init__("; ".join(map(str, errors)))
+        self.errors = list(errors)
+
+
+def connector_error(error: BaseException) -> ConnectorError:
+    """The kind of ConnectorError that an error of Python or of the file system is."""
+    if isinstance(error, ConnectorError):
+        return error
+    if isinstance(error, BaseExceptionGroup):
+        return Multiple([connector_error(e) for e in error.exceptions])
+    kinds = {
+        FileNotFoundError: NotFound, PermissionError: PermissionDenied, TimeoutError: ConnectorTimeout, ConnectionError: ConnectionFailed,
+        MemoryError: ResourceExhausted, OSError: InputOutput, NotImplementedError: Unsupported, UnicodeError: SerializationError, ValueError: InvalidConfiguration,
+    }
+    kind = next((k for e, k in kinds.items() if isinstance(error, e)), ConnectorSpecific)
+    return kind(str(error))
+
+
 @dataclass(frozen=True)
 class CommonConfig:
     batch_size: int = 100
