@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.plans.ordering import col, free_name
 from rillflow.plans.storage import shuffle_width
 
 #: Entities per emitted batch; a batch holds ROWS x (3 types + 5) values of 8 bytes.
@@ -30,11 +31,23 @@ NO_TIME = np.iinfo(np.int64).min
 
 def wide_features(events: DataFrame, types: Sequence[str], entity: str, kind: Column, at: Column) -> DataFrame:
     """events -> entity, n_messages, n_types, first_ms, last_ms and n_<t>, first_ms_<t>, last_ms_<t> per type."""
+    number = free_name(events, "__number")
+    return numbered_features(with_type_number(events, types, kind, number), types, entity, col(number), at)
+
+
+def with_type_number(events: DataFrame, types: Sequence[str], kind: Column, name: str) -> DataFrame:
+    """events with the place of their type in types, null if it is unknown: a number is cheaper to move than a name."""
     if len(types) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} types can't become columns")
-    known = events.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "name string, number int")
-    rows = events.where(F.col(entity).isNotNull()).select(F.col(entity).cast("bigint").alias("entity"), kind.alias("name"), at.alias("ms"))
-    numbered = rows.join(F.broadcast(known), "name", "left").select("entity", F.coalesce("number", F.lit(-1)).alias("kind"), "ms")
+    known = events.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "__name string, __number_of smallint")
+    joined = events.withColumn("__kind", kind).join(F.broadcast(known), F.col("__kind") == F.col("__name"), "left")
+    return joined.select(*(col(c) for c in events.columns), F.col("__number_of").alias(name))
+
+
+def numbered_features(events: DataFrame, types: Sequence[str], entity: str, number: Column, at: Column) -> DataFrame:
+    """As wide_features, of events whose types are numbered already."""
+    rows = events.where(F.col(entity).isNotNull())
+    numbered = rows.select(F.col(entity).cast("bigint").alias("entity"), F.coalesce(number.cast("int"), F.lit(-1)).alias("kind"), at.alias("ms"))
     runs = numbered.mapInArrow(_runs, "entity bigint, kind int, n bigint, first bigint, last bigint")
     streamed = runs.repartition(shuffle_width(events), "entity").sortWithinPartitions("entity", "kind")
     fields = [f"{entity} bigint", "n_messages bigint", "n_types bigint", "first_ms bigint", "last_ms bigint"]

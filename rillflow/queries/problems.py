@@ -36,10 +36,11 @@ def activity_types(spark: SparkSession, sf_dir: str) -> list[str]:
 
 @registry.query("p1_user_features")
 def p1_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = activity_messages(
-        spark, sf_dir, F.col("user_id"), snake_key(F.col("activity_type")).alias("kind"), epoch_ms(F.col("timestamp")).alias("ms")
-    )
-    return features.wide_features(messages, activity_types(spark, sf_dir), "user_id", F.col("kind"), F.col("ms"))
+    types = activity_types(spark, sf_dir)
+    rows = features.with_type_number(activity_rows(spark, sf_dir), types, snake_key(F.col("activity_type")), "number")
+    key = delivery.activity_key(F.col("id"), F.col("delivery_id"))
+    messages = delivery.collapse(rows, key, "delivery_id", [F.col("user_id"), epoch_ms(F.col("timestamp")).alias("ms"), F.col("number")])
+    return features.numbered_features(messages, types, "user_id", F.col("number"), F.col("ms"))
 
 
 def p1_sql(types: list[str]) -> str:
