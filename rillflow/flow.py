@@ -193,14 +193,17 @@ class Flow:
     def keyed_scan(self, inputs: Sequence[Column], init: Any, step: Callable[..., tuple[Any, tuple | None]], schema: str) -> Flow:
         return self._with(keyed.keyed_scan(self.df, self.key, self.order, inputs, init, step, schema))
 
+    def scan_associative(self, value: Column, f: Callable[[Any, Any], Any], name: str, kind: str) -> Flow:
+        return self._with(keyed.scan_associative(self.df, self.key, self.order, value, f, name, kind))
+
     def keyed_reduce(self, value: Column, f: Callable[[Any, Any], Any], schema: str) -> Flow:
         return self._with(keyed.keyed_reduce(self.df, self.key, self.order, value, f, schema))
 
     def distinct_until_changed_by(self, value: Column, same: Callable[[Any, Any], bool]) -> Flow:
         return self._with(keyed.distinct_until_changed_by(self.df, self.order, value, same, self.key))
 
-    def stateful_session(self, timeout_us: int) -> Flow:
-        return self._with(keyed.stateful_session(self.df, self.key, self.order, self._timed(), timeout_us))
+    def stateful_session(self, timeout_us: int, spread: bool = False) -> Flow:
+        return self._with(keyed.stateful_session(self.df, self.key, self.order, self._timed(), timeout_us, spread))
 
     def stateful_deduplicate(self, ttl_us: int) -> Flow:
         order = [self._timed(), *(o for o in self.order if o != self.ts)]
@@ -210,14 +213,14 @@ class Flow:
         order = [self._timed(), *(o for o in self.order if o != self.ts)]
         return self._with(keyed.stateful_throttle(self.df, self.key, order, self._timed(), limit, window_us, policy))
 
-    def stateful_window(self, size: int, slide: int | None = None, emit_partial: bool = False, **aggregates: Column) -> DataFrame:
-        return keyed.stateful_window(self.df, self.key, self.order, size, aggregates, slide, emit_partial)
+    def stateful_window(self, size: int, slide: int | None = None, emit_partial: bool = False, spread: bool = False, **aggregates: Column) -> DataFrame:
+        return keyed.stateful_window(self.df, self.key, self.order, size, aggregates, slide, emit_partial, spread)
 
-    def stateful_pattern(self, size: int, item: str, pattern: Callable[[Column], Column]) -> DataFrame:
-        return keyed.stateful_pattern(self.df, self.key, self.order, size, item, pattern)
+    def stateful_pattern(self, size: int, item: str, pattern: Callable[[Column], Column], spread: bool = False) -> DataFrame:
+        return keyed.stateful_pattern(self.df, self.key, self.order, size, item, pattern, spread)
 
-    def stateful_group_by(self, max_size: int | None = None, emit_on_key_change: bool = False, **aggregates: Column) -> DataFrame:
-        return keyed.stateful_group_by(self.df, self.key, self.order, aggregates, max_size, emit_on_key_change)
+    def stateful_group_by(self, max_size: int | None = None, emit_on_key_change: bool = False, spread: bool = False, **aggregates: Column) -> DataFrame:
+        return keyed.stateful_group_by(self.df, self.key, self.order, aggregates, max_size, emit_on_key_change, spread)
 
     def stateful_group_by_advanced(self, max_size: int | None = None, timeout_us: int | None = None, emit_on_key_change: bool = False, **aggregates: Column) -> DataFrame:
         return keyed.stateful_group_by_advanced(self.df, self.key, self.order, self._timed(), aggregates, max_size, timeout_us, emit_on_key_change)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators import lateness
 from rillflow.plans.ordering import col
 
 SECOND_US = 1_000_000
@@ -50,6 +51,25 @@ def window_by_time(df: DataFrame, ts: str, config: TimeWindowConfig, aggregates:
     return out.select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *(col(b) for b in by), *aggregates)
 
 
+def window_by_arrival(df: DataFrame, arrival: str, ts: str, config: TimeWindowConfig, aggregates: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """As window_by_time, with lateness as a policy of its own: a window is corrected by each late row until the watermark
+    before that row (the greatest time of the rows that arrived before, less the delay) has passed its end by the allowed
+    lateness; later rows don't count. arrival is a unique whole number that rises with arrival. Times are taken in whole
+    milliseconds; rows without time are left out.
+    """
+    sizes = (config.size_us, config.slide_us, config.watermark_delay_us, config.allowed_lateness_us)
+    if any(us % 1000 for us in sizes):
+        raise ValueError("times must be whole milliseconds")
+    at = F.unix_millis(col(ts).cast("timestamp"))
+    rows = df.select(col(arrival).cast("bigint").alias("seq"), F.lit("").alias("stream_name"), at.alias("ms"), F.lit(None).cast("bigint").alias("event_id"))
+    names = ("window_size", "slide_interval", "watermark_delay", "allowed_lateness")
+    conf = df.sparkSession.range(1).select(F.lit("").alias("stream_name"), *(F.lit(us // 1000).cast("bigint").alias(n) for n, us in zip(names, sizes, strict=True)))
+    admitted = lateness.window_admissions(rows, conf, lateness.registers(rows)).select(F.col("seq").alias("__seq"), F.col("window_start_ms").alias("__start"), F.col("window_end_ms").alias("__end"))
+    joined = df.join(admitted, col(arrival).cast("bigint") == F.col("__seq"))
+    out = joined.groupBy("__start", "__end", *(col(b) for b in by)).agg(*(a.alias(n) for n, a in aggregates.items()))
+    return out.select(F.timestamp_millis("__start").alias("window_start"), F.timestamp_millis("__end").alias("window_end"), *(col(b) for b in by), *aggregates)
+
+
 def completed(windows: DataFrame, watermark: Column) -> DataFrame:
     """The windows whose end the watermark has reached."""
     return windows.where(F.col("window_end") <= watermark)

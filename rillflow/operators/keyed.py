@@ -1,7 +1,8 @@
 """Keyed stateful operators in batch form: state by key over rows in a unique order, time by an event-time column.
 
 Running states are windows partitioned by key; Spark sorts and spills, and no window holds more than its frame. With
-``spread=True`` running sums go through range partitions with offsets instead, for keys that hold much of all rows.
+``spread=True`` positions, running sums and neighbours come from range partitions with offsets and blocks instead, for
+keys that hold much of all rows.
 Recurrences that no window can express (greedy time-to-live, throttling, group timeouts) are streamed over partitions
 sorted by key with constant memory: only the state of the current key is kept.
 """
@@ -21,8 +22,9 @@ from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 from rillflow.operators.eventtime import TimeJoinConfig, join_with_time_window
-from rillflow.plans.ordering import changes, col, running_sums
-from rillflow.plans.storage import shuffle_width
+from rillflow.plans.ordering import block_window, blocked, changes, col, free_name, own_rows, running_sums, with_position
+from rillflow.plans.sizing import written_if_small
+from rillflow.plans.storage import materialize, shuffle_width
 
 #: Items of a group that are handed on together when no size is given.
 GROUP_ITEMS = 10_000
@@ -59,9 +61,22 @@ def stateful_filter(df: DataFrame, key: Sequence[str], order: Sequence[str], sta
     return stateful_map(df, key, order, **state).where(predicate).drop(*state)
 
 
-def stateful_session(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, timeout_us: int) -> DataFrame:
+def _placed(df: DataFrame, key: Sequence[str], order: Sequence[str], spread: bool) -> DataFrame:
+    """df with __rn, the place of each row in its key; with spread by range partitions and offsets."""
+    if spread:
+        return with_position(df, [col(o) for o in order], "__rn", key)
+    return df.withColumn("__rn", F.row_number().over(key_window(key, order)).cast("bigint"))
+
+
+def stateful_session(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, timeout_us: int, spread: bool = False) -> DataFrame:
     """Add is_new, true after a pause longer than the timeout (false for a key's first row), and session_id from 1."""
     us = F.unix_micros(col(ts).cast("timestamp"))
+    if spread:
+        framed = blocked(df.withColumn("__us", us), [col(o) for o in order], key, before=1)
+        gap = F.col("__us") - F.lag("__us").over(block_window(key))
+        marked = own_rows(framed.withColumn("is_new", F.coalesce(gap > timeout_us, F.lit(False)))).drop("__us")
+        summed = running_sums(marked, key, [F.col("rn")], {"session_id": F.col("is_new").cast("bigint")}, label="sessions")
+        return summed.withColumn("session_id", F.col("session_id") + 1).drop("rn")
     gap = us - F.lag(us).over(key_window(key, order))
     marked = df.withColumn("is_new", F.coalesce(gap > timeout_us, F.lit(False)))
     return marked.withColumn("session_id", F.lit(1) + F.sum(F.col("is_new").cast("bigint")).over(upto(key, order)))
@@ -76,8 +91,9 @@ def session_windows(df: DataFrame, key: Sequence[str], ts: str, timeout: str, ag
 
 
 def stateful_window(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], size: int, aggregates: dict[str, Column], slide: int | None = None, emit_partial: bool = False
-) -> DataFrame:
+    df: DataFrame, key: Sequence[str], order: Sequence[str], size: int, aggregates: dict[str, Column], slide: int | None = None, emit_partial: bool = False,
+    spread: bool = False,
+) -> DataFrame:
     """Count windows of each key: window_no from 0, n_rows and aggregates. A slide of the size or more tumbles.
 
     Windows of size rows begin every slide rows; with emit_partial the rows not begun a full window with make one more.
@@ -85,8 +101,14 @@ def stateful_window(
     if size < 1 or (slide is not None and slide < 1):
         raise ValueError("size and slide must be at least 1")
     step = slide if slide is not None and slide < size else size
-    placed = df.withColumn("__rn", F.row_number().over(key_window(key, order)).cast("bigint"))
-    total = F.count(F.lit(1)).over(Window.partitionBy(*(col(k) for k in key)))
+    placed = _placed(df, key, order, spread)
+    if spread:
+        counts = df.groupBy(*(col(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(F.count(F.lit(1)).alias("__total"))
+        same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+        placed = placed.join(written_if_small(counts, "counts"), same).drop(*(f"__k{i}" for i in range(len(key))))
+    else:
+        placed = placed.withColumn("__total", F.count(F.lit(1)).over(Window.partitionBy(*(col(k) for k in key))))
+    total = F.col("__total")
     placed = placed.withColumn("__full", F.when(total < size, F.lit(0)).otherwise(F.floor((total - size) / step) + 1).cast("bigint"))
     rn, full = F.col("__rn"), F.col("__full")
     first = F.greatest(F.lit(0), F.ceil((rn - size) / step)).cast("bigint")
@@ -98,9 +120,9 @@ def stateful_window(
     return each.groupBy(*(col(k) for k in key), "window_no").agg(F.count(F.lit(1)).alias("n_rows"), *(a.alias(n) for n, a in aggregates.items()))
 
 
-def stateful_pattern(df: DataFrame, key: Sequence[str], order: Sequence[str], size: int, item: str, pattern: Callable[[Column], Column]) -> DataFrame:
+def stateful_pattern(df: DataFrame, key: Sequence[str], order: Sequence[str], size: int, item: str, pattern: Callable[[Column], Column], spread: bool = False) -> DataFrame:
     """Successive batches of size rows of each key; pattern maps the array of their items to a result, null being none."""
-    placed = df.withColumn("__rn", F.row_number().over(key_window(key, order)))
+    placed = _placed(df, key, order, spread)
     number = F.floor((F.col("__rn") - 1) / size).cast("bigint").alias("batch_no")
     rows = F.sort_array(F.collect_list(F.struct("__rn", col(item).alias("v"))))
     full = placed.groupBy(*(col(k) for k in key), number).agg(F.transform(rows, lambda x: x["v"]).alias("__items")).where(F.size("__items") == size)
@@ -113,8 +135,9 @@ def stateful_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts_lef
 
 
 def stateful_group_by(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], aggregates: dict[str, Column], max_size: int | None = None, emit_on_key_change: bool = False
-) -> DataFrame:
+    df: DataFrame, key: Sequence[str], order: Sequence[str], aggregates: dict[str, Column], max_size: int | None = None, emit_on_key_change: bool = False,
+    spread: bool = False,
+) -> DataFrame:
     """Groups of each key's rows: group_no from 0, n_rows and aggregates; at most max_size rows in each.
 
     With emit_on_key_change a group ends too where the next row of the whole stream has another key.
@@ -130,7 +153,7 @@ def stateful_group_by(
             .groupBy("run", *(col(k) for k in key), "group_no")
             .agg(F.count(F.lit(1)).alias("n_rows"), *(a.alias(n) for n, a in aggregates.items()))
         )
-    placed = df.withColumn("__rn", F.row_number().over(key_window(key, order)))
+    placed = _placed(df, key, order, spread)
     number = F.floor((F.col("__rn") - 1) / size).cast("bigint").alias("group_no")
     return placed.groupBy(*(col(k) for k in key), number).agg(F.count(F.lit(1)).alias("n_rows"), *(a.alias(n) for n, a in aggregates.items()))
 
@@ -185,8 +208,14 @@ def keyed_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], inputs:
     sort = [F.col(f"c{i}") for i in [*at, *(names.index(o) for o in order)]]
     spread = wide.repartition(shuffle_width(df), *sort[: len(at)]) if at else wide.repartition(1)
     ordered = spread.sortWithinPartitions(*sort)
-    width, n_inputs, added = len(df.columns), len(inputs), _parsed(schema)
-    arrow = to_arrow_schema(added)
+    added = _parsed(schema)
+    fields = [StructField(f"c{j}", f.dataType) for j, f in enumerate([*df.schema.fields, *added.fields])]
+    run = _scanning(at, len(df.columns), len(inputs), init, step, to_arrow_schema(added))
+    return ordered.mapInArrow(run, StructType(fields)).toDF(*df.columns, *added.names)
+
+
+def _scanning(at: list[int], width: int, n_inputs: int, init: Any, step: Callable[..., tuple[Any, tuple | None]], arrow: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds sorted batches by the key columns numbered at; the n_inputs columns from width on become those of arrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: pa.RecordBatch | None = None
@@ -214,8 +243,7 @@ def keyed_scan(df: DataFrame, key: Sequence[str], order: Sequence[str], inputs:
             columns = [pa.array([o[j] for o in out], f.type) for j, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[f"c{j}" for j in range(width + len(arrow))])
 
-    fields = [StructField(f"c{j}", f.dataType) for j, f in enumerate([*df.schema.fields, *added.fields])]
-    return ordered.mapInArrow(run, StructType(fields)).toDF(*df.columns, *added.names)
+    return run
 
 
 def _parsed(schema: str) -> StructType:
@@ -225,12 +253,48 @@ def _parsed(schema: str) -> StructType:
 def keyed_reduce(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, f: Callable[[Any, Any], Any], schema: str) -> DataFrame:
     """Every intermediate value of reducing each key's values in order with any function; the first stands for itself.
     A null value leaves the result as it is."""
+    return keyed_scan(df, key, order, [value], (), _reducing(f), schema)
+
+
+def scan_associative(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, f: Callable[[Any, Any], Any], name: str, kind: str) -> DataFrame:
+    """Every intermediate value of reducing each key's values (without key columns, the stream's) in order by an associative
+    function, however many rows a key has; the first stands for itself, a null leaves the result as it is.
+
+    Sorted range partitions are reduced as they are written; what earlier partitions hold of a key, one row per key and
+    partition that hold each other, is reduced in order and put in front when they are read.
+    """
+    place, local, groups = free_name(df, "__place"), free_name(df, "__local"), [col(k) for k in key]
+    sort = [*groups, *(col(o) for o in order)]
+    spread = df.repartitionByRange(shuffle_width(df), *sort).sortWithinPartitions(*sort).withColumn(place, F.monotonically_increasing_id())
+    added = _parsed(f"held {kind}")
+    fields = [StructField(f"c{j}", x.dataType) for j, x in enumerate([*spread.schema.fields, *added.fields])]
+    numbered = spread.select(*(col(c) for c in spread.columns), value).toDF(*(f"c{j}" for j in range(len(fields))))
+    run = _scanning([spread.columns.index(k) for k in key], len(spread.columns), 1, (), _reducing(f), to_arrow_schema(added))
+    ranged = materialize(numbered.mapInArrow(run, StructType(fields)).toDF(*spread.columns, local), "reduced")
+    part = F.shiftright(col(place), 33)
+    names = [f"__k{i}" for i in range(len(key))]
+    ends = ranged.groupBy(*(g.alias(n) for g, n in zip(groups, names, strict=True)), part.alias("__p")).agg(F.max_by(col(local), col(place)).alias("__end"))
+
+    def before(held: tuple, v: Any) -> tuple[tuple, tuple]:
+        return _reducing(f)(held, v)[0], held or (None,)
+
+    ahead = keyed_scan(ends, names, ["__p"], [F.col("__end")], (), before, f"__ahead {kind}").drop("__end")
+    same = [g.eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)] + [part == F.col("__p")]
+    joined = ranged.join(written_if_small(ahead, "ahead"), same)
+
+    @F.udf(kind, useArrow=True)
+    def both(ahead_value: Any, own: Any) -> Any:
+        return own if ahead_value is None else ahead_value if own is None else f(ahead_value, own)
+
+    return joined.select(*(col(c) for c in df.columns), both(F.col("__ahead"), col(local)).alias(name))
+
 
+def _reducing(f: Callable[[Any, Any], Any]) -> Callable[[tuple, Any], tuple[tuple, tuple]]:
     def step(held: tuple, v: Any) -> tuple[tuple, tuple]:
         held = held if v is None else (f(held[0], v),) if held else (v,)
         return held, held or (None,)
 
-    return keyed_scan(df, key, order, [value], (), step, schema)
+    return step
 
 
 def distinct_until_changed_by(df: DataFrame, order: Sequence[str], value: Column, same: Callable[[Any, Any], bool], key: Sequence[str] = ()) -> DataFrame:

@@ -117,13 +117,18 @@ def hash_group_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], item
     return df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n"), rows.alias("items"))
 
 
-def distinct_until_changed(df: DataFrame, order: Sequence[str], value: Column, key: Sequence[str] = (), nan_differs: bool = False) -> DataFrame:
+def distinct_until_changed(
+    df: DataFrame, order: Sequence[str], value: Column, key: Sequence[str] = (), nan_differs: bool = False, spread: bool = False
+) -> DataFrame:
     """Leave out a row whose value equals that of the row before (of its key). The first stays, even if null.
 
-    With nan_differs, NaN differs from NaN, as in IEEE comparisons.
+    With nan_differs, NaN differs from NaN, as in IEEE comparisons. spread is for keys that hold much of all rows.
     """
     seen = df.withColumn("__value", value)
-    if key:
+    if key and spread:
+        seen = blocked(seen, _columns(order), key, before=1)
+        before, first = F.lag("__value").over(block_window(key)), F.col("rn") == 1
+    elif key:
         before = F.lag("__value").over(Window.partitionBy(*(col(k) for k in key)).orderBy(*_columns(order)))
         first = F.row_number().over(Window.partitionBy(*(col(k) for k in key)).orderBy(*_columns(order))) == 1
     else:
@@ -134,7 +139,7 @@ def distinct_until_changed(df: DataFrame, order: Sequence[str], value: Column, k
     if nan_differs:
         same = same & ~F.coalesce(F.isnan("__value"), F.lit(False))
     kept = marked.where(F.col("__first") | ~same).drop("__before", "__first", "__value")
-    return kept if key else own_rows(kept).drop("rn")
+    return kept if key and not spread else own_rows(kept).drop("rn")
 
 
 def scan(df: DataFrame, order: Sequence[str], **sums: Column) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 @dataclass(frozen=True)
@@ -162,3 +164,25 @@ class ResourceManager:
         self.memory = sum(int(s.get("memoryUsedBytes", 0)) for s in state)
         self.peak_memory = max(self.peak_memory, self.memory)
         self.keys = sum(int(s.get("numRowsTotal", 0)) for s in state)
+
+
+def watch(spark: SparkSession, manager: ResourceManager, name: str | None = None) -> StreamingQueryListener:
+    """Keep manager up to date from the progress of streaming queries (of one name, if given) until the listener is removed."""
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+            pass
+
+        def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+            if name is None or event.progress.name == name:
+                manager.update_from_progress(json.loads(event.progress.json))
+
+        def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+            pass
+
+        def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+            pass
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    return listener

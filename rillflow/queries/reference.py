@@ -430,6 +430,19 @@ def window_by_time_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_millis("window_start").alias("start_ms"), "event_type", "n")
 
 
+@query(
+    "window_by_arrival",
+    """WITH w AS (SELECT event_id, value, epoch_ms(ts) AS ms, max(epoch_ms(ts)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60000 AS mark FROM events),
+x AS (SELECT *, unnest([ms // 600000 * 600000, ms // 600000 * 600000 - 600000]) AS s FROM w)
+SELECT s AS start_ms, count(*) AS n, round(sum(value), 2) AS total FROM x WHERE ms < s + 1200000 AND (mark IS NULL OR mark < s + 1200000 + 120000) GROUP BY 1""",
+)
+def window_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = 60_000_000
+    rows = events(spark, sf_dir).select("event_id", "ts", "value")
+    out = eventtime.window_by_arrival(rows, "event_id", "ts", TimeWindowConfig(20 * minute, 10 * minute, minute, 2 * minute), {"n": F.count(F.lit(1)), "total": F.sum("value")})
+    return out.select(F.unix_millis("window_start").alias("start_ms"), "n", cents("total").alias("total"))
+
+
 @query("windows_completed", "SELECT epoch_ms(date_trunc('day', ts)) AS start_ms, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)")
 def windows_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
@@ -885,6 +898,51 @@ def running_share_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round(F.col("upto") / F.col("upto_total"), 6).alias("share"))
 
 
+# The forms for keys that hold much of all rows
+
+
+@query("stateful_session_spread", registry.sql["stateful_session"])
+def stateful_session_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.stateful_session(_keyed(spark, sf_dir), ["user_id"], ORDER, "ts", 6 * HOUR_US, spread=True).select("event_id", "is_new", "session_id")
+
+
+@query("stateful_window_spread", registry.sql["stateful_window_partial"])
+def stateful_window_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = keyed.stateful_window(_keyed(spark, sf_dir), ["user_id"], ORDER, 10, {"total": F.sum("value")}, slide=4, emit_partial=True, spread=True)
+    return out.withColumn("total", cents("total"))
+
+
+@query("stateful_pattern_spread", registry.sql["stateful_pattern"])
+def stateful_pattern_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def funnel(items: Column) -> Column:
+        path = F.array_join(items, ">")
+        return F.when(path.like("%click%purchase%"), path)
+
+    return keyed.stateful_pattern(_keyed(spark, sf_dir), ["user_id"], ORDER, 3, "event_type", funnel, spread=True)
+
+
+@query("stateful_group_by_spread", registry.sql["stateful_group_by"])
+def stateful_group_by_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = keyed.stateful_group_by(_keyed(spark, sf_dir), ["user_id"], ORDER, {"total": F.sum("value")}, max_size=25, spread=True)
+    return out.withColumn("total", cents("total"))
+
+
+@query("scan_associative", """WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events), s AS (SELECT event_id, rn, event_id % 1000003 AS v FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.rn, (s.v * (e.event_id % 1000 + 1)) % 1000003 FROM s JOIN e ON e.rn = s.rn + 1) SELECT event_id, v::BIGINT AS product FROM s""")
+def scan_associative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running products modulo a prime over the whole stream."""
+    rows = events(spark, sf_dir).select("event_id")
+    first = rows.agg(F.min("event_id")).first()[0]
+    factor = F.when(F.col("event_id") == first, F.col("event_id") % 1000003).otherwise(F.col("event_id") % 1000 + 1)
+    return keyed.scan_associative(rows, [], ORDER, factor, lambda a, b: a * b % 1000003, "product", "bigint")
+
+
+@query("distinct_until_changed_by_key_spread", registry.sql["distinct_until_changed_by_key"])
+def distinct_until_changed_by_key_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    return sequence.distinct_until_changed(rows, ORDER, F.col("event_type"), key=["user_id"], spread=True)
+
+
 # The distributed forms of what orders a whole stream, which small tables don't need
 
 DISTRIBUTED = [

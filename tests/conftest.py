@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from rillflow.plans.storage import release  # noqa: E402
 from rillflow.session import local_session  # noqa: E402
 
 
@@ -14,4 +15,5 @@ from rillflow.session import local_session  # noqa: E402
 def spark():
     session = local_session("tests", 4, **{"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     yield session
+    release(session)
     session.stop()

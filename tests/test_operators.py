@@ -44,6 +44,11 @@ def test_sources(spark):
     fib = builders.unfold(spark, "a, b", "0, 1", "b, a + b", "a < 30", most=50)
     assert xs(fib, "a") == [0, 1, 1, 2, 3, 5, 8, 13, 21, 34]
     assert xs(builders.unfold_with(spark, 1, lambda s: (s, s * 2) if s < 20 else None, "x int", 100)) == [1, 2, 4, 8, 16]
+    assert builders.unfold(spark, "a", "0", "a + 1", "seq < 4").count() == 5
+    with pytest.raises(Exception):  # noqa: B017, it goes on
+        builders.unfold(spark, "a", "0", "a + 1", "true", most=20).collect()
+    with pytest.raises(ValueError):
+        builders.unfold_with(spark, 1, lambda s: (s, s), "x int", 10)
     assert builders.repeat(spark, F.lit(1), 7).count() == 7
     assert builders.tick(spark, F.lit("t"), "2025-01-01 00:00:00", "2025-01-01 00:01:00", "20 seconds").count() == 4
     assert builders.ticking(spark, F.lit(1)).isStreaming
@@ -56,6 +61,13 @@ def test_file_chunks(spark, tmp_path):
     chunks = builders.file_chunks(spark, str(path), "s", 100).orderBy("sequence_number").collect()
     assert b"".join(bytes(c.data) for c in chunks) == data
     assert [c.is_final for c in chunks] == [False] * 7 + [True]
+    few = builders.RANGE_BYTES, builders.BATCH_BYTES
+    builders.RANGE_BYTES, builders.BATCH_BYTES = 250, 150
+    try:
+        again = builders.file_chunks(spark, str(path), "s", 100).orderBy("sequence_number").collect()
+    finally:
+        builders.RANGE_BYTES, builders.BATCH_BYTES = few
+    assert again == chunks
     (tmp_path / "none").write_bytes(b"")
     assert builders.file_chunks(spark, str(tmp_path / "none"), "s", 100).count() == 0
 
@@ -332,3 +344,78 @@ def test_flow(spark):
         Flow.of(df, ["nothing"])
     with pytest.raises(ValueError):
         Flow.of(df, ["seq"]).debounce(1)
+
+
+KEYED = [("a", 1, 3), ("a", 2, None), ("b", 3, 5), (None, 4, 7), ("a", 5, 4), (None, 6, 1), ("b", 7, 5)]
+
+
+def test_keyed_scans_of_any_function(spark):
+    df = spark.createDataFrame(KEYED, "`k.1` string, i bigint, v bigint")
+    out = keyed.keyed_scan(df, ["k.1"], ["i"], [F.col("v"), F.col("i")], lambda: [10], lambda s, v, i: ([*s, v], (len(s) + 1, i) if v != 4 else None), "n int, `i 2` bigint")
+    assert sorted((r.i, r.n, r["i 2"]) for r in out.collect()) == [(1, 2, 1), (2, 3, 2), (3, 2, 3), (4, 2, 4), (6, 3, 6), (7, 3, 7)]
+    best = keyed.keyed_reduce(df, ["k.1"], ["i"], F.col("v"), max, "best bigint")
+    assert {r.i: r.best for r in best.collect()} == {1: 3, 2: 3, 3: 5, 4: 7, 5: 4, 6: 7, 7: 5}
+    assert keyed.keyed_reduce(df.limit(0), ["k.1"], ["i"], F.col("v"), max, "best bigint").count() == 0
+
+
+def test_associative_scans_over_partitions(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "x"]), i, None if rng.random() < 0.1 else rng.choice("abc")) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v string")
+    got = {r.i: r.joined for r in keyed.scan_associative(df, ["k"], ["i"], F.col("v"), lambda a, b: (a + b)[-9:], "joined", "string").collect()}
+    held: dict = {}
+    for k, i, v in rows:
+        held[k] = held.get(k) if v is None else ((held.get(k) or "") + v)[-9:]
+        assert got[i] == held[k]
+    assert keyed.scan_associative(df.limit(0), [], ["i"], F.col("v"), max, "m", "string").count() == 0
+
+
+def test_distinct_until_changed_by_any_equality(spark):
+    df = spark.createDataFrame(list(enumerate([1, 3, 2, 4, 5, 7, 6, 8])), "i bigint, v bigint")
+    parity = keyed.distinct_until_changed_by(df, ["i"], F.col("v"), lambda a, b: a % 2 == b % 2)
+    assert xs(parity, "v", "i") == [1, 2, 5, 6]
+    assert xs(sequence.distinct_until_changed(df, ["i"], F.col("v") % 2), "v", "i") == [1, 2, 5, 6]
+    near = keyed.distinct_until_changed_by(df, ["i"], F.col("v"), lambda last, v: abs(last - v) <= 2)
+    assert xs(near, "v", "i") == [1, 4, 7]  # against the last kept, not the one before
+
+
+def test_advanced_groups_end_by_what_comes_first(spark):
+    rows = [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 4, 3), ("a", 5, 4), ("a", 6, 30), ("a", 7, 31)]
+    df = spark.createDataFrame([(k, i, START + timedelta(seconds=s)) for k, i, s in rows], "key string, i bigint, ts timestamp")
+    ids = {"ids": F.sort_array(F.collect_list("i"))}
+    plain = keyed.stateful_group_by_advanced(df, ["key"], ["i"], "ts", ids, 2, 10_000_000)
+    assert sorted(r.ids for r in plain.collect()) == [[1, 2], [3, 5], [4], [6, 7]]
+    changed = keyed.stateful_group_by_advanced(df, ["key"], ["i"], "ts", ids, 2, 10_000_000, emit_on_key_change=True)
+    assert sorted(r.ids for r in changed.collect()) == [[1, 2], [3], [4], [5], [6, 7]]
+    assert sorted(r.n_rows for r in keyed.stateful_group_by_advanced(df, ["key"], ["i"], "ts", {}).collect()) == [1, 6]
+
+
+def test_spread_forms_of_a_hot_key_with_nulls(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "x"]), i, START + timedelta(seconds=10 * i + rng.choice([0, 0, 60])), rng.choice("ab"), "u") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i bigint, ts timestamp, v string, rn string")
+
+    def same(a, b):
+        columns = sorted(a.columns)
+        assert sorted(map(repr, a.select(*columns).collect())) == sorted(map(repr, b.select(*columns).collect()))
+
+    flow = Flow.of(df.drop("rn"), ["i"], ["k"], "ts")
+    same(flow.stateful_session(30_000_000).df, flow.stateful_session(30_000_000, spread=True).df)
+    n = {"n": F.count("v")}
+    same(flow.stateful_window(7, 3, True, **n), flow.stateful_window(7, 3, True, spread=True, **n))
+    same(flow.stateful_group_by(7, **n), flow.stateful_group_by(7, spread=True, **n))
+    aba = lambda items: F.when(F.array_join(items, "") == "aba", F.lit("yes"))
+    same(flow.stateful_pattern(3, "v", aba), flow.stateful_pattern(3, "v", aba, spread=True))
+    changed = [sequence.distinct_until_changed(df.drop("rn"), ["i"], F.col("v"), ["k"], spread=s) for s in (False, True)]
+    same(*changed)
+
+
+def test_windows_corrected_by_late_rows_until_a_cut_off(spark):
+    # Windows of 10 s, delay 5 s, lateness 5 s: the first takes rows until the greatest time before them reaches 20 s.
+    at = [1, 12, 3, 19, 4, 20, 5, None, 21]
+    df = spark.createDataFrame([(i, None if s is None else START + timedelta(seconds=s), "x") for i, s in enumerate(at)], "i bigint, ts timestamp, source string")
+    config = eventtime.TimeWindowConfig(10_000_000, 10_000_000, 5_000_000, 5_000_000)
+    out = eventtime.window_by_arrival(df, "i", "ts", config, {"ids": F.sort_array(F.collect_list("i"))}, by=["source"])
+    assert [r.ids for r in out.orderBy("window_start").collect()] == [[0, 2, 4], [1, 3], [5, 8]]
+    with pytest.raises(ValueError):
+        eventtime.window_by_arrival(df, "i", "ts", eventtime.TimeWindowConfig(10, 10), {})

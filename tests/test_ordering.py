@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import glob
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,35 @@ def test_small_streams_are_told_from_large(spark):
     for limit in (0, 10_000):
         sums = ordering.running_sums(small, [], by, {"s": F.col("id")}, totals=True, small_bytes=limit).collect()
         assert all(r.s == r.id * (r.id + 1) // 2 and r.s_total == 4950 for r in sums) and len(sums) == 100
+
+
+def test_running_sums_of_decimals_floats_and_odd_groups(spark):
+    rows = [(float("nan") if i % 3 == 0 else None if i % 3 == 1 else -0.5, i, Decimal(i) / 4, i / 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "g double, i bigint, d decimal(10,2), f double")
+    out = ordering.running_sums(df, ["g"], [F.col("i")], {"dd": F.col("d"), "ff": F.col("f")}).collect()
+    for r in out:
+        own = [x for x in rows if x[1] % 3 == r.i % 3 and x[1] <= r.i]
+        assert r.dd == sum(x[2] for x in own) and r.ff == pytest.approx(sum(x[3] for x in own))
+
+
+def test_small_tables_can_be_tried_in_the_distributed_form(spark):
+    df = spark.range(500)
+    with ordering.distributed(block_rows=10):
+        framed = ordering.blocked(df, [F.col("id")], before=2, small_bytes=1 << 30)
+    assert framed.where(ordering.OWN).agg(F.max(ordering.BLOCK)).first()[0] == 49
+    assert ordering.settings == ordering.Settings()
+
+
+def test_written_tables_are_removed(spark):
+    folder = storage.shared_dir(spark).removeprefix("file://")
+
+    def written():
+        return {p for p in glob.glob(f"{folder}/rillflow-*/*")}
+
+    before = written()
+    with storage.workspace(spark):
+        kept = storage.materialize(spark.range(5), "test")
+        name = storage.new_table("test")
+        spark.range(3).write.option("path", storage.new_path(spark, "t")).saveAsTable(name)
+        assert kept.count() == 5 and spark.catalog.tableExists(name) and len(written()) == len(before) + 2
+    assert written() == before and not spark.catalog.tableExists(name)

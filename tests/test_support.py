@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import threading
 
 import pytest
@@ -181,11 +182,66 @@ def test_codecs(spark):
         d = data[r.i]
         assert bytes(r.v) == d[::2] and bytes(r.a) == d[::4]
         assert bytes(r.dv) == bytes(x for x in d for _ in range(2)) and bytes(r.da) == bytes(x for x in d for _ in range(4))
-        cut = len(d) * 60 // 100
-        assert bytes(r.m) == len(d[:cut][::2]).to_bytes(4, "little") + d[:cut][::2] + d[cut:][::4]
+        cut = int(len(d) * 0.6)
+        video, audio = d[:cut][::2], d[cut:][::4]
+        assert r.m is None if len(d) < 2 else bytes(r.m) == len(video).to_bytes(4, "little") + len(audio).to_bytes(4, "little") + video + audio
+    parts = df.select("i", media.encode_mixed(c).alias("m")).select("i", *(x.alias(n) for x, n in zip(media.split_mixed(F.col("m")), "va", strict=True))).collect()
+    assert all(bytes(r.v) == data[r.i][: int(len(data[r.i]) * 0.6)][::2] for r in parts if len(data[r.i]) > 1)
+    assert [bytes(r[0]) for r in df.select(media.encode_video(c, compression=False)).collect()] == data
+    assert [r[0] for r in df.select(media.decode_audio(F.when(F.col("i") == 99, c))).collect()] == [None] * len(data)
     assert media.video_preset("High").bitrate == 5_000_000 and media.audio_preset("Low").keyframe_interval == 0 and media.adaptive_preset().quality == "Medium"
 
 
+def test_decoding_checks_the_checksum(spark):
+    rows = [("Audio", b"ab", hashlib.sha256(b"ab").hexdigest()), ("VideoPFrame", b"ab", None), ("Thumbnail", b"ab", "00"), ("Metadata", b"ab", hashlib.sha256(b"ab").hexdigest().upper())]
+    df = spark.createDataFrame([(i, k, bytearray(d), c) for i, (k, d, c) in enumerate(rows)], "i int, chunk_type string, data binary, checksum string")
+    out = {r.i: (bytes(r.decoded) if r.decoded is not None else None, r.err) for r in media.decoded(df).collect()}
+    assert out == {0: (b"aaaabbbb", None), 1: (b"aabb", None), 2: (None, "wrong checksum"), 3: (b"ab", None)}
+
+
+def brute_released(numbers, window, capacity):
+    awaited, held, order, dropped = None, {}, [], {}
+
+    def release(n):
+        nonlocal awaited
+        order.append((held.pop(n), "Ok" if n == awaited else "Gap"))
+        awaited = n + 1
+
+    for at, n in enumerate(numbers):
+        awaited = n if awaited is None else awaited
+        if n < awaited or n in held:
+            dropped[at] = "Late" if n < awaited else "Duplicate"
+            continue
+        held[n] = at
+        while held and (awaited in held or len(held) > capacity or max(held) - awaited >= window):
+            release(min(held))
+    for n in sorted(held):
+        release(n)
+    return {at: (i + 1, status) for i, (at, status) in enumerate(order)} | {at: (None, s) for at, s in dropped.items()}
+
+
+@pytest.mark.parametrize("window,capacity", [(4, 100), (100, 2), (1, 1)])
+def test_reorder_buffers(spark, window, capacity):
+    rng = random.Random(7)
+    streams = {"a": [max(0, i + rng.choice([-3, -1, 0, 0, 2, 7])) for i in range(60)], "b": [5, 3, 4, 9, 9, 6]}
+    rows = [(k, at * 2 + (k == "b"), n, "x") for k, numbers in streams.items() for at, n in enumerate(numbers)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id string, came bigint, sequence_number bigint, status_before string")
+    out = media.released(df, ["stream_id"], "came", window, capacity).collect()
+    assert len(out) == len(rows)
+    for k, numbers in streams.items():
+        assert {(r.came - (k == "b")) // 2: (r.release_no, r.status) for r in out if r.stream_id == k} == brute_released(numbers, window, capacity)
+    with pytest.raises(ValueError):
+        media.released(df, ["stream_id"], "came", 0, 1)
+
+
+def test_kinds_of_connector_errors():
+    kinds = {FileNotFoundError("f"): connectors.NotFound, PermissionError("p"): connectors.PermissionDenied, OSError("o"): connectors.InputOutput, KeyError("k"): connectors.ConnectorSpecific, TimeoutError("t"): connectors.ConnectorTimeout}
+    assert all(type(connectors.connector_error(e)) is k for e, k in kinds.items())
+    several = connectors.connector_error(ExceptionGroup("g", [ValueError("v"), OSError("o")]))
+    assert isinstance(several, connectors.Multiple) and [type(e) for e in several.errors] == [connectors.InvalidConfiguration, connectors.InputOutput] and str(several) == "v; o"
+
+
 def test_chunk_rules_and_order(spark):
     good = hashlib.sha256(b"x").hexdigest()
     rows = [(1, "s", 0, b"x", "Audio", good), (2, " ", 1, b"x", "Audio", None), (3, "s", 1, b"", "Audio", None), (4, "s", 2, b"x", "Audio", "00"), (5, "s", 4, b"x" * 70_000, "Audio", None), (6, "s", 3, b"x", "Metadata", good.upper()), (7, "s", 4, b"y", "Audio", None)]
