@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rillflow.plans.sizing import written_if_small
 from rillflow.plans.storage import materialize, shuffle_width
 
-WINDOWS, GROUP, ROUNDS, MOST_KINDS = 2048, 8, 12, 100
+WINDOWS, GROUP, ROUNDS, CHECKED, MOST_KINDS = 2048, 16, 12, 4, 100
 #: Part of a window that may stay unused without its items being packed once more with those of other blocks.
 LOOSE = 1 / 256
 _SUM = operator.itemgetter(0)
@@ -117,7 +117,7 @@ def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Windows of item numbers, none above the capacity; every item (at most the capacity long) in exactly one.
 
-    A round that would in the end need more windows than best-fit decreasing from the start is taken back.
+    Rounds after which more windows would be needed in the end than by best-fit decreasing from the start are taken back.
     """
     sizes = sizes.astype(np.int64)
     full: list[list[int]] = [[int(i)] for i in np.flatnonzero(sizes == capacity)]
@@ -126,12 +126,14 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     closed: list[list[int]] = []
     fitted = best_fit(sizes[left].tolist(), capacity)
     most = len(fitted)
-    for _ in range(ROUNDS):
-        if sizes[left].sum() <= GROUP * capacity:
-            break
-        now, open_ = _round(sizes, rng.permutation(left), capacity)
+    for _ in range(ROUNDS // CHECKED):
+        now, open_ = [], left
+        for _ in range(CHECKED):
+            if sizes[open_].sum() > GROUP * capacity:
+                more, open_ = _round(sizes, rng.permutation(open_), capacity)
+                now += more
         rest = best_fit(sizes[open_].tolist(), capacity)
-        if len(closed) + len(now) + len(rest) > most:
+        if not now or len(closed) + len(now) + len(rest) > most:
             break
         closed, left, fitted = closed + now, open_, rest
     own = sizes[left].tolist()
